@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import py_round
+
 from ..functions.casts import finite_or_null, iso_text
 from ..functions.constants import BUILDER_TOP_K, TOP_K_CATEGORIES
 from .quantiles import quantile_columns, weighted_quantiles
@@ -67,10 +69,10 @@ def profile_report(df: DataFrame, catalog: DataFrame, freq_k: DataFrame, table:
 
     st = F.col("semantic_type")
     prof = (cat.join(num, ["table", "name"], "left").join(first, ["table", "name"], "left").join(dt, ["table", "name"], "left"))
-    avg_len = F.bround(F.col("avg_len"), 2) if variant == "pipeline" else F.col("avg_len")
+    avg_len = py_round(F.col("avg_len"), 2) if variant == "pipeline" else F.col("avg_len")
     out = prof.select(
         "table", "ordinal", "name", "semantic_type", "missing_count",
-        (F.bround("missing_ratio", 4) if variant == "pipeline" else F.col("missing_ratio")).alias("missing_ratio"),
+        (py_round(F.col("missing_ratio"), 4) if variant == "pipeline" else F.col("missing_ratio")).alias("missing_ratio"),
         F.when(st == "numeric", F.coalesce("num_count", F.lit(0)))
         .when(st.isin(cat_types), F.col("non_null"))
         .when(st == "datetime", F.coalesce("dt_count", F.lit(0)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import py_round
+
 from ..functions.casts import nan_to_null, to_datetime, to_number
 from ..functions.constants import (
     DUPLICATE_RATIO_WARNING, IQR_MULTIPLIER, MISSING_RATIO_HIGH, MISSING_RATIO_WARNING,
@@ -65,7 +67,7 @@ def iqr_outliers(freq_k: DataFrame, catalog: DataFrame, variant: str = "pipeline
     out = b.join(cnt, ["table", "name"]).join(catalog.select("table", "name", "ordinal"), ["table", "name"])
     if variant == "pipeline":
         return out.select("table", "ordinal", "name", "outlier_count",
-                          F.bround("low", 4).alias("low"), F.bround("high", 4).alias("high"))
+                          py_round(F.col("low"), 4).alias("low"), py_round(F.col("high"), 4).alias("high"))
     valid = (F.col("n") >= 4) & (iqr != 0)
     return out.select("table", "ordinal", "name",
                       F.when(valid, F.col("outlier_count")).otherwise(F.lit(0)).cast("long").alias("outlier_count"),
@@ -144,7 +146,7 @@ def quality_summary(catalog: DataFrame, dups: DataFrame, issues: DataFrame, outl
     cells = F.col("row_count") * F.col("column_count")
     mr_raw = F.col("total_missing") / cells
     dr_raw = F.col("duplicate_row_count") / F.col("row_count")
-    s = s.select("*", F.bround(mr_raw, 4).alias("missing_ratio_overall"), F.bround(dr_raw, 4).alias("duplicate_row_ratio"),
+    s = s.select("*", py_round(mr_raw, 4).alias("missing_ratio_overall"), py_round(dr_raw, 4).alias("duplicate_row_ratio"),
                  mr_raw.alias("_mr"), dr_raw.alias("_dr"))
     score = (F.lit(100.0)
              - F.least(F.col("missing_ratio_overall") * 100, F.lit(30.0))
@@ -160,8 +162,8 @@ def quality_summary(catalog: DataFrame, dups: DataFrame, issues: DataFrame, outl
                        ).otherwise(0.0)
     return s.select("table", "row_count", "column_count", "total_missing", "missing_ratio_overall",
                     "duplicate_row_count", "duplicate_row_ratio", "n_empty", "n_constant", "n_type_issues",
-                    F.bround(F.greatest(score, F.lit(0.0)), 2).alias("quality_score"),
-                    F.bround(F.greatest(F.lit(100.0) - pen, F.lit(0.0)), 2).alias("quality_score_builder"))
+                    py_round(F.greatest(score, F.lit(0.0)), 2).alias("quality_score"),
+                    py_round(F.greatest(F.lit(100.0) - pen, F.lit(0.0)), 2).alias("quality_score_builder"))
 
 
 def quick_quality(df: DataFrame, table: str = "t") -> DataFrame:
@@ -176,13 +178,13 @@ def quick_quality(df: DataFrame, table: str = "t") -> DataFrame:
     dp = F.col("duplicate_row_count") / F.col("rows") * 100
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - mp * 1.5 - dp * 0.5))
     return j.select(F.lit(table).alias("table"), "rows", F.lit(ncols).alias("cols"), "missing",
-                    F.bround(mp, 2).alias("missing_pct"), F.col("duplicate_row_count").alias("dupes"),
-                    F.bround(dp, 2).alias("dupe_pct"), F.bround(score, 1).alias("score"))
+                    py_round(mp, 2).alias("missing_pct"), F.col("duplicate_row_count").alias("dupes"),
+                    py_round(dp, 2).alias("dupe_pct"), py_round(score, 1).alias("score"))
 
 
 def _pct1(c: Column) -> Column:
     """Python's ``{:.1%}``: ratio x 100 with one decimal and a percent sign."""
-    return F.concat(F.format_number(F.bround(c * 100, 1), 1), F.lit("%"))
+    return F.concat(F.format_number(py_round(c * 100, 1), 1), F.lit("%"))
 
 
 def quality_warnings(catalog: DataFrame, summary: DataFrame, outliers: DataFrame) -> DataFrame:
@@ -190,9 +192,9 @@ def quality_warnings(catalog: DataFrame, summary: DataFrame, outliers: DataFrame
     ov = summary.where(F.col("missing_ratio_overall") > MISSING_RATIO_WARNING).select(
         "table", F.lit("missing_overall").alias("code"), F.lit("warning").alias("level"), F.lit(None).cast("string").alias("subject"),
         F.col("missing_ratio_overall").cast("double").alias("value"))
-    col_miss = catalog.where(F.bround(F.col("missing_ratio"), 4) > MISSING_RATIO_HIGH).select(
+    col_miss = catalog.where(py_round(F.col("missing_ratio"), 4) > MISSING_RATIO_HIGH).select(
         "table", F.lit("missing_column").alias("code"), F.lit("warning").alias("level"), F.col("name").alias("subject"),
-        F.bround(F.col("missing_ratio"), 4).alias("value"))
+        py_round(F.col("missing_ratio"), 4).alias("value"))
     dup = summary.where(F.col("duplicate_row_ratio") > DUPLICATE_RATIO_WARNING).select(
         "table", F.lit("duplicates").alias("code"), F.lit("warning").alias("level"), F.lit(None).cast("string").alias("subject"),
         F.col("duplicate_row_count").cast("double").alias("value"))

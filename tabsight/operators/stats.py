@@ -17,6 +17,7 @@ from ..functions.casts import kind_of, nan_to_null, to_datetime, to_number
 from ..functions.constants import (
     BOOL_FALSE, BOOL_TRUE, PIPELINE_BOOL_STRINGS, PIPELINE_BOOL_TEXT_EXTRA,
 )
+from ..session import checkpoint_dir
 from .freq import numeric_frequencies, static_catalog, value_frequencies, with_kind
 from .quantiles import quantile_columns, weighted_quantiles
 from .semantic import with_semantic_types
@@ -76,11 +77,14 @@ def build_catalog(spark, df: DataFrame, table: str = "t", dayfirst: bool = False
     df = nan_to_null(df)
     static = static_catalog(spark, df, table)
     freq = freq if freq is not None else value_frequencies(df, table)
-    freq_k = with_kind(freq, static)
+    checkpoint_dir(spark)
+    # A0 is written once to the shared checkpoint folder: every consumer (catalog,
+    # quartiles, top-k, outliers) reads it instead of re-running the shuffle
+    freq_k = with_kind(freq, static).checkpoint(eager=True)
     stats = column_stats(freq_k, dayfirst=dayfirst, from_text=from_text)
     cat = static.select("table", "ordinal", "name", "dtype_raw").join(
         stats, ["table", "ordinal", "name"], "left")
-    return with_semantic_types(cat), freq_k
+    return with_semantic_types(cat).checkpoint(eager=True), freq_k
 
 
 def catalog_of_tables(spark, tables: dict[str, DataFrame], dayfirst: bool = False) -> DataFrame:
@@ -95,7 +99,9 @@ def catalog_of_tables(spark, tables: dict[str, DataFrame], dayfirst: bool = Fals
         static, freq = static.unionByName(s_), freq.unionByName(f_)
     stats = column_stats(with_kind(freq, static), dayfirst=dayfirst)
     cat = static.select("table", "ordinal", "name", "dtype_raw").join(stats, ["table", "ordinal", "name"], "left")
-    return with_semantic_types(cat)
+    checkpoint_dir(spark)
+    # the catalog is one row per column; materialising it keeps every rule plan small
+    return with_semantic_types(cat).checkpoint(eager=True)
 
 
 def numeric_moments(df: DataFrame, cols: list[str], table: str = "t", parse_text: bool = True,

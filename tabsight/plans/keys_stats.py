@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rounding import py_round
+
 from ..functions import casts
 from ..functions.constants import EDA_SAMPLE_VALUES, HISTOGRAM_BINS, PREVIEW_ROWS, SAMPLE_VALUES_COUNT
 from ..operators import charts, semantic, stats
 from ..operators.freq import static_catalog, value_frequencies, with_kind
 from . import oracle as O
+from ..functions.rounding import py_round_sql as PR
 from .common import catalog_for, multi_catalog, r6, table
 
 Q = {}
@@ -45,30 +48,30 @@ def q_dataset_shape(spark, sf):
 
 
 # ---------------------------------------------------------------- Q2/A24 catalog
-@reg("column_catalog", f"""SELECT "table", ordinal, name, kind, n_rows, missing_count, round(missing_ratio, 4) AS missing_ratio,
+@reg("column_catalog", f"""SELECT "table", ordinal, name, kind, n_rows, missing_count, {PR("missing_ratio", 4)} AS missing_ratio,
   distinct_count, distinct_count <= 1 AS is_constant, is_empty, semantic_type FROM {CAT_DIRTY}""")
 def q_column_catalog(spark, sf):
     _, cat, _ = catalog_for(spark, sf, "dirty_orders")
     return cat.select("table", "ordinal", "name", "kind", "n_rows", "missing_count",
-                      F.bround("missing_ratio", 4).alias("missing_ratio"), "distinct_count",
+                      py_round(F.col("missing_ratio"), 4).alias("missing_ratio"), "distinct_count",
                       (F.col("distinct_count") <= 1).alias("is_constant"), "is_empty", "semantic_type")
 
 
-@reg("missing_by_column", f"""SELECT name, missing_count, round(missing_ratio, 4) AS missing_ratio,
+@reg("missing_by_column", f"""SELECT name, missing_count, {PR("missing_ratio", 4)} AS missing_ratio,
   round(100.0 * missing_count / n_rows, 2) AS missing_pct FROM {CAT_DIRTY}""")
 def q_missing_by_column(spark, sf):
     _, cat, _ = catalog_for(spark, sf, "dirty_orders")
-    return cat.select("name", "missing_count", F.bround("missing_ratio", 4).alias("missing_ratio"),
+    return cat.select("name", "missing_count", py_round(F.col("missing_ratio"), 4).alias("missing_ratio"),
                       F.round(F.col("missing_count") * 100.0 / F.col("n_rows"), 2).alias("missing_pct"))
 
 
 @reg("missing_overall", f"""SELECT SUM(missing_count) AS total_missing, MAX(n_rows) * COUNT(*) AS total_cells,
-  round(SUM(missing_count) / CAST(MAX(n_rows) * COUNT(*) AS DOUBLE), 4) AS missing_ratio_overall FROM {CAT_DIRTY}""")
+  {PR("SUM(missing_count) / CAST(MAX(n_rows) * COUNT(*) AS DOUBLE)", 4)} AS missing_ratio_overall FROM {CAT_DIRTY}""")
 def q_missing_overall(spark, sf):
     _, cat, _ = catalog_for(spark, sf, "dirty_orders")
     return cat.agg(F.sum("missing_count").alias("total_missing"),
                    (F.max("n_rows") * F.count(F.lit(1))).alias("total_cells")).select(
-        "total_missing", "total_cells", F.bround(F.col("total_missing") / F.col("total_cells"), 4).alias("missing_ratio_overall"))
+        "total_missing", "total_cells", py_round(F.col("total_missing") / F.col("total_cells"), 4).alias("missing_ratio_overall"))
 
 
 @reg("missing_table", f"""SELECT name, missing_count, round(100.0 * missing_count / n_rows, 2) AS missing_pct
@@ -200,9 +203,9 @@ def q_numeric_profile(spark, sf):
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
-@reg("describe_table", f"""SELECT name, statistic, value FROM ({_numprof_sql("lineitem", NUM_COLS)}) p
-  UNPIVOT (value FOR statistic IN (count AS 'count', mean AS 'mean', std AS 'std', min AS 'min', p25 AS '25%', median AS '50%', p75 AS '75%', max AS 'max'))""".replace(
-    "COUNT(", "CAST(COUNT(").replace(") AS count", ") AS DOUBLE) AS count"))
+@reg("describe_table", f"""SELECT name, statistic, value FROM (SELECT name, CAST(count AS DOUBLE) AS count, mean, std, min,
+  p25, median, p75, max FROM ({_numprof_sql("lineitem", NUM_COLS)}) p0) p
+  UNPIVOT (value FOR statistic IN (count AS 'count', mean AS 'mean', std AS 'std', min AS 'min', p25 AS '25%', median AS '50%', p75 AS '75%', max AS 'max'))""")
 def q_describe_table(spark, sf):
     """describe() of up to 8 numeric columns, unpivoted to (name, statistic, value)."""
     wide = q_numeric_profile(spark, sf).where(F.col("table") == "lineitem")

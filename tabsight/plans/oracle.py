@@ -131,3 +131,42 @@ def catalog_sql(tables: list[str], dayfirst: bool = False) -> str:
     return (f"(SELECT *, missing_count / CAST(n_rows AS DOUBLE) AS missing_ratio, non_null = 0 AS is_empty, "
             f"{pipeline_type_sql()} AS semantic_type, {builder_type_sql()} AS semantic_type_builder "
             f"FROM ({body}) s)")
+
+
+def value_num_sql(c: str, kind: str) -> str:
+    """Numeric view of a column in SQL (P3 for text)."""
+    if kind == N:
+        return f"CAST({c} AS DOUBLE)"
+    if kind == S:
+        return num_sql(c)
+    return "CAST(NULL AS DOUBLE)"
+
+
+def value_dt_sql(c: str, kind: str, dayfirst: bool = False) -> str:
+    if kind == D:
+        return f"CAST({c} AS TIMESTAMP)"
+    if kind == S:
+        return dt_sql(c, dayfirst)
+    return "CAST(NULL AS TIMESTAMP)"
+
+
+def iso_sql(e: str) -> str:
+    """Python isoformat of a timestamp: seconds, plus .ffffff when non-zero."""
+    return (f"CASE WHEN {e} IS NULL THEN NULL WHEN microsecond({e}) % 1000000 = 0 "
+            f"THEN strftime({e}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({e}, '%Y-%m-%dT%H:%M:%S.%f') END")
+
+
+def np_quantiles_sql(values_sql: str, qs: dict[str, float]) -> str:
+    """Linear-interpolation quantiles in numpy's two-sided form (``values_sql`` yields column v).
+
+    Used where the oracle must reproduce the exact double (e.g. before 4-digit rounding).
+    """
+    cols = []
+    for name, q in qs.items():
+        pos = f"({q} * (n - 1))"
+        a = f"MAX(CASE WHEN rn = floor({pos}) THEN v END)"
+        b = f"MAX(CASE WHEN rn = ceil({pos}) THEN v END)"
+        t = f"MAX({pos} - floor({pos}))"
+        cols.append(f"CASE WHEN {t} >= 0.5 THEN {b} - ({b} - {a}) * (1 - {t}) ELSE {a} + ({b} - {a}) * {t} END AS {name}")
+    return (f"SELECT {', '.join(cols)}, MAX(n) AS n FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rn, "
+            f"COUNT(*) OVER () AS n FROM ({values_sql}) s0 WHERE v IS NOT NULL) s1")
