@@ -1,8 +1,9 @@
 """The flagship query: lineitem numeric profile joined with IQR outlier counts.
 
-scan -> NaN normalise -> A0 (one shuffle for all columns) -> catalog aggregate ->
-exact quartiles (range-partitioned, checkpointed) -> fences broadcast back to A0
--> weighted outlier counts; the raw-row moments are one wide aggregate.
+scan -> NaN normalise -> A0 (one shuffle for all columns, checkpointed) ->
+catalog aggregate -> exact quartiles (range-partitioned, one pass for p25/p50/p75)
+-> fences broadcast back to the numeric A0 rows -> weighted outlier counts; the
+raw-row moments are one wide aggregate.
 """
 
 from __future__ import annotations
@@ -10,23 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.quality import iqr_outliers
+from ..functions.casts import columns_of_kind
+from ..functions.constants import IQR_MULTIPLIER
+from ..functions.rounding import py_round
+from ..operators.freq import numeric_frequencies
+from ..operators.quantiles import quantile_columns, weighted_quantiles
 from ..operators.stats import build_catalog, numeric_moments
 from ..sources.tables import load
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = load(spark, sf_dir, "lineitem")
-    cat, fk = build_catalog(spark, li, "lineitem")
-    num_cols = [f.name for f in li.schema.fields if f.dataType.typeName() in ("double", "integer", "long")]
-    mom = numeric_moments(li, num_cols, "lineitem")
-    out = iqr_outliers(fk, cat, "pipeline")
-    q = (fk.where(F.col("name").isin(num_cols)))
-    from ..operators.stats import quartiles
-
-    qs = quartiles(q)
+def numeric_profile_with_outliers(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
+    cat, fk = build_catalog(spark, df, table)
+    num_cols = columns_of_kind(df, "numeric")
+    mom = numeric_moments(df, num_cols, table)
+    vals = numeric_frequencies(fk)
+    qs = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.5, 0.75]), ["table", "name"],
+                          {0.25: "p25", 0.5: "median", 0.75: "p75"})
+    iqr = F.col("p75") - F.col("p25")
+    fences = qs.select("table", "name", "p25", "median", "p75", (F.col("p25") - IQR_MULTIPLIER * iqr).alias("low"),
+                       (F.col("p75") + IQR_MULTIPLIER * iqr).alias("high"))
+    counts = (vals.join(F.broadcast(fences.select("table", "name", "low", "high")), ["table", "name"])  # one row per column
+              .groupBy("table", "name")
+              .agg(F.sum(F.when((F.col("x") < F.col("low")) | (F.col("x") > F.col("high")), F.col("cnt")).otherwise(0))
+                   .alias("outlier_count")))
     return (cat.select("table", "ordinal", "name", "n_rows", "missing_count", "distinct_count", "semantic_type")
-            .join(mom, ["table", "name"]).join(qs, ["table", "name"])
-            .join(out.select("table", "name", "outlier_count", "low", "high"), ["table", "name"], "left")
+            .join(mom, ["table", "name"]).join(fences, ["table", "name"]).join(counts, ["table", "name"])
             .select("table", "ordinal", "name", "semantic_type", "n_rows", "missing_count", "distinct_count",
-                    "count", "mean", "std", "min", "p25", "median", "p75", "max", "outlier_count", "low", "high"))
+                    "count", "mean", "std", "min", "p25", "median", "p75", "max", "outlier_count",
+                    py_round(F.col("low"), 4).alias("low"), py_round(F.col("high"), 4).alias("high")))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numeric_profile_with_outliers(spark, load(spark, sf_dir, "lineitem"), "lineitem")

@@ -325,3 +325,43 @@ def q_boxplot(spark, sf):
     b = charts.box_stats(table(spark, sf, "lineitem"), "l_extendedprice")
     return b.select("count", "min", r6("q1").alias("q1"), r6("median").alias("median"), r6("q3").alias("q3"), "max",
                     r6("low_fence").alias("low_fence"), r6("high_fence").alias("high_fence"), "whisker_low", "whisker_high", "n_outliers")
+
+
+# ---------------------------------------------------------------- S9 / S10 / S11 sinks
+@reg("scan_roundtrip", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate, o_orderpriority FROM orders""")
+def q_scan_roundtrip(spark, sf):
+    """S9 + S1: write orders as CSV to the shared folder, read it back all-string, cast back."""
+    from ..session import scratch_path
+    from ..sources.readers import read_csv
+    from ..sources.sinks import write_csv
+
+    o = table(spark, sf, "orders")
+    path = write_csv(o, scratch_path(spark, "csv"))
+    back = read_csv(spark, path)
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"),
+                       "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"),
+                       F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_orderpriority")
+
+
+@reg("extract_parquet", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate, o_orderpriority FROM orders""")
+def q_extract_parquet(spark, sf):
+    """The table written as a partitioned Parquet extract and re-read."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_extract
+
+    o = table(spark, sf, "orders")
+    path = write_extract(o, scratch_path(spark, "extract"), ["o_orderstatus"])
+    return spark.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+                                           "o_orderpriority")
+
+
+@reg("report_json", f"""SELECT "table", row_count, quality_score FROM ({SUMMARY_SQL}) q""")
+def q_report_json(spark, sf):
+    """The quality report written as JSON and read back."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_report_json
+
+    s, _, _ = _summary(spark, sf)
+    path = write_report_json(s, scratch_path(spark, "report"))
+    back = spark.read.schema("table string, row_count long, quality_score double").json(path)
+    return back

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ def spread(df: DataFrame) -> DataFrame:
     default parallelism.  At cluster scale the scan already has more splits than
     cores and the frame is returned unchanged (no extra shuffle).
     """
+    if os.environ.get("TABSIGHT_SPREAD", "1") == "0":
+        return df
     sc = df.sparkSession.sparkContext
     n = df.rdd.getNumPartitions()
     par = sc.defaultParallelism
