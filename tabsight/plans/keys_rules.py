@@ -374,3 +374,142 @@ def q_chart_heatmap(spark, sf):
 def q_chart_table(spark, sf):
     """Summary table of the chosen columns."""
     return charts.table_chart(table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"])
+
+
+# ---------------------------------------------------------------- SQL oracles of the rule keys
+def _agg_sql(n: str) -> str:
+    return (f"CASE WHEN {_has(f'lower({n}.name)', AVG_HINTS)} THEN 'avg' WHEN {_has(f'lower({n}.name)', SUM_HINTS)} THEN 'sum' "
+            f"WHEN {n}.num_min IS NOT NULL AND {n}.num_max IS NOT NULL AND {n}.num_min >= 0 AND {n}.num_max <= 1 THEN 'avg' ELSE 'sum' END")
+
+
+def _rules_sql(cat_sql: str) -> str:
+    return f"""(WITH c AS {cat_sql},
+  typed AS (SELECT "table", ordinal, name, distinct_count, num_min, num_max, semantic_type_builder AS st,
+            row_number() OVER (PARTITION BY "table", semantic_type_builder ORDER BY ordinal) AS pos FROM c),
+  num AS (SELECT * FROM typed WHERE st = 'numeric'), cat AS (SELECT * FROM typed WHERE st = 'categorical'),
+  dt AS (SELECT * FROM typed WHERE st = 'datetime'), txt AS (SELECT * FROM typed WHERE st = 'text'),
+  grp AS (SELECT "table", name AS group_col FROM (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY abs(distinct_count - 5), pos) AS r
+          FROM cat WHERE distinct_count BETWEEN 2 AND 12) g WHERE r = 1),
+  v1 AS (SELECT n."table", 1 AS rule_no, CAST(n.pos AS INTEGER) AS seq, 'line' AS chart_type, n.name || ' over time' AS title, d.name AS x,
+         n.name AS y, {_agg_sql('n')} AS aggregation, g.group_col AS group_by, CAST(0.85 AS DOUBLE) AS confidence
+         FROM num n JOIN dt d ON d."table" = n."table" AND d.pos = 1 LEFT JOIN grp g ON g."table" = n."table" WHERE n.pos <= 3),
+  c2 AS (SELECT ca.*, m.name AS m, {_agg_sql('m')} AS agg FROM cat ca JOIN num m ON m."table" = ca."table" AND m.pos = 1
+         WHERE ca.pos <= 2 AND ca.distinct_count <= 50),
+  v2 AS (SELECT "table", 2, CAST(pos * 2 AS INTEGER), 'bar', m || ' by ' || name, name, m, agg, NULL, CAST(0.80 AS DOUBLE) FROM c2
+         UNION ALL SELECT "table", 2, CAST(pos * 2 + 1 AS INTEGER), 'pie', m || ' share by ' || name, name, m, agg, NULL, CAST(0.65 AS DOUBLE)
+         FROM c2 WHERE distinct_count BETWEEN 2 AND 7),
+  v3 AS (SELECT "table", 3, CAST(pos AS INTEGER), 'histogram', 'Distribution of ' || name, name, NULL, NULL, NULL, CAST(0.70 AS DOUBLE) FROM num WHERE pos <= 2
+         UNION ALL SELECT n."table", 3, 10, 'box', n.name || ' by ' || g.group_col, g.group_col, n.name, NULL, g.group_col, CAST(0.65 AS DOUBLE)
+         FROM num n JOIN grp g ON g."table" = n."table" WHERE n.pos = 1),
+  nn AS (SELECT "table", COUNT(*) AS n_num FROM num GROUP BY 1),
+  elig AS (SELECT nn."table", n_num FROM nn JOIN (SELECT "table", MAX(n_rows) AS nr FROM c GROUP BY 1) r ON r."table" = nn."table" WHERE n_num >= 2 AND nr >= 30),
+  pairs AS (SELECT a."table", a.name AS xa, b.name AS yb, row_number() OVER (PARTITION BY a."table" ORDER BY a.pos, b.pos) AS k
+            FROM num a JOIN num b ON a."table" = b."table" AND a.pos < b.pos WHERE a."table" IN (SELECT "table" FROM elig)),
+  v4 AS (SELECT "table", 4, CAST(k AS INTEGER), 'scatter', yb || ' vs ' || xa, xa, yb, NULL, NULL, CAST(0.68 AS DOUBLE) FROM pairs WHERE k <= 3
+         UNION ALL SELECT "table", 4, 10, 'heatmap', 'Correlation matrix', NULL, NULL, NULL, NULL, CAST(0.60 AS DOUBLE) FROM elig WHERE n_num >= 3),
+  specs AS (SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM v3 UNION ALL SELECT * FROM v4),
+  few AS (SELECT DISTINCT "table" FROM c WHERE "table" NOT IN (SELECT "table" FROM specs GROUP BY 1 HAVING COUNT(*) >= 2)),
+  ord AS (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY src, pos) AS k FROM (
+          SELECT "table", 0 AS src, pos, name FROM cat UNION ALL SELECT "table", 1, pos, name FROM num
+          UNION ALL SELECT "table", 2, pos, name FROM dt UNION ALL SELECT "table", 3, pos, name FROM txt) o),
+  v5 AS (SELECT "table", 5, 1, 'table', 'Data summary', MAX(CASE WHEN k = 1 THEN name END), NULL, NULL, string_agg(name, ',' ORDER BY k),
+         CAST(0.50 AS DOUBLE) FROM ord WHERE k <= 5 AND "table" IN (SELECT "table" FROM few) GROUP BY "table")
+  SELECT * FROM specs UNION ALL SELECT * FROM v5)"""
+
+
+RULES_SQL = _rules_sql(CAT_REC)
+for _rule, _no in [("rule_time_series", 1), ("rule_categorical", 2), ("rule_distributions", 3), ("rule_relationships", 4),
+                   ("rule_table_fallback", 5)]:
+    Q[_rule] = (Q[_rule][0], f"SELECT * FROM {RULES_SQL} s WHERE rule_no = {_no}")
+
+Q["recommend_topk"] = (Q["recommend_topk"][0], f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY rule_no, seq) AS o FROM {RULES_SQL} s0),
+  n AS (SELECT "table", COUNT(*) AS n FROM s GROUP BY 1),
+  r AS (SELECT s.*, n.n, row_number() OVER (PARTITION BY s."table" ORDER BY confidence DESC, o) AS rk FROM s JOIN n ON n."table" = s."table"),
+  k AS (SELECT *, CAST(CASE WHEN n <= 10 THEN o ELSE rk END - 1 AS INTEGER) AS position FROM r WHERE n <= 10 OR rk <= 10)
+  SELECT "table", position, CAST(floor(position / 2) AS BIGINT) AS grid_row, CAST(position % 2 AS INTEGER) AS grid_col, chart_type, title, x, y,
+    aggregation, group_by, confidence FROM k""")
+
+Q["spec_dangling_columns"] = (Q["spec_dangling_columns"][0], f"""WITH s AS (SELECT * FROM {RULES_SQL} s0),
+  refs AS (SELECT "table", title, x AS "column" FROM s WHERE x IS NOT NULL UNION ALL SELECT "table", title, y FROM s WHERE y IS NOT NULL
+           UNION ALL SELECT "table", title, unnest(string_split(group_by, ',')) FROM s WHERE group_by IS NOT NULL)
+  SELECT "table", "column", title FROM refs r WHERE NOT EXISTS (SELECT 1 FROM {CAT_REC} c WHERE c."table" = r."table" AND c.name = r."column")""")
+
+Q["spec_constraints"] = (Q["spec_constraints"][0], f"""SELECT "table", CAST(0 AS INTEGER) AS position, title, confidence FROM {RULES_SQL} s
+  WHERE confidence < 0 OR confidence > 1 OR trim(COALESCE(title, '')) = ''""")
+
+
+def _baseline_sql_for(cat_sql: str) -> str:
+    return _baseline_sql().replace(f"WITH c AS {CAT_REC}", f"WITH c AS {cat_sql}", 1)
+
+
+Q["kpi_overlay"] = (Q["kpi_overlay"][0], f"""WITH base AS ({_baseline_sql_for(CAT_ROLES)}), kd AS {KDEFS_SQL},
+  known AS (SELECT "table", name FROM {CAT_ROLES} k0),
+  tr AS (SELECT "table", seq, kpi_name, formula, split_part(source_columns, ',', 1) AS x, split_part(source_columns, ',', 2) AS y FROM kd WHERE bucket = 'trend_metrics'),
+  t_ok AS (SELECT * FROM tr WHERE EXISTS (SELECT 1 FROM known k WHERE k."table" = tr."table" AND k.name = tr.x)
+           AND EXISTS (SELECT 1 FROM known k WHERE k."table" = tr."table" AND k.name = tr.y)
+           AND NOT EXISTS (SELECT 1 FROM base b WHERE b."table" = tr."table" AND b.x IS NOT DISTINCT FROM tr.x AND b.y IS NOT DISTINCT FROM tr.y)),
+  t_spec AS (SELECT "table", 2 AS rule_no, seq, 'line' AS chart_type, kpi_name AS title, x, y,
+             {"CASE " + " ".join(f"WHEN contains(upper(formula), '{k}') THEN '{k.lower()}'" for k in ['SUM', 'AVG', 'COUNT', 'MIN', 'MAX', 'MEDIAN']) + " ELSE 'sum' END"} AS aggregation,
+             CAST(0.75 AS DOUBLE) AS confidence FROM t_ok),
+  p1 AS (SELECT "table", x, y FROM base UNION ALL SELECT "table", x, y FROM t_spec),
+  cp AS (SELECT "table", seq, kpi_name, formula, split_part(source_columns, ',', 1) AS x, split_part(source_columns, ',', 2) AS y FROM kd WHERE bucket = 'comparative_metrics'),
+  c_ok AS (SELECT * FROM cp WHERE EXISTS (SELECT 1 FROM known k WHERE k."table" = cp."table" AND k.name = cp.x)
+           AND EXISTS (SELECT 1 FROM known k WHERE k."table" = cp."table" AND k.name = cp.y)
+           AND NOT EXISTS (SELECT 1 FROM p1 b WHERE b."table" = cp."table" AND b.x IS NOT DISTINCT FROM cp.x AND b.y IS NOT DISTINCT FROM cp.y)),
+  c_spec AS (SELECT "table", 3 AS rule_no, seq, 'bar' AS chart_type, kpi_name AS title, x, y,
+             {"CASE " + " ".join(f"WHEN contains(upper(formula), '{k}') THEN '{k.lower()}'" for k in ['SUM', 'AVG', 'COUNT', 'MIN', 'MAX', 'MEDIAN']) + " ELSE 'sum' END"} AS aggregation,
+             CAST(0.72 AS DOUBLE) AS confidence FROM c_ok),
+  p2 AS (SELECT "table", x FROM p1 WHERE x IS NOT NULL UNION ALL SELECT "table", x FROM c_spec),
+  pr AS (SELECT "table", seq, split_part(source_columns, ',', 1) AS x FROM kd WHERE bucket = 'primary_kpis'),
+  p_ok AS (SELECT "table", MIN(seq) AS seq, x FROM pr WHERE EXISTS (SELECT 1 FROM known k WHERE k."table" = pr."table" AND k.name = pr.x)
+           AND NOT EXISTS (SELECT 1 FROM p2 WHERE p2."table" = pr."table" AND p2.x = pr.x)
+           AND EXISTS (SELECT 1 FROM {CAT_ROLES} cc WHERE cc."table" = pr."table" AND cc.name = pr.x AND cc.semantic_type = 'numeric') GROUP BY "table", x),
+  h_spec AS (SELECT "table", 4 AS rule_no, seq, 'histogram' AS chart_type, 'Distribution of ' || x AS title, x, NULL AS y, NULL AS aggregation,
+             CAST(0.65 AS DOUBLE) AS confidence FROM p_ok),
+  allv AS (SELECT "table", rule_no, seq, chart_type, title, x, y, aggregation, confidence FROM base
+           UNION ALL SELECT * FROM t_spec UNION ALL SELECT * FROM c_spec UNION ALL SELECT * FROM h_spec)
+  SELECT "table", CAST(position AS INTEGER) AS position, chart_type, title, x, y, aggregation, confidence FROM (
+    SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY rule_no, seq) - 1 AS position FROM allv) z WHERE position < 8""")
+
+
+def _comparative_sql() -> str:
+    parts = []
+    for t in ROLE_TABLES:
+        cols = O.SCHEMAS[t]
+        for m, mk in cols:
+            if mk != "numeric":
+                continue
+            for d, _ in cols:
+                parts.append(f"""SELECT '{t}' AS "table", '{m}' AS measure, '{d}' AS compare_by, CAST({d} AS VARCHAR) AS category,
+                  CAST(SUM(CAST({m} AS DECIMAL(38,6))) AS DOUBLE) AS value FROM {t} GROUP BY {d}""")
+    allc = "\nUNION ALL\n".join(parts)
+    return f"""WITH kd AS {KDEFS_SQL}, pairs AS (SELECT "table", split_part(source_columns, ',', 2) AS measure, compare_by FROM kd
+      WHERE bucket = 'comparative_metrics')
+      SELECT v.* FROM ({allc}) v JOIN pairs p ON p."table" = v."table" AND p.measure = v.measure AND p.compare_by = v.compare_by"""
+
+
+Q["kpi_comparative"] = (Q["kpi_comparative"][0], _comparative_sql())
+
+
+def _trend_injection_sql() -> str:
+    cat = O.catalog_sql(["dirty_orders"])
+    src = O.SOURCES["dirty_orders"]
+    from ..functions.constants import DATE_FALLBACK_KEYWORDS, TREND_EXCLUDE_KEYWORDS
+    cands = [(i, c) for i, (c, _) in enumerate(O.SCHEMAS["dirty_orders"])
+             if any(kw in c.lower().replace("_", " ") for kw in DATE_FALLBACK_KEYWORDS)]
+    fb = "\nUNION ALL\n".join(
+        f"SELECT {i} AS ordinal, '{c}' AS name, COUNT({O.dt_sql('v', True)}) / CAST(COUNT(*) AS DOUBLE) AS ratio FROM "
+        f"(SELECT CAST({c} AS VARCHAR) AS v FROM {src} d WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 200) s" for i, c in cands)
+    return f"""WITH c AS {cat}, fb AS ({fb}),
+      d0 AS (SELECT name FROM fb WHERE ratio >= 0.8 ORDER BY ordinal LIMIT 1),
+      num AS (SELECT name, row_number() OVER (ORDER BY ordinal) AS k FROM c WHERE semantic_type = 'numeric' AND NOT {_has('lower(name)', TREND_EXCLUDE_KEYWORDS)})
+      SELECT 'dirty_orders' AS "table", CAST(3 - k AS INTEGER) AS seq, 'line' AS chart_type, num.name || ' over time' AS title, d0.name AS x,
+        num.name AS y, 'sum' AS aggregation FROM num, d0 WHERE k <= 2"""
+
+
+TRENDINJ_SQL = _trend_injection_sql()
+Q["trend_injection"] = (Q["trend_injection"][0], TRENDINJ_SQL)
+Q["spec_merge"] = (Q["spec_merge"][0], f"""WITH base AS (SELECT "table", seq, chart_type, title, x, y, aggregation FROM ({_baseline_sql_for(O.catalog_sql(["dirty_orders"]))}) b0 WHERE chart_type <> 'line'),
+  inj AS ({TRENDINJ_SQL})
+  SELECT "table", CAST(seq - 10 AS INTEGER) AS seq, chart_type, title, x, y, aggregation FROM inj WHERE title NOT IN (SELECT title FROM base)
+  UNION ALL SELECT "table", CAST(seq AS INTEGER), chart_type, title, x, y, aggregation FROM base""")
