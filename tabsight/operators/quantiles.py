@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, stage
 
 
 def _lerp(a, b, t):
@@ -36,8 +36,9 @@ def weighted_quantiles(freq: DataFrame, keys: list[str], qs: list[float], value:
     checkpoint_dir(spark)
     base = freq.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*keys, value, weight)
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = base.repartitionByRange(nparts, *keys, value).checkpoint(eager=True)
-    t = ranged.withColumn("_pid", F.spark_partition_id())
+    # the range-partition id is written with the rows, so it stays valid however the
+    # staged files are split when read back
+    t = stage(base.repartitionByRange(nparts, *keys, value).withColumn("_pid", F.spark_partition_id()), "ranks")
 
     ptot = t.groupBy(*keys, "_pid").agg(F.sum(weight).alias("_ptot"))
     offs = ptot.select(
@@ -73,7 +74,9 @@ def weighted_quantiles(freq: DataFrame, keys: list[str], qs: list[float], value:
         F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_b"),
     )
     frac = F.col("_pos") - F.floor("_pos")
-    return res.select(*keys, "q", _lerp(F.col("_a"), F.col("_b"), frac).alias("quantile"))
+    out = res.select(*keys, "q", _lerp(F.col("_a"), F.col("_b"), frac).alias("quantile"))
+    # keys x quantiles rows; staged so plans that use it twice do not recompute it
+    return stage(out, "quantiles") if bounded_keys else out
 
 
 def quantile_columns(qdf: DataFrame, keys: list[str], names: dict[float, str]) -> DataFrame:

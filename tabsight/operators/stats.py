@@ -17,7 +17,7 @@ from ..functions.casts import kind_of, nan_to_null, to_datetime, to_number
 from ..functions.constants import (
     BOOL_FALSE, BOOL_TRUE, PIPELINE_BOOL_STRINGS, PIPELINE_BOOL_TEXT_EXTRA,
 )
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, stage
 from .freq import numeric_frequencies, static_catalog, value_frequencies, with_kind
 from .quantiles import quantile_columns, weighted_quantiles
 from .semantic import with_semantic_types
@@ -80,11 +80,11 @@ def build_catalog(spark, df: DataFrame, table: str = "t", dayfirst: bool = False
     checkpoint_dir(spark)
     # A0 is written once to the shared checkpoint folder: every consumer (catalog,
     # quartiles, top-k, outliers) reads it instead of re-running the shuffle
-    freq_k = with_kind(freq, static).checkpoint(eager=True)
+    freq_k = stage(with_kind(freq, static), "freq")
     stats = column_stats(freq_k, dayfirst=dayfirst, from_text=from_text)
     cat = static.select("table", "ordinal", "name", "dtype_raw").join(
         stats, ["table", "ordinal", "name"], "left")
-    return with_semantic_types(cat).checkpoint(eager=True), freq_k
+    return stage(with_semantic_types(cat), "catalog"), freq_k
 
 
 def catalog_of_tables(spark, tables: dict[str, DataFrame], dayfirst: bool = False) -> DataFrame:
@@ -101,7 +101,7 @@ def catalog_of_tables(spark, tables: dict[str, DataFrame], dayfirst: bool = Fals
     cat = static.select("table", "ordinal", "name", "dtype_raw").join(stats, ["table", "ordinal", "name"], "left")
     checkpoint_dir(spark)
     # the catalog is one row per column; materialising it keeps every rule plan small
-    return with_semantic_types(cat).checkpoint(eager=True)
+    return stage(with_semantic_types(cat), "catalog")
 
 
 def numeric_moments(df: DataFrame, cols: list[str], table: str = "t", parse_text: bool = True,
@@ -145,14 +145,28 @@ def quartiles(freq_k: DataFrame, names: list[str] | None = None, parse_text: boo
     return quantile_columns(q, ["table", "name"], {0.25: "p25", 0.5: "median", 0.75: "p75"})
 
 
-def duplicate_rows(df: DataFrame, table: str = "t") -> DataFrame:
+def row_fingerprint(df: DataFrame) -> list[Column]:
+    """Two independent 64-bit hashes of a whole row, plus its null mask.
+
+    Hash functions skip NULL inputs, so the null mask keeps (NULL, 'x') and
+    ('x', NULL) apart; 128 bits make collisions negligible even at 10^12 rows.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    mask = F.concat_ws("", *[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
+    return [F.xxhash64(F.lit(1), mask, *cols).alias("_h1"), F.xxhash64(F.lit(2), mask, *cols).alias("_h2")]
+
+
+def duplicate_rows(df: DataFrame, table: str = "t", fingerprint: bool = True) -> DataFrame:
     """Rows equal to an earlier row on all columns (NULLs equal).
 
-    ``groupBy(all columns).count()`` with map-side partial counts: a hot duplicate
-    group shrinks to one row per partition before the shuffle.
+    Rows are grouped by a 128-bit fingerprint (``fingerprint=True``) so the
+    shuffle carries 16 bytes per distinct row instead of the whole row; partial
+    (map-side) counts shrink a hot duplicate group to one row per partition
+    before the shuffle.  ``fingerprint=False`` groups by the columns themselves.
     """
     df = nan_to_null(df)
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+    keys = row_fingerprint(df) if fingerprint else [F.col(f"`{c}`") for c in df.columns]
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     agg = groups.agg(F.sum("_c").alias("n_rows"), F.sum(F.col("_c") - 1).alias("duplicate_row_count"))
     return agg.select(F.lit(table).alias("table"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
                       F.coalesce("duplicate_row_count", F.lit(0)).alias("duplicate_row_count"))

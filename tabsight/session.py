@@ -57,3 +57,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         return f"{base.rstrip('/')}/staged-{name}-{uuid.uuid4().hex}"
     os.makedirs(base, exist_ok=True)
     return tempfile.mkdtemp(prefix=f"staged-{name}-", dir=base)
+
+
+def stage(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    One job (a reliable ``checkpoint()`` runs the plan twice unless cached); the
+    lineage is cut, so a lost executor re-reads the staged files instead of
+    re-running the shuffle that produced them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

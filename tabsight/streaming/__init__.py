@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference profiles one bounded file per run and has no streaming source,
+watermark, window or state; nothing here re-creates what it does not do.  The
+batch operators accept any DataFrame, so a caller can apply them inside
+``foreachBatch`` of a Structured Streaming query if profiles of arriving files
+are wanted.
+"""

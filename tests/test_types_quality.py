@@ -86,3 +86,11 @@ def test_score_golden_9699(spark):
 def test_validation(spark):
     df = spark.createDataFrame([(None, None), (None, None)], "a string, b string")
     assert quality.validate_min_requirements(df).first()["status"] == "all_rows_empty"
+
+
+def test_duplicates_fingerprint_matches_exact(spark):
+    rows = [(1, None, "x"), (1, None, "x"), (None, 1, "x"), (1, None, None), (None, None, None), (None, None, None), (2, 3, "y")]
+    df = spark.createDataFrame(rows, "a int, b int, c string")
+    exact = duplicate_rows(df, fingerprint=False).first()["duplicate_row_count"]
+    fp = duplicate_rows(df, fingerprint=True).first()["duplicate_row_count"]
+    assert exact == fp == 2
