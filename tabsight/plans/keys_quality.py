@@ -154,9 +154,9 @@ def _summary_sql() -> str:
     outl_b = _outlier_sql("builder")
     dup = f"(SELECT COUNT(*) FROM {DIRTY} d) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {DIRTY} d) x)"
     return f"""WITH c AS {CAT},
-    s AS (SELECT MAX(n_rows) AS row_count, COUNT(*) AS column_count, SUM(missing_count) AS total_missing,
-            SUM(CASE WHEN is_empty THEN 1 ELSE 0 END) AS n_empty,
-            SUM(CASE WHEN distinct_count <= 1 AND NOT is_empty THEN 1 ELSE 0 END) AS n_constant,
+    s AS (SELECT MAX(n_rows) AS row_count, COUNT(*) AS column_count, CAST(SUM(missing_count) AS BIGINT) AS total_missing,
+            CAST(SUM(CASE WHEN is_empty THEN 1 ELSE 0 END) AS BIGINT) AS n_empty,
+            CAST(SUM(CASE WHEN distinct_count <= 1 AND NOT is_empty THEN 1 ELSE 0 END) AS BIGINT) AS n_constant,
             SUM(CASE WHEN distinct_count = 1 AND NOT is_empty THEN 1 ELSE 0 END) AS n_constant_builder,
             SUM(CASE WHEN semantic_type_builder = 'numeric' THEN 1 ELSE 0 END) AS n_numeric_builder FROM c),
     t AS (SELECT s.*, {dup} AS duplicate_row_count, (SELECT COUNT(*) FROM ({issues}) i) AS n_type_issues,
@@ -264,8 +264,8 @@ def _profile_sql(variant: str) -> str:
           CASE WHEN {s} = 'datetime' THEN {O.iso_sql('dt.mn')} END AS dt_min,
           CASE WHEN {s} = 'datetime' THEN {O.iso_sql('dt.mx')} END AS dt_max,
           CASE WHEN {s} = 'text' AND cat.non_null > 0 THEN {al} END AS avg_length,
-          CASE WHEN {s} = 'text' AND cat.non_null > 0 THEN cat.min_len END AS min_length,
-          CASE WHEN {s} = 'text' AND cat.non_null > 0 THEN cat.max_len END AS max_length
+          CAST(CASE WHEN {s} = 'text' AND cat.non_null > 0 THEN cat.min_len END AS INTEGER) AS min_length,
+          CAST(CASE WHEN {s} = 'text' AND cat.non_null > 0 THEN cat.max_len END AS INTEGER) AS max_length
         FROM {CAT} cat, ({num}) n, ({dts}) dt LEFT JOIN ({top}) t ON true WHERE cat.name = '{c}'""")
     return "\nUNION ALL\n".join(parts)
 

@@ -54,12 +54,20 @@ def q_column_roles(spark, sf):
     return rl.select("table", "ordinal", "name", "role")
 
 
-@reg("time_coverage", f"""WITH f AS (SELECT "table", name FROM {RP_SQL} p WHERE role = 'temporal' AND position = 1)
+def _coverage_sql() -> str:
+    parts = []
+    for t in ROLE_TABLES:
+        for c, k in O.SCHEMAS[t]:
+            if k == "datetime" or any(kw in c.lower().replace(" ", "_") for kw in DATE_KEYWORDS):
+                y = f"year({O.value_dt_sql(c, k)})" if k != "numeric" else f"CAST({c} AS INTEGER)"
+                parts.append(f"""SELECT '{t}' AS "table", '{c}' AS name, MIN({y}) || '-' || MAX({y}) AS estimated_range FROM {t}""")
+    return f"""WITH f AS (SELECT "table", name FROM {RP_SQL} p WHERE role = 'temporal' AND position = 1)
   SELECT t."table", f.name IS NOT NULL AS has_time_dimension, f.name AS time_column, y.estimated_range
-  FROM (SELECT DISTINCT "table" FROM {CAT_ROLES} c) t LEFT JOIN f ON f."table" = t."table" LEFT JOIN (
-    SELECT 'orders' AS "table", year(MIN(o_orderdate)) || '-' || year(MAX(o_orderdate)) AS estimated_range FROM orders
-    UNION ALL SELECT 'lineitem', year(MIN(l_shipdate)) || '-' || year(MAX(l_shipdate)) FROM lineitem
-    UNION ALL SELECT 'events', year(MIN(ts)) || '-' || year(MAX(ts)) FROM events) y ON y."table" = t."table" AND f.name IS NOT NULL""")
+  FROM (SELECT DISTINCT "table" FROM {CAT_ROLES} c) t LEFT JOIN f ON f."table" = t."table"
+  LEFT JOIN ({" UNION ALL ".join(parts)}) y ON y."table" = f."table" AND y.name = f.name"""
+
+
+@reg("time_coverage", _coverage_sql())
 def q_time_coverage(spark, sf):
     """K2: first temporal column and its year range."""
     tabs, _, rl = _ctx(spark, sf)
@@ -113,7 +121,7 @@ def q_kpi_definitions(spark, sf):
                     F.array_join("source_columns", ",").alias("source_columns"), "format", "time_grain", "compare_by")
 
 
-FLAT_SQL = f"""(SELECT "table", row_number() OVER (PARTITION BY "table" ORDER BY bucket_order, seq) AS position, kpi_name AS metric_name,
+FLAT_SQL = f"""(SELECT "table", CAST(row_number() OVER (PARTITION BY "table" ORDER BY bucket_order, seq) AS INTEGER) AS position, kpi_name AS metric_name,
     split_part(source_columns, ',', 1) AS "column",
     CASE WHEN bucket = 'comparative_metrics' THEN 'sum' WHEN contains(upper(formula), 'SUM') THEN 'sum' WHEN contains(upper(formula), 'AVG') THEN 'avg'
       WHEN contains(upper(formula), 'MIN') THEN 'min' WHEN contains(upper(formula), 'MAX') THEN 'max'
@@ -149,13 +157,26 @@ def q_kpi_values(spark, sf):
     return kpi.kpi_values(kpi.kpi_flatten(d, cat), tabs)
 
 
-@reg("kpi_trend_month", """SELECT 'orders' AS "table", 'Monthly o_totalprice Trend' AS metric_name, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period,
-    CAST(SUM(CAST(o_totalprice AS DECIMAL(38,6))) AS DOUBLE) AS value FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 3
-  UNION ALL SELECT 'orders', 'Monthly o_custkey Trend', CAST(date_trunc('month', o_orderdate) AS TIMESTAMP), CAST(SUM(CAST(o_custkey AS DECIMAL(38,6))) AS DOUBLE) FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 3
-  UNION ALL SELECT 'lineitem', 'Monthly l_orderkey Trend', CAST(date_trunc('month', l_shipdate) AS TIMESTAMP), CAST(SUM(CAST(l_orderkey AS DECIMAL(38,6))) AS DOUBLE) FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 3
-  UNION ALL SELECT 'lineitem', 'Monthly l_partkey Trend', CAST(date_trunc('month', l_shipdate) AS TIMESTAMP), CAST(SUM(CAST(l_partkey AS DECIMAL(38,6))) AS DOUBLE) FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 3
-  UNION ALL SELECT 'events', 'Monthly user_id Trend', CAST(date_trunc('month', ts) AS TIMESTAMP), CAST(SUM(CAST(user_id AS DECIMAL(38,6))) AS DOUBLE) FROM events WHERE ts IS NOT NULL GROUP BY 3
-  UNION ALL SELECT 'events', 'Monthly value Trend', CAST(date_trunc('month', ts) AS TIMESTAMP), CAST(SUM(CAST(value AS DECIMAL(38,6))) AS DOUBLE) FROM events WHERE ts IS NOT NULL GROUP BY 3""")
+def _trend_sql() -> str:
+    parts = []
+    for t in ROLE_TABLES:
+        cols = O.SCHEMAS[t]
+        temporal = [(c, k) for c, k in cols if k == "datetime" or any(kw in c.lower().replace(" ", "_") for kw in DATE_KEYWORDS)]
+        for tc, tk in temporal:
+            ts = O.value_dt_sql(tc, tk)
+            for m, mk in cols:
+                if mk != "numeric":
+                    continue
+                parts.append(f"""SELECT '{t}' AS "table", '{tc}' AS tcol, '{m}' AS measure, CAST(date_trunc('month', {ts}) AS TIMESTAMP) AS period,
+                  CAST(SUM(CAST({m} AS DECIMAL(38,6))) AS DOUBLE) AS value FROM {t} WHERE {ts} IS NOT NULL GROUP BY 4""")
+    allv = "\nUNION ALL\n".join(parts)
+    return f"""WITH kd AS {KDEFS_SQL}
+      SELECT k."table", k.kpi_name AS metric_name, v.period, v.value FROM kd k JOIN ({allv}) v ON v."table" = k."table"
+        AND v.tcol = split_part(k.source_columns, ',', 1) AND v.measure = split_part(k.source_columns, ',', 2)
+      WHERE k.bucket = 'trend_metrics'"""
+
+
+@reg("kpi_trend_month", _trend_sql())
 def q_kpi_trend(spark, sf):
     """K6: monthly SUM of the first two measures over the first temporal column."""
     tabs, _, _, d = _kdefs(spark, sf)
@@ -261,7 +282,7 @@ def _baseline_sql():
   n1 AS (SELECT "table", name AS n1 FROM p WHERE semantic_type = 'numeric' AND pos = 2),
   d0 AS (SELECT "table", name AS d0 FROM p WHERE semantic_type = 'datetime' AND pos = 1),
   c0 AS (SELECT "table", name AS c0 FROM p WHERE semantic_type = 'categorical' AND pos = 1)
-  SELECT n0."table", 1 AS rule_no, 1 AS seq, 'line' AS chart_type, n0 || ' over time' AS title, d0 AS x, n0 AS y, 'sum' AS aggregation, NULL AS group_by, CAST(0.8 AS DOUBLE) AS confidence FROM n0 JOIN d0 USING ("table")
+  SELECT n0."table", 1 AS rule_no, 1 AS seq, 'line' AS chart_type, n0 || ' over time' AS title, d0 AS x, n0 AS y, 'sum' AS aggregation, CAST(NULL AS VARCHAR) AS group_by, CAST(0.8 AS DOUBLE) AS confidence FROM n0 JOIN d0 USING ("table")
   UNION ALL SELECT "table", 1, 2, 'histogram', 'Distribution of ' || n0, n0, NULL, NULL, NULL, CAST(0.75 AS DOUBLE) FROM n0
   UNION ALL SELECT n0."table", 1, 3, 'scatter', n0 || ' vs ' || n1, n0, n1, NULL, NULL, CAST(0.7 AS DOUBLE) FROM n0 JOIN n1 USING ("table")
   UNION ALL SELECT n0."table", 1, 4, 'bar', n0 || ' by ' || c0, c0, n0, 'sum', NULL, CAST(0.72 AS DOUBLE) FROM n0 JOIN c0 USING ("table")"""

@@ -65,7 +65,7 @@ def q_missing_by_column(spark, sf):
                       F.round(F.col("missing_count") * 100.0 / F.col("n_rows"), 2).alias("missing_pct"))
 
 
-@reg("missing_overall", f"""SELECT SUM(missing_count) AS total_missing, MAX(n_rows) * COUNT(*) AS total_cells,
+@reg("missing_overall", f"""SELECT CAST(SUM(missing_count) AS BIGINT) AS total_missing, MAX(n_rows) * COUNT(*) AS total_cells,
   {PR("SUM(missing_count) / CAST(MAX(n_rows) * COUNT(*) AS DOUBLE)", 4)} AS missing_ratio_overall FROM {CAT_DIRTY}""")
 def q_missing_overall(spark, sf):
     _, cat, _ = catalog_for(spark, sf, "dirty_orders")
@@ -117,7 +117,7 @@ def _topk_sql(k):
     parts = [f"""SELECT '{t}' AS "table", '{c}' AS name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS count FROM {t}
              WHERE {c} IS NOT NULL GROUP BY {c}""" for t, c in TOPK]
     body = "\nUNION ALL\n".join(parts)
-    return f"""SELECT "table", name, rank, value, count FROM (
+    return f"""SELECT "table", name, CAST(rank AS INTEGER) AS rank, value, count FROM (
       SELECT *, row_number() OVER (PARTITION BY "table", name ORDER BY count DESC, value ASC) AS rank FROM ({body}) u)
       WHERE rank <= {k}"""
 
@@ -137,7 +137,7 @@ def q_topk_values(spark, sf):
 NULL_COLS = ["flag_text", "empty_col", "price_text", "date_text", "o_orderstatus", "constant_col"]
 
 
-@reg("topk_with_nulls", f"""SELECT name, rank, value, count FROM (
+@reg("topk_with_nulls", f"""SELECT name, CAST(rank AS INTEGER) AS rank, value, count FROM (
   SELECT *, row_number() OVER (PARTITION BY name ORDER BY count DESC, value ASC) AS rank FROM (
   {" UNION ALL ".join(f"SELECT '{c}' AS name, COALESCE(CAST({c} AS VARCHAR), 'nan') AS value, COUNT(*) AS count FROM {DIRTY} d GROUP BY 2" for c in NULL_COLS)}
   ) u) WHERE rank <= 10""")
@@ -148,7 +148,7 @@ def q_topk_with_nulls(spark, sf):
     return stats.topk_values(fk, 10).select("name", "rank", "value", "count")
 
 
-@reg("sample_values", f"""SELECT name, position, value FROM (
+@reg("sample_values", f"""SELECT name, CAST(position AS INTEGER) AS position, value FROM (
   SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY k) AS position FROM (
   {" UNION ALL ".join(f"SELECT '{c}' AS name, c_custkey AS k, CAST({c} AS VARCHAR) AS value FROM customer WHERE {c} IS NOT NULL" for c, _ in O.SCHEMAS["customer"])}
   ) u) WHERE position <= {SAMPLE_VALUES_COUNT}""")
@@ -280,7 +280,7 @@ TEXT = [("documents", "text"), ("pages", "html"), ("conversations", "text"), ("b
 
 @reg("text_profile", "\nUNION ALL\n".join(
     f"""SELECT '{t}' AS "table", '{c}' AS name, COUNT({c}) AS count, round(AVG(length({c})), 2) AS avg_length,
-    MIN(length({c})) AS min_length, MAX(length({c})) AS max_length FROM {t}""" for t, c in TEXT))
+    CAST(MIN(length({c})) AS INTEGER) AS min_length, CAST(MAX(length({c})) AS INTEGER) AS max_length FROM {t}""" for t, c in TEXT))
 def q_text_profile(spark, sf):
     """Length statistics over whole texts."""
     out = None
@@ -315,7 +315,7 @@ def q_semantic_builder(spark, sf):
 
 
 @reg("type_buckets", f"""WITH c AS {CAT_TYPES}, t AS (SELECT * FROM (VALUES ('numeric',0),('categorical',1),('datetime',2),('boolean',3),('text',4),('unknown',5)) v(semantic_type, type_order))
-  SELECT tb."table", t.semantic_type, t.type_order, COUNT(c.name) AS n_columns,
+  SELECT tb."table", t.semantic_type, t.type_order, CAST(COUNT(c.name) AS INTEGER) AS n_columns,
     COALESCE(string_agg(c.name, ',' ORDER BY c.ordinal), '') AS columns
   FROM (SELECT DISTINCT "table" FROM c) tb CROSS JOIN t LEFT JOIN c ON c."table" = tb."table" AND c.semantic_type = t.semantic_type
   GROUP BY 1, 2, 3""")
