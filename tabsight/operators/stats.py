@@ -202,3 +202,50 @@ def first_values(df: DataFrame, order_col: str, k: int, cols: list[str] | None =
     w = Window.partitionBy("name").orderBy("_ord")
     return (long.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
             .select(F.lit(table).alias("table"), "name", "position", "value"))
+
+
+def sketch_catalog(spark, df: DataFrame, table: str = "t", dayfirst: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Scale mode: the catalog from one pass over the raw rows, no value shuffle.
+
+    Distinct counts are HyperLogLog estimates (``approx_count_distinct`` with
+    relative error ``rsd``); everything else (nulls, lengths, parse successes,
+    domain tests, numeric range) is exact.  Each column contributes a handful of
+    partial aggregates, merged in one final step -- the cost is one scan however
+    large the table.  Same columns as ``build_catalog``'s catalog, so the type
+    rules, roles and chart rules run unchanged on it.
+    """
+    df = nan_to_null(df)
+    static = static_catalog(spark, df, table)
+    bool_dom = PIPELINE_BOOL_STRINGS
+    aggs, entries = [], []
+    for i, f in enumerate(df.schema.fields):
+        k = kind_of(f.dataType)
+        c = F.col(f"`{f.name}`")
+        txt = c.cast("string") if k != "other" else F.to_json(c)
+        num = c.cast("double") if k == "numeric" else (to_number(c) if k == "string" else F.lit(None).cast("double"))
+        dtv = c.cast("timestamp_ntz") if k == "datetime" else (to_datetime(c, dayfirst) if k == "string" else F.lit(None).cast("timestamp_ntz"))
+        ln = F.char_length(txt) if k == "string" else F.lit(None).cast("int")
+        aggs += [
+            F.count(F.lit(1)).alias(f"r{i}"), F.count(c).alias(f"n{i}"), F.approx_count_distinct(txt, rsd).alias(f"d{i}"),
+            F.sum(ln).alias(f"ls{i}"), F.min(ln).alias(f"lmin{i}"), F.max(ln).alias(f"lmax{i}"),
+            F.count(num).alias(f"np{i}"), F.count(dtv).alias(f"dp{i}"), F.min(num).alias(f"nmin{i}"), F.max(num).alias(f"nmax{i}"),
+            F.bool_and(F.when(c.isNotNull(), txt.isin(bool_dom))).alias(f"sb{i}"),
+            F.bool_and(F.when(c.isNotNull(), num.isin(0.0, 1.0))).alias(f"z{i}"),
+            F.bool_and(F.when(c.isNotNull(), F.lower(F.trim(txt)).isin(BOOL_TRUE + BOOL_FALSE))).alias(f"bb{i}"),
+        ]
+        entries.append(F.struct(
+            F.lit(f.name).alias("name"), F.lit(k).alias("kind"), F.col(f"r{i}").alias("n_rows"),
+            (F.col(f"r{i}") - F.col(f"n{i}")).alias("missing_count"), F.col(f"n{i}").alias("non_null"),
+            F.col(f"d{i}").alias("distinct_count"), F.col(f"ls{i}").cast("long").alias("len_sum"),
+            F.col(f"lmin{i}").alias("min_len"), F.col(f"lmax{i}").alias("max_len"), F.col(f"np{i}").alias("num_parsed"),
+            F.col(f"dp{i}").alias("dt_parsed"), F.col(f"nmin{i}").alias("num_min"), F.col(f"nmax{i}").alias("num_max"),
+            F.col(f"sb{i}").alias("str_bool"), F.col(f"z{i}").alias("zero_one"), F.col(f"bb{i}").alias("builder_bool")))
+    s = df.agg(*aggs).select(F.inline(F.array(*entries)))
+    nnd = F.col("non_null").cast("double")
+    s = s.select("*", (F.col("missing_count") / F.col("n_rows")).alias("missing_ratio"),
+                 F.when((F.col("kind") == "string") & (F.col("non_null") > 0), F.col("len_sum") / nnd).alias("avg_len"),
+                 F.when(F.col("non_null") > 0, F.col("num_parsed") / nnd).alias("num_ratio"),
+                 F.when(F.col("non_null") > 0, F.col("dt_parsed") / nnd).alias("dt_ratio"),
+                 (F.col("non_null") == 0).alias("is_empty"))
+    cat = static.select("table", "ordinal", "name", "dtype_raw").join(s, "name")
+    return with_semantic_types(cat)

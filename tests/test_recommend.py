@@ -45,3 +45,22 @@ def test_guess_aggregation(spark):
                                 ("total_qty", 0.0, 1.0)], "name string, lo double, hi double")
     out = [r[0] for r in df.select(recommend.guess_aggregation(F.col("name"), F.col("lo"), F.col("hi"))).collect()]
     assert out == ["avg", "avg", "sum", "sum"]
+
+
+def test_dashboard_runs_every_spec(spark):
+    from tabsight.plans.pipeline import dashboard
+
+    df = spark.createDataFrame([("ABC"[i % 3], 10 * (1 + i % 6), i * 0.5) for i in range(60)], "category string, sales int, w double")
+    specs, data = dashboard(spark, {"t": df})
+    assert len(data) == specs.count() >= 4
+    for k, d in data.items():
+        assert d.count() > 0, k
+
+
+def test_run_pipeline(spark):
+    from tabsight.plans.pipeline import run_pipeline
+
+    df = spark.createDataFrame([(1, "A"), (2, "B"), (3, "B"), (1000, None), (1, "A")], "value int, city string")
+    out = run_pipeline(spark, df, "q5")
+    assert out["quality"].first()["quality_score"] == 70.0
+    assert out["profile"].count() == 2

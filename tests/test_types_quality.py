@@ -94,3 +94,17 @@ def test_duplicates_fingerprint_matches_exact(spark):
     exact = duplicate_rows(df, fingerprint=False).first()["duplicate_row_count"]
     fp = duplicate_rows(df, fingerprint=True).first()["duplicate_row_count"]
     assert exact == fp == 2
+
+
+def test_sketch_catalog_agrees_on_types(spark):
+    from tabsight.operators.stats import sketch_catalog
+
+    rows = [(i, "a" if i <= 30 else "b", (dt.date(2024, 1, 1) + dt.timedelta(days=i - 1)).isoformat(), i % 2,
+             f"row_{i}_" + "x" * 80) for i in range(1, 61)]
+    df = spark.createDataFrame(rows, "num int, cat string, dt string, boolish int, text string")
+    exact, _ = build_catalog(spark, df, "t")
+    sk = sketch_catalog(spark, df, "t")
+    assert _types(sk) == _types(exact)
+    e = {r["name"]: r["distinct_count"] for r in exact.collect()}
+    a = {r["name"]: r["distinct_count"] for r in sk.collect()}
+    assert all(abs(a[k] - e[k]) <= max(1, 0.05 * e[k]) for k in e)
