@@ -88,8 +88,8 @@ def histogram(df: DataFrame, c: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """
     x = num(df, c)
     vals = nan_to_null(df.select(x.alias("x"))).where(F.col("x").isNotNull())
-    rng = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    j = vals.crossJoin(F.broadcast(rng))  # one-row side
+    rng = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("_k", F.lit(1))
+    j = vals.withColumn("_k", F.lit(1)).join(F.broadcast(rng), "_k")  # one-row side, equi-join on a constant
     w = F.col("hi") - F.col("lo")
     raw = F.least(F.floor((F.col("x") - F.col("lo")) / w * bins).cast("long"), F.lit(bins - 1))
     b = j.select("x", "lo", "hi", F.when(w == 0, F.lit(0).cast("long")).otherwise(raw).alias("bin"))
@@ -173,8 +173,8 @@ def bar_chart(df: DataFrame, x: str, y: str | None, agg: str = "sum") -> DataFra
 def pie_chart(df: DataFrame, x: str, y: str | None, agg: str = "sum") -> DataFrame:
     """Bar values plus the share of the total (total is a one-row aggregate)."""
     bars = bar_chart(df, x, y, agg)
-    total = bars.agg(F.sum("value").alias("_total"))
-    return bars.crossJoin(F.broadcast(total)).select(
+    total = bars.agg(F.sum("value").alias("_total")).withColumn("_k", F.lit(1))
+    return bars.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").select(
         "category", "value", F.try_divide(F.col("value"), F.col("_total")).alias("share"))
 
 

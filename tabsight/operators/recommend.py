@@ -93,8 +93,9 @@ def rule_specs(catalog: DataFrame, type_col: str = "semantic_type_builder") -> D
 
     # V4 relationships: first 3 column pairs (theta self-join on position), heatmap when >= 3 numerics
     elig = n_num.join(rows, "table").where((F.col("n_num") >= 2) & (F.col("n_rows") >= MIN_ROWS_FOR_SCATTER)).select("table")
-    a = num.select("table", F.col("pos").alias("pa"), F.col("name").alias("xa"))
-    b = num.select("table", F.col("pos").alias("pb"), F.col("name").alias("yb"))
+    # the first three combinations only ever use the first four numeric columns
+    a = num.where(F.col("pos") <= 3).select("table", F.col("pos").alias("pa"), F.col("name").alias("xa"))
+    b = num.where(F.col("pos") <= 4).select("table", F.col("pos").alias("pb"), F.col("name").alias("yb"))
     pairs = a.join(b, "table").where(F.col("pa") < F.col("pb")).join(elig, "table", "left_semi")
     pairs = pairs.withColumn("k", F.row_number().over(Window.partitionBy("table").orderBy("pa", "pb"))).where(F.col("k") <= 3)
     scatter = _spec(pairs, 4, F.col("k"), "scatter", F.concat(F.col("yb"), F.lit(" vs "), F.col("xa")), F.col("xa"),

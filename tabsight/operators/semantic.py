@@ -58,10 +58,8 @@ def with_semantic_types(stats: DataFrame) -> DataFrame:
 
 def type_buckets(catalog: DataFrame, type_col: str = "semantic_type") -> DataFrame:
     """T5: ordered name list per (table, type); all six types present per table."""
-    types = catalog.sparkSession.createDataFrame([(t, i) for i, t in enumerate(SEMANTIC_TYPES)],
-                                                 "semantic_type string, type_order int")
-    tables = catalog.select("table").distinct()
-    grid = tables.crossJoin(F.broadcast(types))  # tables x 6, metadata only
+    grid = catalog.select("table").distinct().select(
+        "table", F.posexplode(F.array(*[F.lit(t) for t in SEMANTIC_TYPES])).alias("type_order", "semantic_type"))
     lists = (catalog.groupBy("table", F.col(type_col).alias("semantic_type"))
              .agg(F.sort_array(F.collect_list(F.struct("ordinal", "name"))).alias("_c")))
     return (grid.join(lists, ["table", "semantic_type"], "left")
