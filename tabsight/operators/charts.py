@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import datetime_value, iso_text, kind_of, nan_to_null, numeric_value
 from ..functions.constants import HISTOGRAM_BINS, IQR_MULTIPLIER
-from .quantiles import quantile_columns, weighted_quantiles
+from ..session import stage
+from .quantiles import group_value_bound, quantile_columns, weighted_quantiles
 
 AGGREGATIONS = ["sum", "avg", "count", "min", "max", "median"]
 
@@ -56,7 +57,8 @@ def aggregate_by(df: DataFrame, keys: list[Column], names: list[str], y: Column
     if fn.lower() != "median":
         return kdf.groupBy(*names).agg(_agg(fn, F.col("_y")).alias(out))
     freq = kdf.where(F.col("_y").isNotNull()).groupBy(*names, "_y").agg(F.count(F.lit(1)).alias("cnt"))
-    q = weighted_quantiles(freq.withColumnRenamed("_y", "x"), names, [0.5], bounded_keys=False)
+    fx = freq.withColumnRenamed("_y", "x")
+    q = weighted_quantiles(fx, names, [0.5], bounded_keys=False, max_group_values=group_value_bound(fx, names))
     allk = kdf.select(*names).distinct()
     return allk.join(q.select(*names, F.col("quantile").alias(out)), names, "left")
 
@@ -137,7 +139,9 @@ def box_stats(df: DataFrame, y: str, by: str | None = None, multiplier: float =
     gkeys = keys if keys else ["_all"]
     if not keys:
         freq = freq.withColumn("_all", F.lit("all"))
-    qs = quantile_columns(weighted_quantiles(freq, gkeys, [0.25, 0.5, 0.75], bounded_keys=False), gkeys,
+    freq = stage(freq, "box-freq")
+    qs = quantile_columns(weighted_quantiles(freq, gkeys, [0.25, 0.5, 0.75], bounded_keys=False,
+                                             max_group_values=group_value_bound(freq, gkeys)), gkeys,
                           {0.25: "q1", 0.5: "median", 0.75: "q3"})
     iqr = F.col("q3") - F.col("q1")
     fences = qs.select(*gkeys, "q1", "median", "q3", (F.col("q1") - multiplier * iqr).alias("low_fence"),

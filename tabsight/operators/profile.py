@@ -14,7 +14,7 @@ from ..functions.rounding import py_round
 
 from ..functions.casts import finite_or_null, iso_text
 from ..functions.constants import BUILDER_TOP_K, TOP_K_CATEGORIES
-from .quantiles import quantile_columns, weighted_quantiles
+from .quantiles import catalog_value_bound, quantile_columns, weighted_quantiles
 from .stats import _dt_of, _num_of, numeric_moments, topk_values
 
 
@@ -34,7 +34,8 @@ def profile_report(df: DataFrame, catalog: DataFrame, freq_k: DataFrame, table:
         mom = numeric_moments(df, numeric_cols, table)
         fk = freq_k.where(F.col("name").isin(numeric_cols) & F.col("value").isNotNull())
         vals = fk.select("table", "name", _num_of(F.col("kind"), F.col("value")).alias("x"), "cnt").where(F.col("x").isNotNull())
-        q = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.5, 0.75]), ["table", "name"],
+        bound = catalog_value_bound(cat.where(F.col("name").isin(numeric_cols)))
+        q = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.5, 0.75], max_group_values=bound), ["table", "name"],
                              {0.25: "p25", 0.5: "median", 0.75: "p75"})
         num = mom.join(q, ["table", "name"], "left")
         if variant == "pipeline":

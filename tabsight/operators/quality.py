@@ -16,7 +16,7 @@ from ..functions.constants import (
     DUPLICATE_RATIO_WARNING, IQR_MULTIPLIER, MISSING_RATIO_HIGH, MISSING_RATIO_WARNING,
     QUALITY_THRESHOLD_DEFAULT,
 )
-from .quantiles import quantile_columns, weighted_quantiles
+from .quantiles import catalog_value_bound, quantile_columns, weighted_quantiles
 from .stats import _dt_of, _num_of, duplicate_rows
 
 
@@ -53,7 +53,8 @@ def iqr_outliers(freq_k: DataFrame, catalog: DataFrame, variant: str = "pipeline
     """
     type_col = type_col or ("semantic_type" if variant == "pipeline" else "semantic_type_builder")
     vals = _numeric_values(freq_k, catalog, type_col)
-    q = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.75]), ["table", "name"],
+    bound = catalog_value_bound(catalog.where(F.col(type_col) == "numeric"))
+    q = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.75], max_group_values=bound), ["table", "name"],
                          {0.25: "q1", 0.75: "q3"})
     n = vals.groupBy("table", "name").agg(F.sum("cnt").alias("n"))
     iqr = F.col("q3") - F.col("q1")

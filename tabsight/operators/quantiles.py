@@ -25,35 +25,53 @@ def _lerp(a, b, t):
     return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
+# a group whose distinct values are known to stay below this count is ranked by one
+# window task (sorted, spillable); larger or unknown groups take the range-partitioned path
+SMALL_GROUP_VALUES = 2_000_000
+
+
 def weighted_quantiles(freq: DataFrame, keys: list[str], qs: list[float], value: str = "x",
-                       weight: str = "cnt", bounded_keys: bool = True) -> DataFrame:
+                       weight: str = "cnt", bounded_keys: bool = True,
+                       max_group_values: int | None = None) -> DataFrame:
     """Exact quantiles per key group: ``(keys..., q, quantile)``.
 
     ``bounded_keys`` says the number of key groups is bounded by metadata (e.g. one
     group per column), which allows broadcasting the small per-key tables.
+    ``max_group_values`` is a proven bound on the distinct values of any group (from
+    the catalog); at most ``SMALL_GROUP_VALUES`` selects the single-window ranking.
     """
     spark = freq.sparkSession
     checkpoint_dir(spark)
     base = freq.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*keys, value, weight)
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the range-partition id is written with the rows, so it stays valid however the
-    # staged files are split when read back
-    t = stage(base.repartitionByRange(nparts, *keys, value).withColumn("_pid", F.spark_partition_id()), "ranks")
-
-    ptot = t.groupBy(*keys, "_pid").agg(F.sum(weight).alias("_ptot"))
-    offs = ptot.select(
-        *keys, "_pid",
-        (F.sum("_ptot").over(Window.partitionBy(*keys).orderBy("_pid")) - F.col("_ptot")).alias("_off"),
-        F.sum("_ptot").over(Window.partitionBy(*keys)).alias("_n"),
-    )
-    local = t.withColumn("_cum", F.sum(weight).over(
-        Window.partitionBy(*keys, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     small = (lambda d: F.broadcast(d)) if bounded_keys else (lambda d: d)
-    ranked = local.join(small(offs), [*keys, "_pid"]).select(
-        *keys, value,
-        (F.col("_off") + F.col("_cum") - F.col(weight)).alias("_first"),
-        (F.col("_off") + F.col("_cum")).alias("_end"),
-    )
+    if max_group_values is not None and max_group_values <= SMALL_GROUP_VALUES:
+        w = Window.partitionBy(*keys)
+        ranked = base.select(
+            *keys, value, weight,
+            F.sum(weight).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("_end"),
+            F.sum(weight).over(w).alias("_n"))
+        ranked = ranked.select(*keys, value, (F.col("_end") - F.col(weight)).alias("_first"), "_end", "_n")
+        offs = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"))
+        ranked = ranked.drop("_n")
+    else:
+        nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # the range-partition id is written with the rows, so it stays valid however the
+        # staged files are split when read back
+        t = stage(base.repartitionByRange(nparts, *keys, value).withColumn("_pid", F.spark_partition_id()), "ranks")
+
+        ptot = t.groupBy(*keys, "_pid").agg(F.sum(weight).alias("_ptot"))
+        offs = ptot.select(
+            *keys, "_pid",
+            (F.sum("_ptot").over(Window.partitionBy(*keys).orderBy("_pid")) - F.col("_ptot")).alias("_off"),
+            F.sum("_ptot").over(Window.partitionBy(*keys)).alias("_n"),
+        )
+        local = t.withColumn("_cum", F.sum(weight).over(
+            Window.partitionBy(*keys, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+        ranked = local.join(small(offs), [*keys, "_pid"]).select(
+            *keys, value,
+            (F.col("_off") + F.col("_cum") - F.col(weight)).alias("_first"),
+            (F.col("_off") + F.col("_cum")).alias("_end"),
+        )
 
     qarr = F.array(*[F.lit(float(q)) for q in qs])
     targets = (offs.groupBy(*keys).agg(F.max("_n").alias("_n"))
@@ -76,7 +94,20 @@ def weighted_quantiles(freq: DataFrame, keys: list[str], qs: list[float], value:
     frac = F.col("_pos") - F.floor("_pos")
     out = res.select(*keys, "q", _lerp(F.col("_a"), F.col("_b"), frac).alias("quantile"))
     # keys x quantiles rows; staged so plans that use it twice do not recompute it
-    return stage(out, "quantiles") if bounded_keys else out
+    return stage(out, "quantiles")
+
+
+def group_value_bound(freq: DataFrame, keys: list[str]) -> int:
+    """Largest number of distinct values in any group (one aggregate, one number to the driver)."""
+    r = freq.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d").alias("m")).first()
+    return int(r["m"] or 0)
+
+
+def catalog_value_bound(catalog: DataFrame, names: list[str] | None = None) -> int:
+    """Largest distinct count among catalog columns (metadata, already computed)."""
+    c = catalog if names is None else catalog.where(F.col("name").isin(names))
+    r = c.agg(F.max("distinct_count").alias("m")).first()
+    return int(r["m"] or 0)
 
 
 def quantile_columns(qdf: DataFrame, keys: list[str], names: dict[float, str]) -> DataFrame:

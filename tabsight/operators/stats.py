@@ -131,7 +131,8 @@ def numeric_moments(df: DataFrame, cols: list[str], table: str = "t", parse_text
     return row.select(F.inline(entries)).select(F.lit(table).alias("table"), "*")
 
 
-def quartiles(freq_k: DataFrame, names: list[str] | None = None, parse_text: bool = False) -> DataFrame:
+def quartiles(freq_k: DataFrame, names: list[str] | None = None, parse_text: bool = False,
+              max_group_values: int | None = None) -> DataFrame:
     """Exact p25/median/p75 per numeric column from A0 (no group in one task)."""
     fk = freq_k
     if names is not None:
@@ -141,7 +142,7 @@ def quartiles(freq_k: DataFrame, names: list[str] | None = None, parse_text: boo
             "table", "name", _num_of(F.col("kind"), F.col("value")).alias("x"), "cnt").where(F.col("x").isNotNull())
     else:
         num = numeric_frequencies(fk)
-    q = weighted_quantiles(num, ["table", "name"], [0.25, 0.5, 0.75])
+    q = weighted_quantiles(num, ["table", "name"], [0.25, 0.5, 0.75], max_group_values=max_group_values)
     return quantile_columns(q, ["table", "name"], {0.25: "p25", 0.5: "median", 0.75: "p75"})
 
 

@@ -15,7 +15,7 @@ from ..functions.casts import columns_of_kind
 from ..functions.constants import IQR_MULTIPLIER
 from ..functions.rounding import py_round
 from ..operators.freq import numeric_frequencies
-from ..operators.quantiles import quantile_columns, weighted_quantiles
+from ..operators.quantiles import catalog_value_bound, quantile_columns, weighted_quantiles
 from ..operators.stats import build_catalog, numeric_moments
 from ..sources.tables import load
 
@@ -25,7 +25,8 @@ def numeric_profile_with_outliers(spark: SparkSession, df: DataFrame, table: str
     num_cols = columns_of_kind(df, "numeric")
     mom = numeric_moments(df, num_cols, table)
     vals = numeric_frequencies(fk)
-    qs = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.5, 0.75]), ["table", "name"],
+    bound = catalog_value_bound(cat.where(F.col("name").isin(num_cols)))
+    qs = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.5, 0.75], max_group_values=bound), ["table", "name"],
                           {0.25: "p25", 0.5: "median", 0.75: "p75"})
     iqr = F.col("p75") - F.col("p25")
     fences = qs.select("table", "name", "p25", "median", "p75", (F.col("p25") - IQR_MULTIPLIER * iqr).alias("low"),

@@ -10,6 +10,7 @@ from ..functions import casts
 from ..functions.constants import EDA_SAMPLE_VALUES, HISTOGRAM_BINS, PREVIEW_ROWS, SAMPLE_VALUES_COUNT
 from ..operators import charts, semantic, stats
 from ..operators.freq import static_catalog, value_frequencies, with_kind
+from ..operators.quantiles import catalog_value_bound
 from . import oracle as O
 from ..functions.rounding import py_round_sql as PR
 from .common import catalog_for, multi_catalog, r6, table
@@ -191,8 +192,8 @@ def q_numeric_profile(spark, sf):
     for t, cols in [("lineitem", NUM_COLS), ("customer", ["c_acctbal"])]:
         df = table(spark, sf, t)
         mom = stats.numeric_moments(df, cols, t)
-        fk = with_kind(value_frequencies(df, t, cols), static_catalog(spark, df, t))
-        qs = stats.quartiles(fk)
+        cat, fk = stats.build_catalog(spark, df.select(*cols), t)
+        qs = stats.quartiles(fk, max_group_values=catalog_value_bound(cat))
         one = mom.join(qs, ["table", "name"]).select(
             "table", "name", "count", "mean", r6("std").alias("std"), "min",
             r6("p25").alias("p25"), r6("median").alias("median"), r6("p75").alias("p75"), "max")
