@@ -15,7 +15,7 @@ from ..functions.rounding import py_round
 from ..functions.casts import finite_or_null, iso_text
 from ..functions.constants import BUILDER_TOP_K, TOP_K_CATEGORIES
 from .quantiles import catalog_value_bound, quantile_columns, weighted_quantiles
-from .stats import _dt_of, _num_of, numeric_moments, topk_values
+from .stats import _dt_of, _num_of, moments_from_frequencies, topk_values
 
 
 def profile_report(df: DataFrame, catalog: DataFrame, freq_k: DataFrame, table: str,
@@ -31,7 +31,7 @@ def profile_report(df: DataFrame, catalog: DataFrame, freq_k: DataFrame, table:
 
     # numeric: moments over the raw rows + exact quartiles over A0
     if numeric_cols:
-        mom = numeric_moments(df, numeric_cols, table)
+        mom = moments_from_frequencies(freq_k, numeric_cols)
         fk = freq_k.where(F.col("name").isin(numeric_cols) & F.col("value").isNotNull())
         vals = fk.select("table", "name", _num_of(F.col("kind"), F.col("value")).alias("x"), "cnt").where(F.col("x").isNotNull())
         bound = catalog_value_bound(cat.where(F.col("name").isin(numeric_cols)))

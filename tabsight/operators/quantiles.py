@@ -27,7 +27,7 @@ def _lerp(a, b, t):
 
 # a group whose distinct values are known to stay below this count is ranked by one
 # window task (sorted, spillable); larger or unknown groups take the range-partitioned path
-SMALL_GROUP_VALUES = 2_000_000
+SMALL_GROUP_VALUES = 50_000
 
 
 def weighted_quantiles(freq: DataFrame, keys: list[str], qs: list[float], value: str = "x",

@@ -250,3 +250,27 @@ def sketch_catalog(spark, df: DataFrame, table: str = "t", dayfirst: bool = Fals
                  (F.col("non_null") == 0).alias("is_empty"))
     cat = static.select("table", "ordinal", "name", "dtype_raw").join(s, "name")
     return with_semantic_types(cat)
+
+
+def moments_from_frequencies(freq_k: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """A10 from A0 instead of the raw rows: count, exact mean, std (ddof=1), min, max.
+
+    The raw table is not scanned again.  The mean is an exact DECIMAL sum over
+    value x count; the std is a second pass over the (already staged) A0 rows with
+    the per-column mean broadcast back (one row per column).
+    """
+    fk = freq_k.where(F.col("value").isNotNull())
+    if names is not None:
+        fk = fk.where(F.col("name").isin(names))
+    vals = fk.select("table", "name", _num_of(F.col("kind"), F.col("value")).alias("x"), "cnt").where(F.col("x").isNotNull())
+    first = vals.groupBy("table", "name").agg(
+        F.sum("cnt").alias("count"),
+        (F.sum(F.col("x").cast("decimal(38,6)") * F.col("cnt").cast("decimal(38,0)")).cast("double")
+         / F.sum("cnt")).alias("mean"),
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    dev = (vals.join(F.broadcast(first.select("table", "name", "mean")), ["table", "name"])
+           .groupBy("table", "name")
+           .agg(F.sum(F.col("cnt") * (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))).alias("_ss")))
+    return first.join(dev, ["table", "name"]).select(
+        "table", "name", "count", "mean",
+        F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1))).alias("std"), "min", "max")

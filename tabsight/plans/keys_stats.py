@@ -191,8 +191,8 @@ def q_numeric_profile(spark, sf):
     out = None
     for t, cols in [("lineitem", NUM_COLS), ("customer", ["c_acctbal"])]:
         df = table(spark, sf, t)
-        mom = stats.numeric_moments(df, cols, t)
         cat, fk = stats.build_catalog(spark, df.select(*cols), t)
+        mom = stats.moments_from_frequencies(fk)
         qs = stats.quartiles(fk, max_group_values=catalog_value_bound(cat))
         one = mom.join(qs, ["table", "name"]).select(
             "table", "name", "count", "mean", r6("std").alias("std"), "min",
