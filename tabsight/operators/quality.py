@@ -188,26 +188,44 @@ def _pct1(c: Column) -> Column:
     return F.concat(F.format_number(py_round(c * 100, 1), 1), F.lit("%"))
 
 
+def _pct(c: Column) -> Column:
+    """Python's ``format(x, '.1%')``: x*100 rounded half-even on the binary value, one decimal."""
+    return F.concat(F.format_string("%.1f", py_round(c * 100.0, 1)), F.lit("%"))
+
+
+def _pylist(names: Column) -> Column:
+    """Python's repr of a list of strings: ['a', 'b']."""
+    return F.concat(F.lit("['"), F.array_join(names, "', '"), F.lit("']"))
+
+
 def quality_warnings(catalog: DataFrame, summary: DataFrame, outliers: DataFrame) -> DataFrame:
-    """Q10 (pipeline): rule rows (table, code, level, subject, value)."""
+    """Q10 (pipeline): warning/error rows (table, seq, code, level, message) in report order."""
     ov = summary.where(F.col("missing_ratio_overall") > MISSING_RATIO_WARNING).select(
-        "table", F.lit("missing_overall").alias("code"), F.lit("warning").alias("level"), F.lit(None).cast("string").alias("subject"),
-        F.col("missing_ratio_overall").cast("double").alias("value"))
-    col_miss = catalog.where(py_round(F.col("missing_ratio"), 4) > MISSING_RATIO_HIGH).select(
-        "table", F.lit("missing_column").alias("code"), F.lit("warning").alias("level"), F.col("name").alias("subject"),
-        py_round(F.col("missing_ratio"), 4).alias("value"))
+        "table", F.lit(1).alias("seq"), F.lit("missing_overall").alias("code"), F.lit("warning").alias("level"),
+        F.concat(F.lit("Overall missing ratio is "), _pct(F.col("missing_ratio_overall")), F.lit(" (threshold: 5%).")).alias("message"))
+    # rounded once into a column: py_round repeats its argument, so nesting it would blow up the generated code
+    mr = F.col("_mr")
+    col_miss = catalog.withColumn("_mr", py_round(F.col("missing_ratio"), 4)).where(mr > MISSING_RATIO_HIGH).select(
+        "table", (F.lit(100) + F.col("ordinal")).alias("seq"), F.lit("missing_column").alias("code"), F.lit("warning").alias("level"),
+        F.concat(F.lit("Column '"), F.col("name"), F.lit("' has "), _pct(mr), F.lit(" missing values.")).alias("message"))
     dup = summary.where(F.col("duplicate_row_ratio") > DUPLICATE_RATIO_WARNING).select(
-        "table", F.lit("duplicates").alias("code"), F.lit("warning").alias("level"), F.lit(None).cast("string").alias("subject"),
-        F.col("duplicate_row_count").cast("double").alias("value"))
+        "table", F.lit(2000).alias("seq"), F.lit("duplicates").alias("code"), F.lit("warning").alias("level"),
+        F.concat(F.col("duplicate_row_count").cast("string"), F.lit(" duplicate rows detected ("),
+                 _pct(F.col("duplicate_row_ratio")), F.lit(" of data).")).alias("message"))
     outl = outliers.where(F.col("outlier_count") > 0).groupBy("table").agg(
-        F.sum("outlier_count").cast("double").alias("value"), F.count(F.lit(1)).alias("_n")).select(
-        "table", F.lit("outliers").alias("code"), F.lit("warning").alias("level"), F.lit(None).cast("string").alias("subject"), "value")
-    const = catalog.where((F.col("distinct_count") <= 1) & ~F.col("is_empty")).select(
-        "table", F.lit("constant_column").alias("code"), F.lit("warning").alias("level"), F.col("name").alias("subject"),
-        F.lit(None).cast("double").alias("value"))
-    empty = catalog.where(F.col("is_empty")).select(
-        "table", F.lit("empty_column").alias("code"), F.lit("error").alias("level"), F.col("name").alias("subject"),
-        F.lit(None).cast("double").alias("value"))
+        F.sum("outlier_count").alias("_t"), F.count(F.lit(1)).alias("_n")).select(
+        "table", F.lit(3000).alias("seq"), F.lit("outliers").alias("code"), F.lit("warning").alias("level"),
+        F.concat(F.col("_t").cast("string"), F.lit(" outlier values detected across "), F.col("_n").cast("string"),
+                 F.lit(" numeric column(s).")).alias("message"))
+
+    def listed(cond, seq, code, level, prefix):
+        g = catalog.where(cond).groupBy("table").agg(F.sort_array(F.collect_list(F.struct("ordinal", "name"))).alias("_c"))
+        return g.select("table", F.lit(seq).alias("seq"), F.lit(code).alias("code"), F.lit(level).alias("level"),
+                        F.concat(F.lit(prefix), _pylist(F.transform("_c", lambda x: x["name"]))).alias("message"))
+
+    const = listed((F.col("distinct_count") <= 1) & ~F.col("is_empty"), 4000, "constant_columns", "warning",
+                   "Constant (single-value) columns: ")
+    empty = listed(F.col("is_empty"), 5000, "empty_columns", "error", "Fully empty columns: ")
     return ov.unionByName(col_miss).unionByName(dup).unionByName(outl).unionByName(const).unionByName(empty)
 
 

@@ -221,13 +221,31 @@ def q_quality_quick(spark, sf):
     return quality.quick_quality(table(spark, sf, "dirty_orders"), "dirty_orders")
 
 
-@reg("quality_warnings", f"""WITH c AS {CAT}, s AS ({SUMMARY_SQL}), o AS ({_outlier_sql("pipeline")})
-  SELECT "table", 'missing_overall' AS code, 'warning' AS level, NULL AS subject, CAST(missing_ratio_overall AS DOUBLE) AS value FROM s WHERE missing_ratio_overall > 0.05
-  UNION ALL SELECT "table", 'missing_column', 'warning', name, {PR('missing_ratio', 4)} FROM c WHERE {PR('missing_ratio', 4)} > 0.3
-  UNION ALL SELECT "table", 'duplicates', 'warning', NULL, CAST(duplicate_row_count AS DOUBLE) FROM s WHERE duplicate_row_ratio > 0.05
-  UNION ALL SELECT "table", 'outliers', 'warning', NULL, CAST(SUM(outlier_count) AS DOUBLE) FROM o WHERE outlier_count > 0 GROUP BY "table"
-  UNION ALL SELECT "table", 'constant_column', 'warning', name, NULL FROM c WHERE distinct_count <= 1 AND NOT is_empty
-  UNION ALL SELECT "table", 'empty_column', 'error', name, NULL FROM c WHERE is_empty""")
+def _pct_sql(e: str) -> str:
+    return "(printf('%.1f', " + PR(f"({e}) * 100.0", 1) + ") || '%')"
+
+
+_Q = "'"
+QW_SQL = (
+    f"WITH c AS {CAT}, s AS ({SUMMARY_SQL}), o AS ({_outlier_sql('pipeline')})\n"
+    f"SELECT \"table\", 1 AS seq, 'missing_overall' AS code, 'warning' AS level, "
+    f"'Overall missing ratio is ' || {_pct_sql('missing_ratio_overall')} || ' (threshold: 5%).' AS message "
+    f"FROM s WHERE missing_ratio_overall > 0.05\n"
+    f"UNION ALL SELECT \"table\", 100 + ordinal, 'missing_column', 'warning', "
+    f"'Column {_Q}{_Q}' || name || '{_Q}{_Q} has ' || {_pct_sql(PR('missing_ratio', 4))} || ' missing values.' "
+    f"FROM c WHERE {PR('missing_ratio', 4)} > 0.3\n"
+    f"UNION ALL SELECT \"table\", 2000, 'duplicates', 'warning', duplicate_row_count || ' duplicate rows detected (' || "
+    f"{_pct_sql('duplicate_row_ratio')} || ' of data).' FROM s WHERE duplicate_row_ratio > 0.05\n"
+    f"UNION ALL SELECT \"table\", 3000, 'outliers', 'warning', SUM(outlier_count) || ' outlier values detected across ' || "
+    f"COUNT(*) || ' numeric column(s).' FROM o WHERE outlier_count > 0 GROUP BY \"table\"\n"
+    f"UNION ALL SELECT \"table\", 4000, 'constant_columns', 'warning', 'Constant (single-value) columns: [{_Q}{_Q}' || "
+    f"string_agg(name, '{_Q}{_Q}, {_Q}{_Q}' ORDER BY ordinal) || '{_Q}{_Q}]' FROM c WHERE distinct_count <= 1 AND NOT is_empty GROUP BY \"table\"\n"
+    f"UNION ALL SELECT \"table\", 5000, 'empty_columns', 'error', 'Fully empty columns: [{_Q}{_Q}' || "
+    f"string_agg(name, '{_Q}{_Q}, {_Q}{_Q}' ORDER BY ordinal) || '{_Q}{_Q}]' FROM c WHERE is_empty GROUP BY \"table\""
+)
+
+
+@reg("quality_warnings", QW_SQL)
 def q_quality_warnings(spark, sf):
     """Q10: warning/error rows of the pipeline report."""
     s, cat, fk = _summary(spark, sf)
