@@ -49,3 +49,15 @@ def test_bad_suffix(spark, tmp_path):
     p.write_text("x")
     with pytest.raises(readers.DataLoadError):
         readers.read_table(spark, str(p))
+
+
+def test_check_source(spark, tmp_path):
+    p = tmp_path / "ok.csv"
+    p.write_text("a,b\n1,2\n")
+    r = readers.check_source(spark, str(p), limit_bytes=1024).first()
+    assert r["files"] == 1 and r["bytes"] == p.stat().st_size and r["within_limit"]
+    assert not readers.check_source(spark, str(p), limit_bytes=4).first()["within_limit"]
+    with pytest.raises(readers.DataLoadError):
+        readers.check_source(spark, str(tmp_path / "missing.csv"))
+    with pytest.raises(readers.DataLoadError):
+        readers.check_source(spark, str(tmp_path / "x.txt"))
