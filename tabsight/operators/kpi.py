@@ -113,13 +113,15 @@ def kpi_values(flat: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         part = None
         if aggs:
             part = df.agg(*aggs).select(F.inline(F.array(*entries))).select(F.lit(t).alias("table"), "position", "value")
-        for r in mine:
-            if r["aggregation"] != "median":
-                continue
-            x = df.select(num(df, r["column"]).alias("x")).where(F.col("x").isNotNull())
-            f = x.groupBy("x").agg(F.count(F.lit(1)).alias("cnt")).withColumn("_k", F.lit(1))
-            med = weighted_quantiles(f, ["_k"], [0.5]).select(F.lit(t).alias("table"), F.lit(r["position"]).alias("position"),
-                                                              F.col("quantile").alias("value"))
+        meds = [r for r in mine if r["aggregation"] == "median"]
+        if meds:
+            # all medians of the table from one scan: unpivot to (position, x), count each value once
+            # (map-side), then one exact quantile pass keyed by the KPI position
+            cells = F.array(*[F.struct(F.lit(r["position"]).alias("position"), num(df, r["column"]).alias("x")) for r in meds])
+            f = (df.select(F.inline(cells)).where(F.col("x").isNotNull())
+                 .groupBy("position", "x").agg(F.count(F.lit(1)).alias("cnt")))
+            med = weighted_quantiles(f, ["position"], [0.5]).select(F.lit(t).alias("table"), "position",
+                                                                    F.col("quantile").alias("value"))
             part = med if part is None else part.unionByName(med)
         if part is not None:
             out = part if out is None else out.unionByName(part)

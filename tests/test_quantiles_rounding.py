@@ -33,3 +33,22 @@ def test_py_round_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     for r in df.select("x", py_round(F.col("x"), 4).alias("r4"), py_round(F.col("x"), 1).alias("r1")).collect():
         assert r["r4"] == round(r["x"], 4) and r["r1"] == round(r["x"], 1)
+
+
+def test_kpi_values_medians_in_one_pass(spark):
+    from tabsight.operators.kpi import kpi_values
+
+    rnd = random.Random(11)
+    rows = [(float(rnd.randint(0, 50)), rnd.uniform(-10, 10) if i % 7 else None, f"c{i % 3}") for i in range(997)]
+    df = spark.createDataFrame(rows, "a double, b double, c string")
+    flat = spark.createDataFrame(
+        [("t", 1, "Median A", "a", "median"), ("t", 2, "Total A", "a", "sum"), ("t", 3, "Median B", "b", "median"),
+         ("t", 4, "Rows", "c", "count")],
+        "table string, position int, metric_name string, column string, aggregation string")
+    got = {r["position"]: r["value"] for r in kpi_values(flat, {"t": df}).collect()}
+    a = np.array([r[0] for r in rows])
+    b = np.array([r[1] for r in rows if r[1] is not None])
+    assert got[1] == pytest.approx(float(np.median(a)), abs=1e-12)
+    assert got[2] == pytest.approx(float(a.sum()), abs=1e-6)
+    assert got[3] == pytest.approx(float(np.median(b)), abs=1e-12)
+    assert got[4] == 997
