@@ -86,7 +86,7 @@ def text_lengths(df: DataFrame, c: str) -> DataFrame:
 def histogram(df: DataFrame, c: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins over [min, max], last bin closed; edges as ``lo + i*(hi-lo)/bins``.
 
-    The min/max row is one row (cross join of a one-row aggregate).
+    The min/max row is one row, broadcast and joined on a constant key (no cross join).
     """
     x = num(df, c)
     vals = nan_to_null(df.select(x.alias("x"))).where(F.col("x").isNotNull())

@@ -71,4 +71,5 @@ def stage(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known: reading it back with it skips the footer-inference job
+    return spark.read.schema(df.schema).parquet(path)
