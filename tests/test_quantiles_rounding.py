@@ -52,3 +52,20 @@ def test_kpi_values_medians_in_one_pass(spark):
     assert got[2] == pytest.approx(float(a.sum()), abs=1e-6)
     assert got[3] == pytest.approx(float(np.median(b)), abs=1e-12)
     assert got[4] == 997
+
+
+def test_quantiles_hot_group_across_ranges(spark):
+    # one group holds a third of all rows (and one value a third of that group); the
+    # range-partitioned path must split it over several ranges and stay exact
+    rnd = random.Random(5)
+    groups = {"hot": [7.0] * 1000 + [rnd.uniform(0, 100) for _ in range(2000)]}
+    for k in range(6):
+        groups[f"g{k}"] = [rnd.uniform(-50, 50) for _ in range(1000)]
+    rows = [(g, v) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(8)
+    freq = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("cnt"))
+    q = quantile_columns(weighted_quantiles(freq, ["g"], [0.1, 0.5, 0.9], bounded_keys=False), ["g"],
+                         {0.1: "a", 0.5: "b", 0.9: "c"})
+    got = {r["g"]: (r["a"], r["b"], r["c"]) for r in q.collect()}
+    for g, vs in groups.items():
+        assert np.allclose(got[g], np.quantile(np.array(vs), [0.1, 0.5, 0.9]), rtol=0, atol=1e-9), g
