@@ -73,3 +73,13 @@ def test_spread_is_capped_per_split(spark, monkeypatch):
     assert tables.spread(one).rdd.getNumPartitions() == min(par, 2)
     wide = spark.range(100).repartition(par)
     assert tables.spread(wide).rdd.getNumPartitions() == par  # already spread: unchanged
+
+
+def test_stage_round_trip_keeps_schema(spark):
+    from tabsight.session import stage
+
+    empty = spark.createDataFrame([], "a int, b string, c array<double>")
+    back = stage(empty, "empty")
+    assert back.count() == 0 and [f.name for f in back.schema] == ["a", "b", "c"]
+    rows = spark.createDataFrame([(1, "x", [1.5]), (None, None, None)], "a int, b string, c array<double>")
+    assert sorted(stage(rows, "rows").collect(), key=lambda r: str(r)) == sorted(rows.collect(), key=lambda r: str(r))
