@@ -86,18 +86,21 @@ def text_lengths(df: DataFrame, c: str) -> DataFrame:
 def histogram(df: DataFrame, c: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins over [min, max], last bin closed; edges as ``lo + i*(hi-lo)/bins``.
 
-    The min/max row is one row, broadcast and joined on a constant key (no cross join).
+    The range is a one-row aggregate fetched first (two numbers) and used as
+    literals, so binning is a projection plus one grouped count -- no join.
     """
     x = num(df, c)
     vals = nan_to_null(df.select(x.alias("x"))).where(F.col("x").isNotNull())
-    rng = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("_k", F.lit(1))
-    j = vals.withColumn("_k", F.lit(1)).join(F.broadcast(rng), "_k")  # one-row side, equi-join on a constant
-    w = F.col("hi") - F.col("lo")
-    raw = F.least(F.floor((F.col("x") - F.col("lo")) / w * bins).cast("long"), F.lit(bins - 1))
-    b = j.select("x", "lo", "hi", F.when(w == 0, F.lit(0).cast("long")).otherwise(raw).alias("bin"))
-    return (b.groupBy("bin").agg(F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.count(F.lit(1)).alias("count"))
-            .select("bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("bin_low"),
-                    (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + 1) / bins).alias("bin_high"), "count"))
+    r = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    # no values: any range gives the same (empty) result
+    lo = F.lit(float(r["lo"]) if r["lo"] is not None else 0.0)
+    hi = F.lit(float(r["hi"]) if r["hi"] is not None else 0.0)
+    w = hi - lo
+    same = r["lo"] is None or float(r["lo"]) == float(r["hi"])
+    b = F.lit(0).cast("long") if same else F.least(F.floor((F.col("x") - lo) / w * bins).cast("long"), F.lit(bins - 1))
+    return (vals.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+            .select("bin", (lo + (hi - lo) * F.col("bin") / bins).alias("bin_low"),
+                    (lo + (hi - lo) * (F.col("bin") + 1) / bins).alias("bin_high"), "count"))
 
 
 # ---------------------------------------------------------------- A20 / C7 correlation
@@ -175,11 +178,12 @@ def bar_chart(df: DataFrame, x: str, y: str | None, agg: str = "sum") -> DataFra
 
 
 def pie_chart(df: DataFrame, x: str, y: str | None, agg: str = "sum") -> DataFrame:
-    """Bar values plus the share of the total (total is a one-row aggregate)."""
-    bars = bar_chart(df, x, y, agg)
-    total = bars.agg(F.sum("value").alias("_total")).withColumn("_k", F.lit(1))
-    return bars.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").select(
-        "category", "value", F.try_divide(F.col("value"), F.col("_total")).alias("share"))
+    """Bar values plus the share of the total (a one-row aggregate, used as a literal)."""
+    # one row per category, staged so the total and the shares read it instead of re-scanning the table
+    bars = stage(bar_chart(df, x, y, agg), "pie-bars")
+    total = bars.agg(F.sum("value").alias("_total")).first()["_total"]  # one row
+    t = F.lit(total) if total is not None else F.lit(None).cast("double")
+    return bars.select("category", "value", F.try_divide(F.col("value"), t).alias("share"))
 
 
 def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -174,7 +174,12 @@ def quick_quality(df: DataFrame, table: str = "t") -> DataFrame:
     missing = df.agg(F.count(F.lit(1)).alias("rows"),
                      sum([F.sum(F.col(f"`{c}`").isNull().cast("long")) for c in df.columns]).alias("missing"))
     d = duplicate_rows(df, table)
-    j = missing.withColumn("_k", F.lit(1)).join(d.select("duplicate_row_count").withColumn("_k", F.lit(1)), "_k")  # one row each
+    # two one-row aggregates combined by a union and a two-row aggregate (no join)
+    none = F.lit(None).cast("long")
+    j = (missing.select("rows", "missing", none.alias("duplicate_row_count"))
+         .unionByName(d.select(none.alias("rows"), none.alias("missing"), "duplicate_row_count"))
+         .agg(F.max("rows").alias("rows"), F.max("missing").alias("missing"),
+              F.max("duplicate_row_count").alias("duplicate_row_count")))
     mp = F.col("missing") / (F.col("rows") * ncols) * 100
     dp = F.col("duplicate_row_count") / F.col("rows") * 100
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - mp * 1.5 - dp * 0.5))
