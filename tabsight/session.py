@@ -1,11 +1,12 @@
-"""Session helpers: local sessions for tests/bench and the checkpoint folder."""
+"""Session helpers: local sessions for tests/bench, the shared checkpoint folder and staged tables."""
 
 from __future__ import annotations
 
-import os
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "tabsight") -> SparkSession:
@@ -24,6 +25,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabsight-ckpt-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,45 +33,72 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder used for checkpoints and staged tables.
+    """The shared folder for checkpoints and staged tables, as ``spark.checkpoint.dir`` names it.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir`` (or one already
-    set on the context).  Only when nothing is configured -- local tests -- a
-    scratch folder is created and registered.
+    Where it is unset, a single-process ``local[...]`` session gets a folder of its own; on a
+    cluster there is no safe default (a machine-local folder would lose rows), so that raises.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tabsight-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint folder for staged writes."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    if "://" in base:
-        import uuid
+_STAGED: list[str] = []
+
 
-        return f"{base.rstrip('/')}/staged-{name}-{uuid.uuid4().hex}"
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"staged-{name}-", dir=base)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh sub-folder (not yet created) of the checkpoint folder; any file system Spark knows."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
-def stage(df, name: str):
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     One job (a reliable ``checkpoint()`` runs the plan twice unless cached); the
     lineage is cut, so a lost executor re-reads the staged files instead of
-    re-running the shuffle that produced them.
+    re-running the shuffle that produced them.  ``drop_staged`` removes the files
+    once nothing reads them any more.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     # the schema is known: reading it back with it skips the footer-inference job
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Remove the files of staged frames that nothing will read again."""
+    for df in frames:
+        path = getattr(df, "staged_path", None)
+        if path in _STAGED:
+            _STAGED.remove(path)
+            _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession):
+    """Every table staged inside the block is removed at its end (results must be written or collected by then)."""
+    before = set(_STAGED)
+    try:
+        yield
+    finally:
+        for path in [p for p in _STAGED if p not in before]:
+            _STAGED.remove(path)
+            _delete(spark, path)
