@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .quality_rules import apply_rules
 from .sharding import shard
+from .simhash import hex16, simhash_components
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +17,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                      "kept", "rule")
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_components(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
+    return out.select("doc_id", hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op9_decision_list": op9_decision_list,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
