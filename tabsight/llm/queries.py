@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .html_extract import extract_text
+from .line_dedup import line_components
+from .mixing import mix
+from .packing import pack
 from .quality_rules import apply_rules
 from .sharding import shard
 from .simhash import hex16, simhash_components
@@ -17,6 +21,27 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of the mixture: entropy at 0.95 of its maximum, no source more than four times, each at least once."""
+    out = mix(table(spark, sf_dir, "documents"), entropy_share=0.95, max_repeats=4.0)
+    return out.select("row.doc_id", "row.source", "tokens", "weight", "epoch", "position")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_components(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -29,7 +54,11 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
+    "op3_packing": op3_packing,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
+    "op5_html_extraction": op5_html_extraction,
     "op9_decision_list": op9_decision_list,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
