@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import words
 
-STEPS, PASSES = 4, 10
+POINTS, PASSES = 32, 8
 
 
 def source_tokens(df: DataFrame, source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -28,58 +28,58 @@ def source_tokens(df: DataFrame, source_col: str = "source", text_col: str = "te
             .groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("tokens")))
 
 
-def _at(sources: DataFrame, total: int, exponents: list[float]) -> list[tuple[float, float]]:
-    """Entropy of the weights, and the repeats of the most repeated source when the least repeated is used once, by exponent.
+def _at(sources: DataFrame, total: int, lo: float, hi: float, points: int) -> list[tuple[float, float]]:
+    """For ``points`` + 1 exponents from ``lo`` to ``hi``: the entropy of the weights, and how often the most
+    repeated source is used while the least repeated is used once.
 
-    With p the share and z = sum p^a, the entropy is ln z - a * sum(p^a ln p) / z; the repeats of a
-    source are in proportion to p^(a-1).
+    With p the share and z = sum p^a, the entropy is ln z - a * sum(p^a ln p) / z; the repeats of a source are
+    in proportion to p^(a-1).
     """
-    p = F.col("tokens") / F.lit(float(total))
-    sums = []
-    for i, a in enumerate(exponents):
-        power = F.pow(p, F.lit(a))
-        rate = F.pow(p, F.lit(a - 1))
-        sums += [F.sum(power).alias(f"z{i}"), F.sum(power * F.log(p)).alias(f"s{i}"), (F.max(rate) / F.min(rate)).alias(f"r{i}")]
-    r = sources.agg(*sums).first()
-    return [(math.log(r[f"z{i}"]) - a * r[f"s{i}"] / r[f"z{i}"], r[f"r{i}"]) for i, a in enumerate(exponents)]
+    p, a = F.col("tokens") / F.lit(float(total)), F.col("a")
+    power, rate = F.pow(p, a), F.pow(p, a - 1)
+    i = F.explode(F.sequence(F.lit(0), F.lit(points))).alias("i")
+    rows = (sources.select("tokens", i).withColumn("a", F.lit(lo) + F.lit(hi - lo) * F.col("i") / F.lit(points))
+            .groupBy("i", "a").agg(F.sum(power).alias("z"), F.sum(power * F.log(p)).alias("s"), (F.max(rate) / F.min(rate)).alias("r"))
+            .orderBy("i").collect())
+    return [(math.log(r["z"]) - r["a"] * r["s"] / r["z"], r["r"]) for r in rows]
 
 
 def _bisect(sources: DataFrame, total: int, reached) -> float:
     """The greatest exponent in [0, 1] at which ``reached`` holds, 0 if none; it holds below one that it holds at.
 
-    Each pass is one aggregate that evaluates all midpoints of the next ``STEPS`` halvings.
+    Each pass is one aggregate that evaluates all midpoints of the next halvings.
     """
     lo, hi = 0.0, 1.0
-    if reached(*_at(sources, total, [1.0])[0]):
-        return 1.0
     for _ in range(PASSES):
-        n = 1 << STEPS
-        grid = [lo + (hi - lo) * i / n for i in range(1, n)]
-        held = [reached(*x) for x in _at(sources, total, grid)]
-        a, b = 0, n
+        held = [reached(*x) for x in _at(sources, total, lo, hi, POINTS)]
+        if held[-1]:
+            return hi
+        if not held[0]:
+            return lo
+        a, b = 0, POINTS
         while b - a > 1:
             mid = (a + b) // 2
-            a, b = (mid, b) if held[mid - 1] else (a, mid)
-        lo, hi = lo + (hi - lo) * a / n, lo + (hi - lo) * b / n
+            a, b = (mid, b) if held[mid] else (a, mid)
+        lo, hi = lo + (hi - lo) * a / POINTS, lo + (hi - lo) * b / POINTS
     return lo
 
 
 def temperature(sources: DataFrame, entropy_share: float | None = None, max_repeats: float | None = None) -> float:
     """The exponent for ``source, tokens``: the greatest whose entropy is at least ``entropy_share`` of its maximum
-    (the logarithm of the number of sources), raised where ``max_repeats`` asks for it.  No target: 1.
+    (the logarithm of the number of sources), raised where ``max_repeats`` asks for it.  With a limit alone, the
+    least exponent within it; with neither, 1.
     """
     r = sources.agg(F.count(F.lit(1)).alias("k"), F.sum("tokens").alias("n")).first()
-    if not r["k"]:
+    if not r["k"] or entropy_share is None and max_repeats is None:
         return 1.0
-    exponent = 1.0
+    exponent = 0.0
     if entropy_share is not None:
         want = entropy_share * math.log(r["k"]) - 1e-12
         exponent = _bisect(sources, r["n"], lambda entropy, repeats: entropy >= want)
-    if max_repeats is not None:
-        # repeats fall as the exponent rises: the least exponent within the limit is just above the greatest beyond it
+    if max_repeats is not None and _at(sources, r["n"], exponent, exponent, 1)[0][1] > max_repeats:
+        # repeats fall as the exponent rises: the least one within the limit is a hair above the greatest beyond it
         over = _bisect(sources, r["n"], lambda entropy, repeats: repeats > max_repeats)
-        limit = over + (1 / (1 << STEPS) ** PASSES if _at(sources, r["n"], [over])[0][1] > max_repeats else 0.0)
-        exponent = max(exponent, min(1.0, limit)) if entropy_share is not None else min(1.0, limit)
+        exponent = min(1.0, over + 1 / POINTS ** PASSES)
     return exponent
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import table
 from .html_extract import extract_text
 from .line_dedup import line_components
@@ -42,6 +43,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op6_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -59,6 +64,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_html_extraction": op5_html_extraction,
+    "op6_ann_forest": op6_ann_forest,
     "op9_decision_list": op9_decision_list,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
