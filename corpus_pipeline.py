@@ -1,14 +1,59 @@
-"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing, packing."""
+"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, mixing sources, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabsight.llm.common import table
+from tabsight.llm.line_dedup import drop_lines
+from tabsight.llm.mixing import mix
+from tabsight.llm.packing import pack
+from tabsight.llm.quality_rules import filter_documents
+from tabsight.llm.simhash import keep_one
 from tabsight.session import stage
 
-STAGES: list = []
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned decision list does not reject."""
+    return filter_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one, exactly or nearly; those left without a line go."""
+    out = drop_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return keep_one(docs, shingle_words=3, max_bits=2)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The draws: every document at least once, small sources up to twice."""
+    return mix(docs, entropy_share=0.95, max_repeats=2.0).select("row.*")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their token ids."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_dedup),
+    ("mixing sources", mixing),
+    ("packing", packing),
+]
+
+#: SQL has neither the learned rules nor the tokenizer; tests/llm/test_pipeline.py holds the rows against brute force.
 ORACLE_SQL = None
 
 
@@ -18,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stage(docs, name.replace(" ", "_"))
+            docs = stage(docs, name.replace(" ", "-"))
     return docs

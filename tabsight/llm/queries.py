@@ -11,6 +11,8 @@ from .html_extract import extract_text
 from .line_dedup import line_components
 from .mixing import mix
 from .packing import pack
+from .pii import pseudonymise
+from .quality_cnn import score_documents
 from .quality_rules import apply_rules
 from .sharding import shard
 from .simhash import hex16, simhash_components
@@ -47,6 +49,14 @@ def op6_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), "a key for tests and checks").select("doc_id", "text", "n_entities")
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -65,6 +75,8 @@ QUERIES = {
     "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_html_extraction": op5_html_extraction,
     "op6_ann_forest": op6_ann_forest,
+    "op7_quality_cnn": op7_quality_cnn,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_decision_list": op9_decision_list,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
