@@ -24,6 +24,12 @@ ISO_FORMATS = [
 ]
 MONTH_FIRST_FORMATS = ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy"]
 DAY_FIRST_FORMATS = ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy"]
+YEAR_SLASH_FORMATS = ["yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d"]
+MONTH_NAME_FORMATS = ["MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy"]
+FRACTION_PATTERN = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}\.\d{1,9}$"
+ZONE_PATTERN = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
+YEAR_SLASH_PATTERN = r"^\d{4}/\d"
+MONTH_NAME_PATTERN = r"^(\d{1,2}[ -])?[A-Z][a-z]{2,8}[ -](\d{1,2}, )?\d{4}$"
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -96,10 +102,25 @@ def numeric_value(c: Column, kind: str) -> Column:
 
 
 def to_datetime(c: Column, dayfirst: bool = False) -> Column:
-    """Text -> timestamp_ntz with an explicit format list (never format-free)."""
+    """Text -> timestamp_ntz with an explicit format list (never format-free).
+
+    ISO with or without a fraction of a second, slashes in either order, year first, and English month
+    names; a zone or offset is turned into UTC.  Patterns go before the formats that they admit, so
+    text that is no date costs one or two matches.
+    """
     s = F.trim(c.cast("string"))
-    fmts = ISO_FORMATS + (DAY_FIRST_FORMATS if dayfirst else MONTH_FIRST_FORMATS)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in fmts]).cast("timestamp_ntz")
+
+    def first_of(formats: list[str]) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in formats])
+
+    zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"), s.try_cast("timestamp").cast("timestamp_ntz"))
+    return (F.when(s.rlike(r"^\d{1,4}[-/]\d"), F.coalesce(
+        first_of(ISO_FORMATS + (DAY_FIRST_FORMATS if dayfirst else MONTH_FIRST_FORMATS)),
+        F.when(s.rlike(FRACTION_PATTERN), s.try_cast("timestamp_ntz")),
+        F.when(s.rlike(ZONE_PATTERN), zoned),
+        F.when(s.rlike(YEAR_SLASH_PATTERN), first_of(YEAR_SLASH_FORMATS)),
+        F.when(s.rlike(MONTH_NAME_PATTERN), first_of(MONTH_NAME_FORMATS))))
+        .when(s.rlike(MONTH_NAME_PATTERN), first_of(MONTH_NAME_FORMATS)))
 
 
 def datetime_value(c: Column, kind: str, dayfirst: bool = False) -> Column:

@@ -3,8 +3,8 @@
 Python rounds the exact binary value half-to-even; Spark's ``round``/``bround``
 round the shortest decimal text, so the two differ when that text is a tie.
 The error-free product (Veltkamp split, no FMA needed) recovers the exact
-``x * 10**d`` as ``p + e`` and the tie is decided on it.  Valid for
-``|x| * 10**d < 2**52``.
+``x * 10**d`` as ``p + e`` and the tie is decided on it.  From ``|x| * 10**d >= 2**52`` on a
+double has no digits left to round (and infinities and NaN none at all): it is returned as it is.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPLIT = 134217729.0  # 2**27 + 1
+WHOLE = float(2 ** 52)
 
 
 def py_round(x: Column, d: int) -> Column:
@@ -25,11 +26,12 @@ def py_round(x: Column, d: int) -> Column:
     mh = mc - (mc - float(10 ** d))
     ml = float(10 ** d) - mh
     e = ((xh * F.lit(mh) - p) + xh * F.lit(ml) + xl * F.lit(mh)) + xl * F.lit(ml)
-    r = F.floor(p).cast("double")
+    r = F.floor(F.when(F.abs(p) < F.lit(WHOLE), p)).cast("double")
     g = ((p - r) - F.lit(0.5)) + e
     odd = (r - F.lit(2.0) * F.floor(r / 2)) == 1
     up = (g > 0) | ((g == 0) & odd)
-    return F.when(x.isNull(), None).otherwise((r + up.cast("double")) / m)
+    # NaN compares greater than every number
+    return F.when(x.isNull(), None).when(F.abs(p) >= F.lit(WHOLE), x).otherwise((r + up.cast("double")) / m)
 
 
 def py_round_sql(x: str, d: int) -> str:
@@ -43,7 +45,8 @@ def py_round_sql(x: str, d: int) -> str:
     xh = f"({c} - ({c} - ({x})))"
     xl = f"(({x}) - {xh})"
     e = f"((({xh} * {mh!r} - {p}) + {xh} * {ml!r} + {xl} * {mh!r}) + {xl} * {ml!r})"
-    r = f"CAST(floor({p}) AS DOUBLE)"
+    big = f"(abs({p}) >= {WHOLE!r} OR isnan({p}))"
+    r = f"CAST(floor(CASE WHEN {big} THEN 0 ELSE {p} END) AS DOUBLE)"
     g = f"((({p} - {r}) - 0.5) + {e})"
     odd = f"(({r} - 2.0 * floor({r} / 2)) = 1)"
-    return f"(({r} + CASE WHEN {g} > 0 OR ({g} = 0 AND {odd}) THEN 1.0 ELSE 0.0 END) / {m})"
+    return f"(CASE WHEN {big} THEN ({x}) ELSE ({r} + CASE WHEN {g} > 0 OR ({g} = 0 AND {odd}) THEN 1.0 ELSE 0.0 END) / {m} END)"

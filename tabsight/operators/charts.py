@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.casts import datetime_value, iso_text, kind_of, nan_to_null, numeric_value
 from ..functions.constants import HISTOGRAM_BINS, IQR_MULTIPLIER
 from ..session import stage
-from .quantiles import group_value_bound, quantile_columns, weighted_quantiles
+from .quantiles import quantile_columns, weighted_quantiles
 
 AGGREGATIONS = ["sum", "avg", "count", "min", "max", "median"]
 
@@ -30,9 +30,17 @@ def dt(df: DataFrame, c: str, dayfirst: bool = False) -> Column:
     return datetime_value(F.col(f"`{c}`"), _kind(df, c), dayfirst)
 
 
-def exact_sum(x: Column) -> Column:
-    """Order-independent sum: DECIMAL(38,6) accumulation, double result."""
-    return F.sum(x.cast("decimal(38,6)")).cast("double")
+def exact_sum(x: Column, times: Column | None = None) -> Column:
+    """Sum of ``x`` (each value ``times`` times) as a double.
+
+    Where every value of the group is a decimal of up to six places, as money and counts are, the sum is
+    exact and does not depend on the order of rows.  One value that is not (tiny, huge, infinite, or a float's
+    binary fraction) makes it the sum of doubles; nothing is cut off.
+    """
+    d = x.try_cast("decimal(38,6)")
+    fits = F.bool_and(F.when(x.isNotNull(), F.coalesce(d.cast("double") == x, F.lit(False))))
+    exact = F.try_sum(d if times is None else F.try_multiply(d, times.cast("decimal(38,0)"))).cast("double")
+    return F.coalesce(F.when(fits, exact), F.sum(x if times is None else x * times))
 
 
 def _agg(fn: str, x: Column) -> Column:
@@ -57,8 +65,8 @@ def aggregate_by(df: DataFrame, keys: list[Column], names: list[str], y: Column
     if fn.lower() != "median":
         return kdf.groupBy(*names).agg(_agg(fn, F.col("_y")).alias(out))
     freq = kdf.where(F.col("_y").isNotNull()).groupBy(*names, "_y").agg(F.count(F.lit(1)).alias("cnt"))
-    fx = freq.withColumnRenamed("_y", "x")
-    q = weighted_quantiles(fx, names, [0.5], bounded_keys=False, max_group_values=group_value_bound(fx, names))
+    fx = stage(freq.withColumnRenamed("_y", "x"), "groupfreq")   # read by the range sampling, the ranking and the offsets
+    q = weighted_quantiles(fx, names, [0.5])
     allk = kdf.select(*names).distinct()
     return allk.join(q.select(*names, F.col("quantile").alias(out)), names, "left")
 
@@ -143,8 +151,7 @@ def box_stats(df: DataFrame, y: str, by: str | None = None, multiplier: float =
     if not keys:
         freq = freq.withColumn("_all", F.lit("all"))
     freq = stage(freq, "box-freq")
-    qs = quantile_columns(weighted_quantiles(freq, gkeys, [0.25, 0.5, 0.75], bounded_keys=False,
-                                             max_group_values=group_value_bound(freq, gkeys)), gkeys,
+    qs = quantile_columns(weighted_quantiles(freq, gkeys, [0.25, 0.5, 0.75]), gkeys,
                           {0.25: "q1", 0.5: "median", 0.75: "q3"})
     iqr = F.col("q3") - F.col("q1")
     fences = qs.select(*gkeys, "q1", "median", "q3", (F.col("q1") - multiplier * iqr).alias("low_fence"),

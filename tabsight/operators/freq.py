@@ -37,31 +37,17 @@ def _as_text(f: T.StructField):
     return c.cast("string")
 
 
-# values longer than this are grouped by their SHA-256 digest: distinct counts stay
-# exact (no practical collisions) while long texts are not shuffled as keys
-LONG_VALUE_CHARS = 256
-
-
 def value_frequencies(df: DataFrame, table: str = "t", cols: list[str] | None = None) -> DataFrame:
     """A0: ``(table, name, value string, len int, cnt long)``; NULL value = missing cells.
 
-    ``len`` is the character length of the original value; values longer than
-    ``LONG_VALUE_CHARS`` are represented by a digest (they never parse as numbers,
-    dates or booleans, so no rule needs their text).
+    Values are the values, however long: top-k lists report them as they are.
     """
     cols = cols if cols is not None else df.columns
     fields = {f.name: f for f in df.schema.fields}
     wide = df.select(*[_as_text(fields[c]).alias(c) for c in cols])
     long = wide.unpivot([], cols, "name", "value")
-    ln = F.char_length("value")
-    keyed = long.select(
-        "name",
-        F.when(ln > LONG_VALUE_CHARS, F.concat(F.lit("sha256:"), F.sha2(F.col("value"), 256)))
-        .otherwise(F.col("value")).alias("value"),
-        ln.alias("len"),
-    )
-    return (keyed.groupBy("name", "value").agg(F.count(F.lit(1)).alias("cnt"), F.max("len").alias("len"))
-            .select(F.lit(table).alias("table"), "name", "value", "len", "cnt"))
+    return (long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+            .select(F.lit(table).alias("table"), "name", "value", F.char_length("value").alias("len"), "cnt"))
 
 
 def multi_table_frequencies(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,8 +1,7 @@
 """Per-column profiles by semantic type (pipeline and builder variants).
 
-Numeric moments come from one wide aggregate over the raw rows, quartiles from
-the distributed exact quantiles over A0, top values from A0 with a partial
-group limit; the result is one row per column.
+Numeric moments come from A0, quartiles from the distributed exact quantiles over
+it, top values from A0 with a partial group limit; the result is one row per column.
 """
 
 from __future__ import annotations
@@ -14,13 +13,17 @@ from ..functions.rounding import py_round
 
 from ..functions.casts import finite_or_null, iso_text
 from ..functions.constants import BUILDER_TOP_K, TOP_K_CATEGORIES
-from .quantiles import catalog_value_bound, quantile_columns, weighted_quantiles
+from .quantiles import quantile_columns, weighted_quantiles
 from .stats import _dt_of, _num_of, moments_from_frequencies, topk_values
 
 
 def profile_report(df: DataFrame, catalog: DataFrame, freq_k: DataFrame, table: str,
-                   variant: str = "pipeline", dayfirst: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(profiles, top_values)``: one row per column, and the top-k rows."""
+                   variant: str = "pipeline", dayfirst: bool = False,
+                   quartiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Returns ``(profiles, top_values)``: one row per column, and the top-k rows.
+
+    ``quartiles`` (``table, name, p25, median, p75``) saves the ranking where they are known.
+    """
     type_col = "semantic_type" if variant == "pipeline" else "semantic_type_builder"
     cat = catalog.where(F.col("table") == table).select(
         "table", "ordinal", "name", "kind", F.col(type_col).alias("semantic_type"), "missing_count", "missing_ratio",
@@ -29,13 +32,12 @@ def profile_report(df: DataFrame, catalog: DataFrame, freq_k: DataFrame, table:
     numeric_cols = [c for c, t in meta.items() if t == "numeric"]
     cat_types = ["categorical", "boolean"]
 
-    # numeric: moments over the raw rows + exact quartiles over A0
+    # numeric: moments and exact quartiles over A0
     if numeric_cols:
         mom = moments_from_frequencies(freq_k, numeric_cols)
         fk = freq_k.where(F.col("name").isin(numeric_cols) & F.col("value").isNotNull())
         vals = fk.select("table", "name", _num_of(F.col("kind"), F.col("value")).alias("x"), "cnt").where(F.col("x").isNotNull())
-        bound = catalog_value_bound(cat.where(F.col("name").isin(numeric_cols)))
-        q = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.5, 0.75], max_group_values=bound), ["table", "name"],
+        q = quartiles if quartiles is not None else quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.5, 0.75]), ["table", "name"],
                              {0.25: "p25", 0.5: "median", 0.75: "p75"})
         num = mom.join(q, ["table", "name"], "left")
         if variant == "pipeline":
@@ -72,7 +74,7 @@ def profile_report(df: DataFrame, catalog: DataFrame, freq_k: DataFrame, table:
     prof = (cat.join(num, ["table", "name"], "left").join(first, ["table", "name"], "left").join(dt, ["table", "name"], "left"))
     avg_len = py_round(F.col("avg_len"), 2) if variant == "pipeline" else F.col("avg_len")
     out = prof.select(
-        "table", "ordinal", "name", "semantic_type", "missing_count",
+        "table", "ordinal", "name", "semantic_type", "missing_count", "non_null",
         (py_round(F.col("missing_ratio"), 4) if variant == "pipeline" else F.col("missing_ratio")).alias("missing_ratio"),
         F.when(st == "numeric", F.coalesce("num_count", F.lit(0)))
         .when(st.isin(cat_types), F.col("non_null"))
@@ -94,9 +96,8 @@ def profile_report(df: DataFrame, catalog: DataFrame, freq_k: DataFrame, table:
 def profile_notes(profiles: DataFrame, variant: str = "pipeline") -> DataFrame:
     """Notes for numeric/datetime columns without valid values, and non-null unknowns."""
     st = F.col("semantic_type")
+    bare = st.isin("numeric", "datetime") & (F.col("count") == 0)
+    note = F.when(bare, F.concat_ws(":", st, F.lit("no_valid_values")))
     if variant == "pipeline":
-        cond = ((st.isin("numeric", "datetime")) & (F.col("count") == 0)) | ((st == "unknown") & (F.col("missing_count") >= 0))
-    else:
-        cond = (st.isin("numeric", "datetime")) & (F.col("count") == 0)
-    return profiles.where(cond).select("table", "ordinal", "name", "semantic_type",
-                                       F.concat_ws(":", st, F.lit("no_valid_values")).alias("note"))
+        note = note.when((st == "unknown") & (F.col("non_null") > 0), F.lit("unknown:values_of_no_known_type"))
+    return (profiles.select("table", "ordinal", "name", "semantic_type", note.alias("note")).where(F.col("note").isNotNull()))

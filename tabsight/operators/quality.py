@@ -16,7 +16,8 @@ from ..functions.constants import (
     DUPLICATE_RATIO_WARNING, IQR_MULTIPLIER, MISSING_RATIO_HIGH, MISSING_RATIO_WARNING,
     QUALITY_THRESHOLD_DEFAULT,
 )
-from .quantiles import catalog_value_bound, quantile_columns, weighted_quantiles
+from ..session import stage
+from .quantiles import quantile_columns, weighted_quantiles
 from .stats import _dt_of, _num_of, duplicate_rows
 
 
@@ -45,17 +46,22 @@ def _numeric_values(freq_k: DataFrame, catalog: DataFrame, type_col: str) -> Dat
 
 
 def iqr_outliers(freq_k: DataFrame, catalog: DataFrame, variant: str = "pipeline",
-                 multiplier: float = IQR_MULTIPLIER, type_col: str | None = None) -> DataFrame:
+                 multiplier: float = IQR_MULTIPLIER, type_col: str | None = None,
+                 quartiles: DataFrame | None = None) -> DataFrame:
     """Q3 (pipeline) / Q4 (builder): fences from exact quartiles, strict comparison.
 
+    ``quartiles`` (``table, name, p25, p75`` of all numeric columns) saves the ranking where it is known.
+
     Bounds (one row per column) are broadcast back to the numeric A0 rows and the
     outlier count is a weighted sum -- no pass over the raw rows.
     """
     type_col = type_col or ("semantic_type" if variant == "pipeline" else "semantic_type_builder")
     vals = _numeric_values(freq_k, catalog, type_col)
-    bound = catalog_value_bound(catalog.where(F.col(type_col) == "numeric"))
-    q = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.75], max_group_values=bound), ["table", "name"],
-                         {0.25: "q1", 0.75: "q3"})
+    if quartiles is not None:
+        q = quartiles.select("table", "name", F.col("p25").alias("q1"), F.col("p75").alias("q3"))
+    else:
+        q = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.75]), ["table", "name"],
+                             {0.25: "q1", 0.75: "q3"})
     n = vals.groupBy("table", "name").agg(F.sum("cnt").alias("n"))
     iqr = F.col("q3") - F.col("q1")
     b = q.join(n, ["table", "name"]).select("table", "name", "n", "q1", "q3",
@@ -99,15 +105,16 @@ def type_issues(df: DataFrame, catalog: DataFrame, table: str, order_col: str, v
     if not targets:
         return df.sparkSession.createDataFrame([], "table string, ordinal int, name string, issue string, count long, "
                                                    "examples string, severity string")
-    fail_exprs = []
+    cells = []
     for c in targets:
         k, st, _ = kinds[c]
         col = F.col(f"`{c}`")
         parsed = to_number(col) if (st == "numeric" and k == "string") else (
             col.cast("double") if st == "numeric" else _dt_of(F.lit(k), col.cast("string"), dayfirst))
-        fail_exprs.append(F.struct(F.lit(c).alias("name"), (col.isNotNull() & parsed.isNull()).alias("bad"),
-                                   col.cast("string").alias("raw")))
-    long = df.select(F.col(f"`{order_col}`").alias("_ord"), F.inline(F.array(*fail_exprs))).where("bad")
+        cells.append(F.when(col.isNotNull() & parsed.isNull(), F.struct(F.lit(c).alias("name"), col.cast("string").alias("raw"))))
+    # one pass over the rows; only cells that fail leave it
+    failed = F.filter(F.array(*cells), lambda x: x.isNotNull())
+    long = stage(df.select(F.col(f"`{order_col}`").alias("_ord"), F.inline(failed)), "failedcells")
     counts = long.groupBy("name").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("name").orderBy("_ord")
     ex = (long.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= n_examples)
@@ -142,7 +149,7 @@ def quality_summary(catalog: DataFrame, dups: DataFrame, issues: DataFrame, outl
     if outliers_builder is not None:
         s = s.join(outliers_builder.groupBy("table").agg(F.sum("outlier_count").alias("total_outliers_builder")),
                    "table", "left")
-    else:
+    else:   # without the outliers the builder score is not known
         s = s.withColumn("total_outliers_builder", F.lit(None).cast("long"))
     cells = F.col("row_count") * F.col("column_count")
     mr_raw = F.col("total_missing") / cells
@@ -164,7 +171,8 @@ def quality_summary(catalog: DataFrame, dups: DataFrame, issues: DataFrame, outl
     return s.select("table", "row_count", "column_count", "total_missing", "missing_ratio_overall",
                     "duplicate_row_count", "duplicate_row_ratio", "n_empty", "n_constant", "n_type_issues",
                     py_round(F.greatest(score, F.lit(0.0)), 2).alias("quality_score"),
-                    py_round(F.greatest(F.lit(100.0) - pen, F.lit(0.0)), 2).alias("quality_score_builder"))
+                    F.when(F.lit(outliers_builder is not None) | (F.col("n_numeric_builder") == 0),
+                           py_round(F.greatest(F.lit(100.0) - pen, F.lit(0.0)), 2)).alias("quality_score_builder"))
 
 
 def quick_quality(df: DataFrame, table: str = "t") -> DataFrame:
@@ -188,11 +196,6 @@ def quick_quality(df: DataFrame, table: str = "t") -> DataFrame:
                     py_round(dp, 2).alias("dupe_pct"), py_round(score, 1).alias("score"))
 
 
-def _pct1(c: Column) -> Column:
-    """Python's ``{:.1%}``: ratio x 100 with one decimal and a percent sign."""
-    return F.concat(F.format_number(py_round(c * 100, 1), 1), F.lit("%"))
-
-
 def _pct(c: Column) -> Column:
     """Python's ``format(x, '.1%')``: x*100 rounded half-even on the binary value, one decimal."""
     return F.concat(F.format_string("%.1f", py_round(c * 100.0, 1)), F.lit("%"))

@@ -1,14 +1,7 @@
 """Exact weighted quantiles without gathering a group into one task.
 
-The frequency rows ``(keys, x, cnt)`` are range-partitioned on ``(keys, x)``
-and checkpointed so partition ids are stable; each partition computes running
-counts locally, partition totals give the offsets (a table of keys x
-partitions), and the rows that hold the wanted ranks are picked by a range
-join against a small target table.  Interpolation follows the linear rule
-(position ``q * (n - 1)``), in numpy's two-sided form.
-
-``approx_quantiles`` is the sketch path for scale mode (one pass, no shuffle of
-values).
+``weighted_quantiles`` ranks ``(keys, x, cnt)`` rows over staged value ranges; ``approx_quantiles`` is the
+sketch for callers who accept one (one pass, no shuffle of values).
 """
 
 from __future__ import annotations
@@ -16,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, stage
+from ..session import drop_staged, stage
 
 
 def _lerp(a, b, t):
@@ -25,89 +18,48 @@ def _lerp(a, b, t):
     return F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
 
 
-# a group whose distinct values are known to stay below this count is ranked by one
-# window task (sorted, spillable); larger or unknown groups take the range-partitioned path
-SMALL_GROUP_VALUES = 50_000
-
-
-def weighted_quantiles(freq: DataFrame, keys: list[str], qs: list[float], value: str = "x",
-                       weight: str = "cnt", bounded_keys: bool = True,
-                       max_group_values: int | None = None) -> DataFrame:
-    """Exact quantiles per key group: ``(keys..., q, quantile)``.
+def weighted_quantiles(freq: DataFrame, keys: list[str], qs: list[float], value: str = "x", weight: str = "cnt") -> DataFrame:
+    """Exact quantiles per key group: ``(keys..., q, quantile)``, linear between ranks.
 
-    ``bounded_keys`` says the number of key groups is bounded by metadata (e.g. one
-    group per column), which allows broadcasting the small per-key tables.
-    ``max_group_values`` is a proven bound on the distinct values of any group (from
-    the catalog); at most ``SMALL_GROUP_VALUES`` selects the single-window ranking.
+    The rows are range-partitioned on ``(keys, value)`` and staged with their range, so no group has to
+    fit one task.  Totals per range say which ranges hold a wanted rank, at most two per quantile and
+    group; running counts are computed on those alone.
     """
     spark = freq.sparkSession
-    checkpoint_dir(spark)
     base = freq.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*keys, value, weight)
-    small = (lambda d: F.broadcast(d)) if bounded_keys else (lambda d: d)
-    if max_group_values is not None and max_group_values <= SMALL_GROUP_VALUES:
-        w = Window.partitionBy(*keys)
-        ranked = base.select(
-            *keys, value, weight,
-            F.sum(weight).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("_end"),
-            F.sum(weight).over(w).alias("_n"))
-        ranked = ranked.select(*keys, value, (F.col("_end") - F.col(weight)).alias("_first"), "_end", "_n")
-        offs = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"))
-        ranked = ranked.drop("_n")
-    else:
-        nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # the range-partition id is written with the rows, so it stays valid however the
-        # staged files are split when read back
-        t = stage(base.repartitionByRange(nparts, *keys, value).withColumn("_pid", F.spark_partition_id()), "ranks")
-
-        ptot = t.groupBy(*keys, "_pid").agg(F.sum(weight).alias("_ptot"))
-        offs = ptot.select(
-            *keys, "_pid",
-            (F.sum("_ptot").over(Window.partitionBy(*keys).orderBy("_pid")) - F.col("_ptot")).alias("_off"),
-            F.sum("_ptot").over(Window.partitionBy(*keys)).alias("_n"),
-        )
-        local = t.withColumn("_cum", F.sum(weight).over(
-            Window.partitionBy(*keys, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-        ranked = local.join(small(offs), [*keys, "_pid"]).select(
-            *keys, value,
-            (F.col("_off") + F.col("_cum") - F.col(weight)).alias("_first"),
-            (F.col("_off") + F.col("_cum")).alias("_end"),
-        )
-
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
-    targets = (offs.groupBy(*keys).agg(F.max("_n").alias("_n"))
-               .select(*keys, F.explode(qarr).alias("q"), "_n")
-               .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
-               .select(*keys, "q", "_pos", F.explode(F.array(
-                   F.struct(F.lit(0).alias("side"), F.floor("_pos").alias("rank")),
-                   F.struct(F.lit(1).alias("side"), F.ceil("_pos").alias("rank")))).alias("t"))
-               .select(*keys, "q", "_pos", "t.side", "t.rank"))
-    tg = targets.alias("tg")
-    rk = ranked.alias("rk")
-    cond = [F.col(f"rk.{k}").eqNullSafe(F.col(f"tg.{k}")) for k in keys]
-    cond += [F.col("tg.rank") >= F.col("rk._first"), F.col("tg.rank") < F.col("rk._end")]
-    hit = rk.join(small(tg), cond).select(*[F.col(f"tg.{k}").alias(k) for k in keys],
-                                          "tg.q", "tg._pos", "tg.side", F.col(f"rk.{value}").alias("_v"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = stage(base.repartitionByRange(ranges, *keys, value).withColumn("_pid", F.spark_partition_id()), "ranks")
+
+    # at most ranges + groups rows
+    offs = t.groupBy(*keys, "_pid").agg(F.sum(weight).alias("_ptot")).select(
+        *keys, "_pid", "_ptot",
+        (F.sum("_ptot").over(Window.partitionBy(*keys).orderBy("_pid")) - F.col("_ptot")).alias("_off"),
+        F.sum("_ptot").over(Window.partitionBy(*keys)).alias("_n"))
+    pos = F.col("q") * (F.col("_n") - 1)
+    wanted = stage(
+        offs.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+        .select("*", pos.alias("_pos"), F.explode(F.array(
+            F.struct(F.lit(0).alias("side"), F.floor(pos).alias("rank")),
+            F.struct(F.lit(1).alias("side"), F.ceil(pos).alias("rank")))).alias("t"))
+        .where((F.col("t.rank") >= F.col("_off")) & (F.col("t.rank") < F.col("_off") + F.col("_ptot")))
+        .select(*keys, "_pid", "_off", "q", "_pos", "t.side", "t.rank"), "wantedranks")
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in [*keys, "_pid"]]
+    held = t.alias("t").join(wanted.select(*keys, "_pid", "_off").distinct().alias("h"), same("t", "h")).select(
+        *[F.col(f"t.{k}").alias(k) for k in keys], F.col("t._pid").alias("_pid"), "_off", value, weight)
+    run = F.sum(weight).over(Window.partitionBy(*keys, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = held.withColumn("_end", F.col("_off") + run).withColumn("_first", F.col("_end") - F.col(weight))
+    hit = ranked.alias("r").join(wanted.alias("w"), [
+        *same("r", "w"), F.col("w.rank") >= F.col("r._first"), F.col("w.rank") < F.col("r._end")]).select(
+        *[F.col(f"w.{k}").alias(k) for k in keys], "w.q", "w._pos", "w.side", F.col(f"r.{value}").alias("_v"))
     res = hit.groupBy(*keys, "q", "_pos").agg(
         F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_a"),
-        F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_b"),
-    )
+        F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_b"))
     frac = F.col("_pos") - F.floor("_pos")
     out = res.select(*keys, "q", _lerp(F.col("_a"), F.col("_b"), frac).alias("quantile"))
     # keys x quantiles rows; staged so plans that use it twice do not recompute it
-    return stage(out, "quantiles")
-
-
-def group_value_bound(freq: DataFrame, keys: list[str]) -> int:
-    """Largest number of distinct values in any group (one aggregate, one number to the driver)."""
-    r = freq.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d").alias("m")).first()
-    return int(r["m"] or 0)
-
-
-def catalog_value_bound(catalog: DataFrame, names: list[str] | None = None) -> int:
-    """Largest distinct count among catalog columns (metadata, already computed)."""
-    c = catalog if names is None else catalog.where(F.col("name").isin(names))
-    r = c.agg(F.max("distinct_count").alias("m")).first()
-    return int(r["m"] or 0)
+    out = stage(out, "quantiles")
+    drop_staged(t, wanted)
+    return out
 
 
 def quantile_columns(qdf: DataFrame, keys: list[str], names: dict[float, str]) -> DataFrame:

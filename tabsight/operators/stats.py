@@ -12,13 +12,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.casts import kind_of, nan_to_null, to_datetime, to_number
+from ..functions.casts import finite_or_null, kind_of, nan_to_null, to_datetime, to_number
 from ..functions.constants import (
     BOOL_FALSE, BOOL_TRUE, PIPELINE_BOOL_STRINGS, PIPELINE_BOOL_TEXT_EXTRA,
 )
 from ..session import checkpoint_dir, stage
-from .freq import numeric_frequencies, static_catalog, value_frequencies, with_kind
+from .charts import exact_sum
+from .freq import _as_text, numeric_frequencies, static_catalog, value_frequencies, with_kind
 from .quantiles import quantile_columns, weighted_quantiles
 from .semantic import with_semantic_types
 
@@ -87,6 +89,36 @@ def build_catalog(spark, df: DataFrame, table: str = "t", dayfirst: bool = False
     return stage(with_semantic_types(cat), "catalog"), freq_k
 
 
+def basic_stats(df: DataFrame, table: str = "t") -> DataFrame:
+    """Per column, from one aggregate and without a shuffle of values: ``table, ordinal, name, kind, n_rows,
+    missing_count, non_null, missing_ratio, is_empty, single_valued, builder_bool, pipeline_bool``.
+
+    A column has a single value if the least and the greatest 64-bit hash of its values are equal; the
+    booleans say whether all texts of a column lie in the domain (and, for the pipeline, are at most two).
+    """
+    df = nan_to_null(df)
+    aggs, entries = [F.count(F.lit(1)).alias("rows")], []
+    for i, f in enumerate(df.schema.fields):
+        c, k = F.col(f"`{f.name}`"), kind_of(f.dataType)
+        v = F.xxhash64(_as_text(f))
+        aggs += [F.count(c).alias(f"n{i}"), F.min(F.when(c.isNotNull(), v)).alias(f"lo{i}"), F.max(F.when(c.isNotNull(), v)).alias(f"hi{i}")]
+        builder = pipeline = F.lit(None).cast("boolean")
+        if k == "string":
+            seen = F.lit(0)
+            for bit, word in enumerate(PIPELINE_BOOL_STRINGS):
+                seen = F.when(c == word, F.lit(1 << bit)).otherwise(seen)
+            aggs += [F.bool_and(F.lower(F.trim(c)).isin(BOOL_TRUE + BOOL_FALSE)).alias(f"b{i}"),
+                     F.bool_and(c.isin(PIPELINE_BOOL_STRINGS)).alias(f"p{i}"), F.bit_or(seen).alias(f"w{i}")]
+            builder, pipeline = F.coalesce(f"b{i}", F.lit(False)), F.coalesce(f"p{i}", F.lit(False)) & (F.bit_count(f"w{i}") <= 2)
+        entries.append(F.struct(
+            F.lit(i).alias("ordinal"), F.lit(f.name).alias("name"), F.lit(k).alias("kind"), F.col("rows").alias("n_rows"),
+            (F.col("rows") - F.col(f"n{i}")).alias("missing_count"), F.col(f"n{i}").alias("non_null"),
+            F.try_divide(F.col("rows") - F.col(f"n{i}"), F.col("rows")).alias("missing_ratio"), (F.col(f"n{i}") == 0).alias("is_empty"),
+            F.coalesce(F.col(f"lo{i}") == F.col(f"hi{i}"), F.lit(False)).alias("single_valued"),
+            builder.alias("builder_bool"), pipeline.alias("pipeline_bool")))
+    return df.agg(*aggs).select(F.lit(table).alias("table"), F.inline(F.array(*entries)))
+
+
 def catalog_of_tables(spark, tables: dict[str, DataFrame], dayfirst: bool = False) -> DataFrame:
     """Catalog over several tables as one job (union of A0, one aggregate)."""
     statics, freqs = [], []
@@ -120,8 +152,7 @@ def numeric_moments(df: DataFrame, cols: list[str], table: str = "t", parse_text
     aggs = []
     for i, c in enumerate(cols):
         x = val(c)
-        # mean from an exact DECIMAL(38,6) sum: the result does not depend on partitioning
-        mean = (F.sum(x.cast("decimal(38,6)")).cast("double") / F.count(x)) if exact_mean else F.avg(x)
+        mean = F.try_divide(exact_sum(x), F.count(x)) if exact_mean else F.avg(x)
         aggs += [F.count(x).alias(f"n{i}"), mean.alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     row = df.agg(*aggs)
@@ -131,8 +162,7 @@ def numeric_moments(df: DataFrame, cols: list[str], table: str = "t", parse_text
     return row.select(F.inline(entries)).select(F.lit(table).alias("table"), "*")
 
 
-def quartiles(freq_k: DataFrame, names: list[str] | None = None, parse_text: bool = False,
-              max_group_values: int | None = None) -> DataFrame:
+def quartiles(freq_k: DataFrame, names: list[str] | None = None, parse_text: bool = False) -> DataFrame:
     """Exact p25/median/p75 per numeric column from A0 (no group in one task)."""
     fk = freq_k
     if names is not None:
@@ -142,17 +172,27 @@ def quartiles(freq_k: DataFrame, names: list[str] | None = None, parse_text: boo
             "table", "name", _num_of(F.col("kind"), F.col("value")).alias("x"), "cnt").where(F.col("x").isNotNull())
     else:
         num = numeric_frequencies(fk)
-    q = weighted_quantiles(num, ["table", "name"], [0.25, 0.5, 0.75], max_group_values=max_group_values)
+    q = weighted_quantiles(num, ["table", "name"], [0.25, 0.5, 0.75])
     return quantile_columns(q, ["table", "name"], {0.25: "p25", 0.5: "median", 0.75: "p75"})
 
 
+def _flat(name: str, dt: T.DataType) -> Column:
+    """A nested column as text that tells its nulls and ends apart; maps as sorted entries."""
+    c = F.col(f"`{name}`")
+    if isinstance(dt, T.MapType):
+        c = F.array_sort(F.map_entries(c))
+    nested = isinstance(dt, (T.ArrayType, T.MapType, T.StructType))
+    return F.to_json(c, {"ignoreNullFields": "false"}) if nested else c
+
+
 def row_fingerprint(df: DataFrame) -> list[Column]:
     """Two independent 64-bit hashes of a whole row, plus its null mask.
 
     Hash functions skip NULL inputs, so the null mask keeps (NULL, 'x') and
     ('x', NULL) apart; 128 bits make collisions negligible even at 10^12 rows.
+    Nested columns are hashed as JSON: hashing them directly skips their null elements.
     """
-    cols = [F.col(f"`{c}`") for c in df.columns]
+    cols = [_flat(f.name, f.dataType) for f in df.schema.fields]
     mask = F.concat_ws("", *[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
     return [F.xxhash64(F.lit(1), mask, *cols).alias("_h1"), F.xxhash64(F.lit(2), mask, *cols).alias("_h2")]
 
@@ -166,7 +206,7 @@ def duplicate_rows(df: DataFrame, table: str = "t", fingerprint: bool = True) ->
     before the shuffle.  ``fingerprint=False`` groups by the columns themselves.
     """
     df = nan_to_null(df)
-    keys = row_fingerprint(df) if fingerprint else [F.col(f"`{c}`") for c in df.columns]
+    keys = row_fingerprint(df) if fingerprint else [_flat(f.name, f.dataType) for f in df.schema.fields]
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     agg = groups.agg(F.sum("_c").alias("n_rows"), F.sum(F.col("_c") - 1).alias("duplicate_row_count"))
     return agg.select(F.lit(table).alias("table"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
@@ -197,7 +237,6 @@ def first_values(df: DataFrame, order_col: str, k: int, cols: list[str] | None =
     df = nan_to_null(df)
     cols = cols if cols is not None else df.columns
     fields = {f.name: f for f in df.schema.fields}
-    from .freq import _as_text
     wide = df.select(F.col(f"`{order_col}`").alias("_ord"), *[_as_text(fields[c]).alias(c) for c in cols])
     long = wide.unpivot(["_ord"], cols, "name", "value").where(F.col("value").isNotNull())
     w = Window.partitionBy("name").orderBy("_ord")
@@ -255,9 +294,9 @@ def sketch_catalog(spark, df: DataFrame, table: str = "t", dayfirst: bool = Fals
 def moments_from_frequencies(freq_k: DataFrame, names: list[str] | None = None) -> DataFrame:
     """A10 from A0 instead of the raw rows: count, exact mean, std (ddof=1), min, max.
 
-    The raw table is not scanned again.  The mean is an exact DECIMAL sum over
-    value x count; the std is a second pass over the (already staged) A0 rows with
-    the per-column mean broadcast back (one row per column).
+    The raw table is not scanned again.  The mean is ``exact_sum`` of value x count over
+    the count, null for a column that holds infinity; the std is a second pass over the
+    (already staged) A0 rows with the per-column mean broadcast back (one row per column).
     """
     fk = freq_k.where(F.col("value").isNotNull())
     if names is not None:
@@ -265,8 +304,7 @@ def moments_from_frequencies(freq_k: DataFrame, names: list[str] | None = None)
     vals = fk.select("table", "name", _num_of(F.col("kind"), F.col("value")).alias("x"), "cnt").where(F.col("x").isNotNull())
     first = vals.groupBy("table", "name").agg(
         F.sum("cnt").alias("count"),
-        (F.sum(F.col("x").cast("decimal(38,6)") * F.col("cnt").cast("decimal(38,0)")).cast("double")
-         / F.sum("cnt")).alias("mean"),
+        finite_or_null(exact_sum(F.col("x"), F.col("cnt")) / F.sum("cnt")).alias("mean"),
         F.min("x").alias("min"), F.max("x").alias("max"))
     dev = (vals.join(F.broadcast(first.select("table", "name", "mean")), ["table", "name"])
            .groupBy("table", "name")

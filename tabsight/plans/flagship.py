@@ -15,18 +15,17 @@ from ..functions.casts import columns_of_kind
 from ..functions.constants import IQR_MULTIPLIER
 from ..functions.rounding import py_round
 from ..operators.freq import numeric_frequencies
-from ..operators.quantiles import catalog_value_bound, quantile_columns, weighted_quantiles
+from ..operators.quantiles import quantile_columns, weighted_quantiles
 from ..operators.stats import build_catalog, moments_from_frequencies
 from ..sources.tables import load
 
 
 def numeric_profile_with_outliers(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
-    cat, fk = build_catalog(spark, df, table)
-    num_cols = columns_of_kind(df, "numeric")
+    num_cols = columns_of_kind(df, "numeric")   # the others are not reported: they need not be read
+    cat, fk = build_catalog(spark, df.select(*[F.col(f"`{c}`") for c in num_cols]), table)
     mom = moments_from_frequencies(fk, num_cols)
     vals = numeric_frequencies(fk)
-    bound = catalog_value_bound(cat.where(F.col("name").isin(num_cols)))
-    qs = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.5, 0.75], max_group_values=bound), ["table", "name"],
+    qs = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.5, 0.75]), ["table", "name"],
                           {0.25: "p25", 0.5: "median", 0.75: "p75"})
     iqr = F.col("p75") - F.col("p25")
     fences = qs.select("table", "name", "p25", "median", "p75", (F.col("p25") - IQR_MULTIPLIER * iqr).alias("low"),

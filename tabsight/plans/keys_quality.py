@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import casts
 from ..functions.constants import DATE_FALLBACK_KEYWORDS, DATE_KEYWORDS, NA_TOKENS
-from ..operators import charts, quality, profile
+from ..operators import charts, quality, profile, stats
 from ..operators.stats import duplicate_rows
 from . import oracle as O
 from ..functions.rounding import py_round_sql as PR, py_round
@@ -59,10 +59,8 @@ def q_datetime_coercion(spark, sf):
   {" UNION ALL ".join(f"SELECT '{c}' AS name, COALESCE(BOOL_AND(lower(trim({c})) IN ({O.lit_list(['true','t','yes','y','1','false','f','no','n','0'])})), false) AS builder_bool_domain, COALESCE(BOOL_AND({c} IN ('True','False','true','false')), false) AND COUNT(DISTINCT {c}) <= 2 AS pipeline_bool_domain FROM {DIRTY} d" for c in STRINGS)}) u""")
 def q_bool_domain(spark, sf):
     """Are all normalised values inside the boolean domain?"""
-    _, cat, _ = catalog_for(spark, sf, "dirty_orders")
-    return cat.where(F.col("kind") == "string").select(
-        "name", F.coalesce("builder_bool", F.lit(False)).alias("builder_bool_domain"),
-        (F.coalesce("str_bool", F.lit(False)) & (F.col("distinct_count") <= 2)).alias("pipeline_bool_domain"))
+    cat = stats.basic_stats(table(spark, sf, "dirty_orders").select(*STRINGS), "dirty_orders")
+    return cat.select("name", F.col("builder_bool").alias("builder_bool_domain"), F.col("pipeline_bool").alias("pipeline_bool_domain"))
 
 
 @reg("drop_all_null", f"""SELECT COUNT(*) AS row_count, COUNT(*) FILTER (WHERE {" OR ".join(f"{c} IS NOT NULL" for c, _ in DCOLS)}) AS non_empty_rows,
@@ -142,9 +140,10 @@ def q_outliers_builder(spark, sf):
   WHERE price_outlier < q1 - 1.5 * (q3 - q1) OR price_outlier > q3 + 1.5 * (q3 - q1)""")
 def q_outlier_rows(spark, sf):
     """P10: the rows behind the outlier counts (bounds broadcast, one row per column)."""
-    df, cat, fk = catalog_for(spark, sf, "dirty_orders")
-    bounds = quality.iqr_outliers(fk, cat.where(F.col("name") == "price_outlier"), "builder")
-    rows = quality.outlier_rows(df.select("o_orderkey", "price_outlier"), bounds, "dirty_orders", "o_orderkey")
+    df = table(spark, sf, "dirty_orders").select("o_orderkey", "price_outlier")
+    cat, fk = stats.build_catalog(spark, df.select("price_outlier"), "dirty_orders")
+    bounds = quality.iqr_outliers(fk, cat, "builder")
+    rows = quality.outlier_rows(df, bounds, "dirty_orders", "o_orderkey")
     return rows.select("key", "name", "value")
 
 

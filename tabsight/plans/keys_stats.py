@@ -10,7 +10,6 @@ from ..functions import casts
 from ..functions.constants import EDA_SAMPLE_VALUES, HISTOGRAM_BINS, PREVIEW_ROWS, SAMPLE_VALUES_COUNT
 from ..operators import charts, semantic, stats
 from ..operators.freq import static_catalog, value_frequencies, with_kind
-from ..operators.quantiles import catalog_value_bound
 from . import oracle as O
 from ..functions.rounding import py_round_sql as PR
 from .common import catalog_for, multi_catalog, r6, table
@@ -61,7 +60,7 @@ def q_column_catalog(spark, sf):
 @reg("missing_by_column", f"""SELECT name, missing_count, {PR("missing_ratio", 4)} AS missing_ratio,
   round(100.0 * missing_count / n_rows, 2) AS missing_pct FROM {CAT_DIRTY}""")
 def q_missing_by_column(spark, sf):
-    _, cat, _ = catalog_for(spark, sf, "dirty_orders")
+    cat = stats.basic_stats(table(spark, sf, "dirty_orders"), "dirty_orders")
     return cat.select("name", "missing_count", py_round(F.col("missing_ratio"), 4).alias("missing_ratio"),
                       F.round(F.col("missing_count") * 100.0 / F.col("n_rows"), 2).alias("missing_pct"))
 
@@ -69,7 +68,7 @@ def q_missing_by_column(spark, sf):
 @reg("missing_overall", f"""SELECT CAST(SUM(missing_count) AS BIGINT) AS total_missing, MAX(n_rows) * COUNT(*) AS total_cells,
   {PR("SUM(missing_count) / CAST(MAX(n_rows) * COUNT(*) AS DOUBLE)", 4)} AS missing_ratio_overall FROM {CAT_DIRTY}""")
 def q_missing_overall(spark, sf):
-    _, cat, _ = catalog_for(spark, sf, "dirty_orders")
+    cat = stats.basic_stats(table(spark, sf, "dirty_orders"), "dirty_orders")
     return cat.agg(F.sum("missing_count").alias("total_missing"),
                    (F.max("n_rows") * F.count(F.lit(1))).alias("total_cells")).select(
         "total_missing", "total_cells", py_round(F.col("total_missing") / F.col("total_cells"), 4).alias("missing_ratio_overall"))
@@ -79,7 +78,7 @@ def q_missing_overall(spark, sf):
   FROM {CAT_DIRTY} WHERE missing_count > 0""")
 def q_missing_table(spark, sf):
     """Only columns with missing values, by count descending."""
-    _, cat, _ = catalog_for(spark, sf, "dirty_orders")
+    cat = stats.basic_stats(table(spark, sf, "dirty_orders"), "dirty_orders")
     return (cat.where(F.col("missing_count") > 0)
             .select("name", "missing_count", F.round(F.col("missing_count") * 100.0 / F.col("n_rows"), 2).alias("missing_pct"))
             .orderBy(F.desc("missing_count"), "name"))
@@ -94,9 +93,8 @@ def q_distinct_counts(spark, sf):
 @reg("constant_columns", f"""SELECT name, distinct_count <= 1 AND NOT is_empty AS is_constant,
   distinct_count = 1 AND NOT is_empty AS is_constant_builder, is_empty FROM {CAT_DIRTY}""")
 def q_constant_columns(spark, sf):
-    _, cat, _ = catalog_for(spark, sf, "dirty_orders")
-    return cat.select("name", ((F.col("distinct_count") <= 1) & ~F.col("is_empty")).alias("is_constant"),
-                      ((F.col("distinct_count") == 1) & ~F.col("is_empty")).alias("is_constant_builder"), "is_empty")
+    cat = stats.basic_stats(table(spark, sf, "dirty_orders"), "dirty_orders")
+    return cat.select("name", F.col("single_valued").alias("is_constant"), F.col("single_valued").alias("is_constant_builder"), "is_empty")
 
 
 # ---------------------------------------------------------------- A0 / A12 / A13 / A7 / S7
@@ -166,13 +164,27 @@ def q_preview_rows(spark, sf):
 
 
 # ---------------------------------------------------------------- A8/A9 duplicates
+#: Lists with nulls at either end, and a map, told apart by a group that has each form.
+NESTED = """CASE o_orderkey % 4 WHEN 0 THEN [1, 2] WHEN 1 THEN [1] WHEN 2 THEN [1, NULL] ELSE [NULL, 1] END AS a,
+  CASE o_orderkey % 4 WHEN 0 THEN [3] WHEN 1 THEN [2, 3] ELSE [0] END AS b, MAP {o_orderstatus: o_orderkey % 3} AS m"""
+
+
 @reg("duplicate_rows", f"""SELECT 'dirty_orders' AS "table", COUNT(*) AS n_rows, COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {DIRTY} x) y) AS duplicate_row_count FROM {DIRTY} d
   UNION ALL
-  SELECT 'lineitem_flags', COUNT(*), COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem) y) FROM lineitem""")
+  SELECT 'lineitem_flags', COUNT(*), COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem) y) FROM lineitem
+  UNION ALL
+  SELECT 'embeddings', COUNT(*), COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT vec_id % 50 AS k, label, embedding FROM embeddings) y) FROM embeddings
+  UNION ALL
+  SELECT 'nested_orders', COUNT(*), COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT {NESTED} FROM orders) y) FROM orders""")
 def q_duplicate_rows(spark, sf):
     a = stats.duplicate_rows(table(spark, sf, "dirty_orders"), "dirty_orders")
     b = stats.duplicate_rows(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"), "lineitem_flags")
-    return a.unionByName(b)
+    c = stats.duplicate_rows(table(spark, sf, "embeddings").select((F.col("vec_id") % 50).alias("k"), "label", "embedding"), "embeddings")
+    d = stats.duplicate_rows(table(spark, sf, "orders").selectExpr(
+        "CASE o_orderkey % 4 WHEN 0 THEN array(1, 2) WHEN 1 THEN array(1) WHEN 2 THEN array(1, NULL) ELSE array(NULL, 1) END AS a",
+        "CASE o_orderkey % 4 WHEN 0 THEN array(3) WHEN 1 THEN array(2, 3) ELSE array(0) END AS b",
+        "map(o_orderstatus, o_orderkey % 3) AS m"), "nested_orders")
+    return a.unionByName(b).unionByName(c).unionByName(d)
 
 
 # ---------------------------------------------------------------- A10/A11 numeric profile
@@ -193,7 +205,7 @@ def q_numeric_profile(spark, sf):
         df = table(spark, sf, t)
         cat, fk = stats.build_catalog(spark, df.select(*cols), t)
         mom = stats.moments_from_frequencies(fk)
-        qs = stats.quartiles(fk, max_group_values=catalog_value_bound(cat))
+        qs = stats.quartiles(fk)
         one = mom.join(qs, ["table", "name"]).select(
             "table", "name", "count", "mean", r6("std").alias("std"), "min",
             r6("p25").alias("p25"), r6("median").alias("median"), r6("p75").alias("p75"), "max")

@@ -45,6 +45,8 @@ SOURCES["dirty_orders"] = DIRTY_ORDERS_SQL
 
 ISO_FMTS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d"]
 MONTH_FIRST = ["%m/%d/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%m/%d/%Y"]
+YEAR_SLASH = ["%Y/%m/%d %H:%M:%S", "%Y/%m/%d %H:%M", "%Y/%m/%d"]
+MONTH_NAME = ["%b %d, %Y", "%B %d, %Y", "%d %b %Y", "%d %B %Y", "%d-%b-%Y"]
 DAY_FIRST = ["%d/%m/%Y %H:%M:%S", "%d/%m/%Y %H:%M", "%d/%m/%Y"]
 
 
@@ -65,8 +67,12 @@ def num_sql(c: str) -> str:
 
 def dt_sql(c: str, dayfirst: bool = False) -> str:
     t = f"trim(CAST({c} AS VARCHAR))"
-    fmts = ISO_FMTS + (DAY_FIRST if dayfirst else MONTH_FIRST)
-    return "COALESCE(" + ", ".join(f"try_strptime({t}, '{f}')" for f in fmts) + ")"
+    fmts = ISO_FMTS + (DAY_FIRST if dayfirst else MONTH_FIRST) + YEAR_SLASH + MONTH_NAME
+    day = r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}"
+    fraction = f"CASE WHEN regexp_full_match({t}, '{day}:\\d{{2}}\\.\\d{{1,9}}') THEN TRY_CAST({t} AS TIMESTAMP) END"
+    zoned = (f"CASE WHEN regexp_full_match({t}, '{day}(:\\d{{2}}(\\.\\d{{1,9}})?)?(Z|[+-]\\d{{2}}:\\d{{2}})') "
+             f"THEN TRY_CAST({t} AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END")
+    return "COALESCE(" + ", ".join([*[f"try_strptime({t}, '{f}')" for f in fmts], fraction, zoned]) + ")"
 
 
 def column_stats_sql(table: str, dayfirst: bool = False, label: str | None = None) -> str:

@@ -1,7 +1,8 @@
 """R3 and the dashboard path as user-facing compositions.
 
-``run_pipeline``: load -> validate -> catalog -> quality -> profile, every result a
-lazy DataFrame sharing one staged A0.  ``dashboard``: roles -> KPIs -> specs ->
+``run_pipeline``: load -> validate -> catalog -> quality -> profile.  The results are small
+DataFrames over one staged A0; building them runs jobs (what a column is decides what is
+computed for it).  Run it inside ``session.staging(spark)`` to remove the staged tables at the end.  ``dashboard``: roles -> KPIs -> specs ->
 the data behind each spec.
 """
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import charts, kpi, profile, quality, recommend, roles
-from ..operators.stats import build_catalog, duplicate_rows
+from ..operators.stats import build_catalog, duplicate_rows, quartiles
 from ..sources.readers import read_table, validate
 
 
@@ -24,10 +25,12 @@ def run_pipeline(spark: SparkSession, path_or_df, name: str = "uploaded_dataset"
     cat, fk = build_catalog(spark, df, name, dayfirst=dayfirst)
     dups = duplicate_rows(df, name)
     issues = quality.type_issues(df, cat, name, order_col, "pipeline", dayfirst)
-    outl = quality.iqr_outliers(fk, cat, "pipeline")
-    outl_b = quality.iqr_outliers(fk, cat, "builder")
+    typed = [r["name"] for r in cat.where("semantic_type = 'numeric' or semantic_type_builder = 'numeric'").select("name").collect()]
+    quarters = quartiles(fk, typed, parse_text=True)   # ranked once for both fences and the profile
+    outl = quality.iqr_outliers(fk, cat, "pipeline", quartiles=quarters)
+    outl_b = quality.iqr_outliers(fk, cat, "builder", quartiles=quarters)
     summary = quality.quality_summary(cat, dups, issues, outl_b)
-    prof, top = profile.profile_report(df, cat, fk, name, "pipeline", dayfirst)
+    prof, top = profile.profile_report(df, cat, fk, name, "pipeline", dayfirst, quarters)
     return {"catalog": cat, "quality": summary, "warnings": quality.quality_warnings(cat, summary, outl),
             "outliers": outl, "type_issues": issues, "profile": prof, "top_values": top}
 
@@ -53,7 +56,7 @@ def chart_data(df: DataFrame, spec: dict, grain: str = "month") -> DataFrame:
         if x and y:
             return charts.heatmap(df, x, y, None, "count")
         from ..functions.casts import columns_of_kind
-        return charts.correlation_matrix(df, columns_of_kind(df, "numeric")[:8])
+        return charts.correlation_matrix(df, columns_of_kind(df, "numeric"))
     if t == "table":
         return charts.table_chart(df, group_by or [x])
     raise ValueError(f"unknown chart type {t}")

@@ -11,6 +11,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.casts import columns_of_kind, datetime_value, kind_of, nan_to_null, null_tokens, trim_header
 from ..functions.constants import MAX_COLUMNS
@@ -40,17 +41,39 @@ def check_source(spark: SparkSession, path: str, limit_bytes: int | None = UPLOA
     return size.select("files", "bytes", (F.lit(limit_bytes is None) | (F.col("bytes") <= F.lit(limit_bytes or 0))).alias("within_limit"))
 
 
-def _read_csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    return (spark.read.option("header", True).option("encoding", encoding).option("inferSchema", False)
-            .option("mode", "PERMISSIVE").csv(path))
+#: The usual dialect: a quote inside a quoted field is doubled, blanks are part of a field.
+CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """All-string CSV; retry with the next encoding on decode damage."""
+def _read_csv(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
+    return (spark.read.options(**CSV_DIALECT, encoding=encoding, inferSchema="false", multiLine=str(multiline).lower(),
+                               mode="PERMISSIVE").csv(path))
+
+
+def _check_width(spark: SparkSession, path: str, df: DataFrame, encoding: str, multiline: bool) -> None:
+    """Raise if a row has more fields than the header: Spark would silently leave them out."""
+    schema = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(len(df.columns))],
+                           T.StructField("_broken", T.StringType())])
+    rows = (spark.read.options(**CSV_DIALECT, encoding=encoding, multiLine=str(multiline).lower(), mode="PERMISSIVE",
+                               enforceSchema="true", columnNameOfCorruptRecord="_broken").schema(schema).csv(path))
+    # a row with too few fields is filled with nulls, as it always was; only its last field can be missing
+    last = F.col(f"c{len(df.columns) - 1}")
+    broken = rows.select(*rows.columns).where(F.col("_broken").isNotNull() & last.isNotNull()).select("_broken").limit(1).collect()
+    if broken:
+        raise DataLoadError(f"a row has more than {len(df.columns)} fields: {broken[0][0][:200]!r}")
+
+
+def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1"), multiline: bool = True) -> DataFrame:
+    """All-string CSV; retry with the next encoding on decode damage.
+
+    Quoted fields may hold commas, doubled quotes and line ends.  For line ends a file has to be read by one
+    task; ``multiline=False`` lets Spark split large files that have none.  A row with more fields than the
+    header raises.
+    """
     df = None
     for enc in encodings:
         try:
-            df = _read_csv(spark, path, enc)
+            df = _read_csv(spark, path, enc, multiline)
         except Exception as e:  # noqa: BLE001
             raise DataLoadError(str(e)) from e
         strings = df.columns
@@ -60,6 +83,7 @@ def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-
                                            for c in strings] + [F.lit(0)])).alias("bad")).first()["bad"]
         if not bad:
             break
+    _check_width(spark, path, df, enc, multiline)
     df = trim_header(df)
     if df.isEmpty():
         raise DataLoadError("the file has a header but no rows")
@@ -90,10 +114,13 @@ def validate(df: DataFrame) -> None:
 
 
 def autoparse_dates(df: DataFrame, keywords: list[str], dayfirst: bool = True) -> DataFrame:
-    """Parse every column whose lower-cased name contains a date keyword (day-first)."""
+    """Parse every text or date column whose lower-cased name contains a date keyword (day-first).
+
+    Numbers stay numbers, whatever their column is called.
+    """
     out = {}
     for f in df.schema.fields:
-        if any(kw in f.name.lower() for kw in keywords):
+        if any(kw in f.name.lower() for kw in keywords) and kind_of(f.dataType) in ("string", "datetime"):
             out[f.name] = datetime_value(F.col(f"`{f.name}`"), kind_of(f.dataType), dayfirst)
     return df.withColumns(out) if out else df
 

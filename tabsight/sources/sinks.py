@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .readers import CSV_DIALECT
+
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """Header + comma CSV, one folder of part files."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Header + comma CSV, one folder of part files, in the dialect that ``read_csv`` reads.
+
+    Null and the empty text are told apart by quotes: the empty text is written as two quotes.
+    """
+    df.write.mode("overwrite").options(**CSV_DIALECT, emptyValue='""').csv(path)
     return path
 
 

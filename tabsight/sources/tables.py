@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,31 +9,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-SPREAD_PER_SPLIT = 64
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one task per core.
-
-    A small file with a single row group is read by one task; round-robin it to the
-    default parallelism.  At cluster scale the scan already has more splits than
-    cores and the frame is returned unchanged (no extra shuffle).  A split holds at
-    most about one ``maxPartitionBytes``, so a small table is spread over at most
-    ``SPREAD_PER_SPLIT`` pieces per split: a tiny dimension table on a cluster with
-    thousands of cores does not become thousands of empty tasks (an explicit
-    repartition count is not coalesced by AQE).
-    """
-    if os.environ.get("TABSIGHT_SPREAD", "1") == "0":
-        return df
-    sc = df.sparkSession.sparkContext
-    n = df.rdd.getNumPartitions()
-    target = min(sc.defaultParallelism, max(n, 1) * SPREAD_PER_SPLIT)
-    return df.repartition(target) if n < target else df
-
-
-def load(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_small else df
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

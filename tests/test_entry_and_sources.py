@@ -63,17 +63,6 @@ def test_check_source(spark, tmp_path):
         readers.check_source(spark, str(tmp_path / "x.txt"))
 
 
-def test_spread_is_capped_per_split(spark, monkeypatch):
-    from tabsight.sources import tables
-
-    one = spark.range(100).coalesce(1)
-    par = spark.sparkContext.defaultParallelism
-    assert tables.spread(one).rdd.getNumPartitions() == par
-    monkeypatch.setattr(tables, "SPREAD_PER_SPLIT", 2)
-    assert tables.spread(one).rdd.getNumPartitions() == min(par, 2)
-    wide = spark.range(100).repartition(par)
-    assert tables.spread(wide).rdd.getNumPartitions() == par  # already spread: unchanged
-
 
 def test_stage_round_trip_keeps_schema(spark):
     from tabsight.session import stage

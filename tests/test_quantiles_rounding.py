@@ -10,15 +10,14 @@ from tabsight.operators.quantiles import quantile_columns, weighted_quantiles
 import pytest
 
 
-@pytest.mark.parametrize("bound", [None, 10_000])
-def test_weighted_quantiles_match_numpy(spark, bound):
+def test_weighted_quantiles_match_numpy(spark):
     rnd = random.Random(7)
     groups = {f"g{k}": [rnd.choice([rnd.randint(0, 20), rnd.uniform(-5, 5)]) for _ in range(rnd.randint(1, 300))]
               for k in range(6)}
     rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
     df = spark.createDataFrame(rows, "g string, x double")
     freq = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    q = quantile_columns(weighted_quantiles(freq, ["g"], [0.25, 0.5, 0.75], max_group_values=bound), ["g"],
+    q = quantile_columns(weighted_quantiles(freq, ["g"], [0.25, 0.5, 0.75]), ["g"],
                          {0.25: "a", 0.5: "b", 0.75: "c"})
     got = {r["g"]: (r["a"], r["b"], r["c"]) for r in q.collect()}
     for g, vs in groups.items():
@@ -64,7 +63,7 @@ def test_quantiles_hot_group_across_ranges(spark):
     rows = [(g, v) for g, vs in groups.items() for v in vs]
     df = spark.createDataFrame(rows, "g string, x double").repartition(8)
     freq = df.groupBy("g", "x").agg(F.count(F.lit(1)).alias("cnt"))
-    q = quantile_columns(weighted_quantiles(freq, ["g"], [0.1, 0.5, 0.9], bounded_keys=False), ["g"],
+    q = quantile_columns(weighted_quantiles(freq, ["g"], [0.1, 0.5, 0.9]), ["g"],
                          {0.1: "a", 0.5: "b", 0.9: "c"})
     got = {r["g"]: (r["a"], r["b"], r["c"]) for r in q.collect()}
     for g, vs in groups.items():
