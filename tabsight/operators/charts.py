@@ -15,6 +15,7 @@ from ..functions.constants import HISTOGRAM_BINS, IQR_MULTIPLIER
 from ..session import stage
 from .quantiles import quantile_columns, weighted_quantiles
 
+TABLE_ROWS = 500
 AGGREGATIONS = ["sum", "avg", "count", "min", "max", "median"]
 
 
@@ -204,6 +205,7 @@ def heatmap(df: DataFrame, a: str, b: str, y: str | None, agg: str = "sum") -> D
                         num(df, y) if y else None, agg)
 
 
-def table_chart(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Summary table of the chosen columns (one row per distinct combination, with its count)."""
-    return df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("rows"))
+def table_chart(df: DataFrame, cols: list[str], n: int = TABLE_ROWS) -> DataFrame:
+    """The chosen columns of the table's first ``n`` rows in their own order (a page of a dashboard)."""
+    picked = [F.col(f"`{c}`") for c in cols]
+    return df.select(*picked).orderBy(*picked).limit(n)

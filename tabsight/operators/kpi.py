@@ -7,6 +7,8 @@ use GROUPING SETS so all compared dimensions share one scan.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,27 @@ def kpi_flatten(defs: DataFrame, catalog: DataFrame) -> DataFrame:
                         "column", parse_aggregation(F.col("formula")).alias("aggregation"))
 
 
+def calculated_field(df: DataFrame, name: str, formula: str, by: list[str]) -> DataFrame:
+    """K9: a calculated field ``name`` such as ``SUM([a]) / SUM([b])`` for each value of ``by``.
+
+    Columns stand in brackets; the aggregations are those of a KPI; one division may be its outermost
+    operation and gives null where the divisor is zero.
+    """
+    def term(text: str) -> Column:
+        m = re.fullmatch(r"\s*(SUM|AVG|COUNT|MIN|MAX)\(\[([^\]]+)\]\)\s*", text, re.I)
+        if not m:
+            raise ValueError(f"not an aggregation of one column: {text!r}")
+        x, fn = num(df, m[2]), m[1].lower()
+        return {"sum": exact_sum(x), "avg": F.try_divide(exact_sum(x), F.count(x)), "min": F.min(x), "max": F.max(x),
+                "count": F.count(F.col(f"`{m[2]}`"))}[fn].cast("double")
+
+    terms = [term(t) for t in formula.split("/")]
+    if len(terms) > 2:
+        raise ValueError("more than one division")
+    value = terms[0] if len(terms) == 1 else F.try_divide(terms[0], terms[1])
+    return df.groupBy(*by).agg(value.alias(name))
+
+
 def kpi_values(flat: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """K5: evaluate every KPI of a table in one aggregate (median: exact, distributed)."""
     rows = flat.select("table", "position", "metric_name", "column", "aggregation").collect()  # bounded: few KPIs per table

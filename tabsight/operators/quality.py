@@ -237,6 +237,44 @@ def quality_warnings(catalog: DataFrame, summary: DataFrame, outliers: DataFrame
     return ov.unionByName(col_miss).unionByName(dup).unionByName(outl).unionByName(const).unionByName(empty)
 
 
+def builder_warnings(catalog: DataFrame, summary: DataFrame) -> DataFrame:
+    """Q10 (builder): its four warnings in report order, ``table, seq, message``."""
+    def listed(cond: Column, seq: int, prefix: str) -> DataFrame:
+        g = catalog.where(cond).groupBy("table").agg(F.sort_array(F.collect_list(F.struct("ordinal", "name"))).alias("_c"))
+        return g.select("table", F.lit(seq).alias("seq"), F.concat(F.lit(prefix), _pylist(F.transform("_c", lambda x: x["name"]))).alias("message"))
+
+    dup = summary.where("duplicate_row_count > 0").select("table", F.lit(3).alias("seq"), F.concat(
+        F.lit("Found "), F.col("duplicate_row_count").cast("string"), F.lit(" duplicate rows.")).alias("message"))
+    missing = summary.where("total_missing > 0").select("table", F.lit(4).alias("seq"), F.concat(
+        F.lit("Found "), F.col("total_missing").cast("string"), F.lit(" missing values in total.")).alias("message"))
+    return (listed(F.col("is_empty"), 1, "Found empty columns: ")
+            .unionByName(listed((F.col("distinct_count") == 1) & ~F.col("is_empty"), 2, "Found constant columns: "))
+            .unionByName(dup).unionByName(missing))
+
+
+def full_report(catalog: DataFrame, summary: DataFrame, outliers: DataFrame, issues: DataFrame, warnings: DataFrame,
+                variant: str = "pipeline") -> DataFrame:
+    """Q11: one nested row per table: scores and totals, missing by column, outliers with bounds by column, empty and
+    constant columns, type issues, warnings and errors (``warnings`` has ``table, seq, message`` and may have ``level``).
+    """
+    in_order = lambda *fields: F.sort_array(F.collect_list(F.struct(*fields)))
+    names = lambda cond: F.transform(F.filter("cols", cond), lambda x: x["name"])
+    single = lambda x: ~x["is_empty"] & (x["distinct_count"] <= 1)
+    cols = catalog.groupBy("table").agg(in_order("ordinal", "name", "missing_count", "is_empty", "distinct_count").alias("cols")).select(
+        "table", F.map_from_entries(F.transform("cols", lambda x: F.struct(x["name"], x["missing_count"]))).alias("missing_by_column"),
+        names(lambda x: x["is_empty"]).alias("empty_columns"), names(single).alias("constant_columns"))
+    out = outliers.groupBy("table").agg(in_order("ordinal", "name", "outlier_count", "low", "high").alias("outliers"))
+    iss = issues.groupBy("table").agg(in_order("ordinal", "name", "issue", "count", "examples", "severity").alias("type_issues"))
+    level = F.col("level") if "level" in warnings.columns else F.lit("warning")
+    told = lambda kind: F.transform(F.filter("m", lambda x: x["_l"] == kind), lambda x: x["message"]).alias(f"{kind}s")
+    said = warnings.withColumn("_l", level).groupBy("table").agg(in_order("seq", "message", "_l").alias("m")).select(
+        "table", told("warning"), told("error"))
+    score = "quality_score" if variant == "pipeline" else "quality_score_builder"
+    head = summary.select("table", "row_count", "column_count", "total_missing", "missing_ratio_overall", "duplicate_row_count",
+                          "duplicate_row_ratio", F.col(score).alias("quality_score"))
+    return head.join(cols, "table", "left").join(out, "table", "left").join(iss, "table", "left").join(said, "table", "left")
+
+
 def quality_gate(summary: DataFrame, threshold: float = QUALITY_THRESHOLD_DEFAULT) -> DataFrame:
     """Q12: tables whose score reaches the threshold (declared, applied here)."""
     return summary.select("table", "quality_score", (F.col("quality_score") >= threshold).alias("passes"))

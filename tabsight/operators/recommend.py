@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import name_has_any
 from ..functions.constants import (
-    AVG_HINTS, GROUPING_MAX_DISTINCT, GROUPING_MIN_DISTINCT, GROUPING_TARGET_DISTINCT, HIGH_CARDINALITY_LIMIT,
+    AVG_HINTS, GROUPING_MAX_DISTINCT, GROUPING_MIN_DISTINCT, GROUPING_TARGET_DISTINCT, GROUPING_UNKNOWN_SCORE, HIGH_CARDINALITY_LIMIT,
     MAX_PIE_CATEGORIES, MAX_VISUALIZATIONS_DEFAULT, MAX_VISUALS, MIN_ROWS_FOR_SCATTER, SUM_HINTS, TREND_EXCLUDE_KEYWORDS,
     FORMULA_AGG_ORDER,
 )
@@ -44,10 +44,19 @@ def guess_aggregation(name: Column, vmin: Column, vmax: Column) -> Column:
             .when(vmin.isNotNull() & vmax.isNotNull() & (vmin >= 0) & (vmax <= 1), "avg").otherwise("sum"))
 
 
+def distinct_lookup(catalog: DataFrame, profiles: DataFrame) -> DataFrame:
+    """V9: the catalog with the distinct count of a column's profile where that has one, else its own."""
+    p = profiles.select("table", "name", F.col("unique").alias("_profiled"))
+    return (catalog.join(p, ["table", "name"], "left")
+            .withColumn("distinct_count", F.coalesce("_profiled", "distinct_count")).drop("_profiled"))
+
+
 def grouping_column(cats: DataFrame) -> DataFrame:
-    """V8: categorical column with 2..12 distinct values closest to 5, first wins ties."""
-    ok = cats.where((F.col("distinct_count") >= GROUPING_MIN_DISTINCT) & (F.col("distinct_count") <= GROUPING_MAX_DISTINCT))
-    w = Window.partitionBy("table").orderBy(F.abs(F.col("distinct_count") - GROUPING_TARGET_DISTINCT), "pos")
+    """V8: categorical column with 2..12 distinct values closest to 5, first wins ties; an unknown count is as far as 10."""
+    n = F.col("distinct_count")
+    ok = cats.where(n.isNull() | n.between(GROUPING_MIN_DISTINCT, GROUPING_MAX_DISTINCT))
+    far = F.coalesce(F.abs(n - GROUPING_TARGET_DISTINCT), F.lit(GROUPING_UNKNOWN_SCORE))
+    w = Window.partitionBy("table").orderBy(far, "pos")
     return ok.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("table", F.col("name").alias("group_col"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.casts import finite_or_null, kind_of, nan_to_null, to_datetime, to_number
 from ..functions.constants import (
-    BOOL_FALSE, BOOL_TRUE, PIPELINE_BOOL_STRINGS, PIPELINE_BOOL_TEXT_EXTRA,
+    BOOL_FALSE, BOOL_TRUE, PIPELINE_BOOL_STRINGS, PIPELINE_BOOL_TEXT_EXTRA, SAMPLE_VALUES_COUNT,
 )
 from ..session import checkpoint_dir, stage
 from .charts import exact_sum
@@ -244,6 +244,13 @@ def first_values(df: DataFrame, order_col: str, k: int, cols: list[str] | None =
             .select(F.lit(table).alias("table"), "name", "position", "value"))
 
 
+def with_samples(catalog: DataFrame, df: DataFrame, order_col: str, k: int = SAMPLE_VALUES_COUNT, table: str = "t") -> DataFrame:
+    """Q2: the catalog with ``sample_values``, the first ``k`` values of each column that are not null."""
+    first = first_values(df, order_col, k, None, table).groupBy("table", "name").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "value"))), lambda x: x["value"]).alias("sample_values"))
+    return catalog.join(first, ["table", "name"], "left")
+
+
 def sketch_catalog(spark, df: DataFrame, table: str = "t", dayfirst: bool = False, rsd: float = 0.01) -> DataFrame:
     """Scale mode: the catalog from one pass over the raw rows, no value shuffle.
 

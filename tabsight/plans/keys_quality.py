@@ -71,14 +71,15 @@ def q_drop_all_null(spark, sf):
 
 
 # ---------------------------------------------------------------- Q5 / Q6 type issues
-def _type_issue_sql(variant: str) -> str:
+def _type_issue_sql(variant: str, dayfirst: bool = False) -> str:
+    CAT = O.catalog_sql(["dirty_orders"], dayfirst)
     st = "semantic_type" if variant == "pipeline" else "semantic_type_builder"
     parts = []
     for c, k in DCOLS:
         if k not in ("string", "numeric", "datetime"):
             continue
         fail_num = f"({c} IS NOT NULL AND {O.value_num_sql(c, k)} IS NULL)"
-        fail_dt = f"({c} IS NOT NULL AND {O.value_dt_sql(c, k)} IS NULL)"
+        fail_dt = f"({c} IS NOT NULL AND {O.value_dt_sql(c, k, dayfirst)} IS NULL)"
         for t, fail in (("numeric", fail_num), ("datetime", fail_dt)):
             if variant == "pipeline":
                 issue = "'Non-numeric values in numeric column'" if t == "numeric" else "'Unparseable datetime values'"
@@ -100,6 +101,15 @@ def q_type_issues(spark, sf):
     return quality.type_issues(df, cat, "dirty_orders", "o_orderkey", "pipeline")
 
 
+@reg("type_issues_dayfirst", "\nUNION ALL\n".join(f"SELECT '{v}' AS variant, * FROM ({_type_issue_sql(v, True)}) i" for v in ("pipeline", "builder")))
+def q_type_issues_dayfirst(spark, sf):
+    """Q5/Q6: day-first date text with values that are no dates, under both variants."""
+    df, cat, _ = catalog_for(spark, sf, "dirty_orders", dayfirst=True)
+    out = [quality.type_issues(df, cat, "dirty_orders", "o_orderkey", v, dayfirst=True).select(F.lit(v).alias("variant"), "*")
+           for v in ("pipeline", "builder")]
+    return out[0].unionByName(out[1])
+
+
 # ---------------------------------------------------------------- Q3 / Q4 / P10 outliers
 def _outlier_sql(variant: str) -> str:
     st = "semantic_type" if variant == "pipeline" else "semantic_type_builder"
@@ -251,6 +261,130 @@ def q_quality_warnings(spark, sf):
     return quality.quality_warnings(cat, s, quality.iqr_outliers(fk, cat, "pipeline"))
 
 
+def _report_sql(variant: str) -> str:
+    score = "quality_score" if variant == "pipeline" else "quality_score_builder"
+    said = QW_SQL if variant == "pipeline" else f"""WITH c AS {CAT}, s AS ({SUMMARY_SQL})
+      SELECT "table", 1 AS seq, 'Found empty columns: [''' || string_agg(name, ''', ''' ORDER BY ordinal) || ''']' AS message, 'warning' AS level FROM c WHERE is_empty GROUP BY 1
+      UNION ALL SELECT "table", 2, 'Found constant columns: [''' || string_agg(name, ''', ''' ORDER BY ordinal) || ''']', 'warning' FROM c WHERE distinct_count = 1 GROUP BY 1
+      UNION ALL SELECT "table", 3, 'Found ' || duplicate_row_count || ' duplicate rows.', 'warning' FROM s WHERE duplicate_row_count > 0
+      UNION ALL SELECT "table", 4, 'Found ' || total_missing || ' missing values in total.', 'warning' FROM s WHERE total_missing > 0"""
+    return f"""WITH w AS ({said}), o AS ({_outlier_sql(variant)}), i AS ({_type_issue_sql(variant)}), k AS {CAT}, s AS ({SUMMARY_SQL})
+      SELECT "table", row_count, column_count, total_missing, duplicate_row_count, {score} AS quality_score,
+        (SELECT string_agg(name || '=' || missing_count, ',' ORDER BY ordinal) FROM k) AS missing_by_column,
+        (SELECT string_agg(name, ',' ORDER BY ordinal) FROM k WHERE is_empty) AS empty_columns,
+        (SELECT string_agg(name, ',' ORDER BY ordinal) FROM k WHERE distinct_count <= 1 AND NOT is_empty) AS constant_columns,
+        (SELECT string_agg(name || '=' || outlier_count, ',' ORDER BY ordinal) FROM o) AS outliers,
+        (SELECT COALESCE(string_agg(name || ': ' || issue || ' ' || count || ' ' || examples || ' ' || severity, ',' ORDER BY ordinal), '') FROM i) AS type_issues,
+        (SELECT COALESCE(string_agg(message, '|' ORDER BY seq) FILTER (WHERE level = 'warning'), '') FROM w) AS warnings,
+        (SELECT COALESCE(string_agg(message, '|' ORDER BY seq) FILTER (WHERE level = 'error'), '') FROM w) AS errors FROM s"""
+
+
+def _report(spark, sf, variant):
+    df, cat, fk = catalog_for(spark, sf, "dirty_orders")
+    typed = [r["name"] for r in cat.where("semantic_type = 'numeric' or semantic_type_builder = 'numeric'").select("name").collect()]
+    quarters = stats.quartiles(fk, typed, parse_text=True)
+    issues = {v: quality.type_issues(df, cat, "dirty_orders", "o_orderkey", v) for v in {"pipeline", variant}}
+    ob = quality.iqr_outliers(fk, cat, "builder", quartiles=quarters)
+    s = quality.quality_summary(cat, duplicate_rows(df, "dirty_orders"), issues["pipeline"], ob)
+    out = ob if variant == "builder" else quality.iqr_outliers(fk, cat, "pipeline", quartiles=quarters)
+    said = quality.builder_warnings(cat, s) if variant == "builder" else quality.quality_warnings(cat, s, out)
+    r = quality.full_report(cat, s, out, issues[variant], said, variant)
+    lines = lambda c, fn: F.coalesce(F.array_join(F.transform(c, fn), ","), F.lit(""))
+    text = lambda c: c.cast("string")
+    return r.select(
+        "table", "row_count", "column_count", "total_missing", "duplicate_row_count", "quality_score",
+        lines(F.map_entries("missing_by_column"), lambda x: F.concat_ws("=", x["key"], text(x["value"]))).alias("missing_by_column"),
+        F.array_join("empty_columns", ",").alias("empty_columns"), F.array_join("constant_columns", ",").alias("constant_columns"),
+        lines("outliers", lambda x: F.concat_ws("=", x["name"], text(x["outlier_count"]))).alias("outliers"),
+        lines("type_issues", lambda x: F.concat(x["name"], F.lit(": "), F.concat_ws(" ", x["issue"], text(x["count"]), x["examples"], x["severity"]))).alias("type_issues"),
+        F.array_join("warnings", "|").alias("warnings"), F.array_join("errors", "|").alias("errors"))
+
+
+@reg("quality_report_full", _report_sql("pipeline"))
+def q_quality_report_full(spark, sf):
+    """Q11: the nested pipeline report, its lists joined as text."""
+    return _report(spark, sf, "pipeline")
+
+
+@reg("quality_report_builder", _report_sql("builder"))
+def q_quality_report_builder(spark, sf):
+    """Q11: the nested builder report with its own warnings and issues."""
+    return _report(spark, sf, "builder")
+
+
+@reg("profile_notes", f"""SELECT 'embeddings' AS "table", 1 AS ordinal, 'embedding' AS name, 'unknown' AS semantic_type, 'unknown:values_of_no_known_type' AS note
+  WHERE EXISTS (SELECT 1 FROM embeddings WHERE embedding IS NOT NULL)""")
+def q_profile_notes(spark, sf):
+    """R1 notes: columns with values of no known type (an empty column has no note)."""
+    out = []
+    for t in ("embeddings", "dirty_orders"):
+        df, cat, fk = catalog_for(spark, sf, t)
+        prof, _ = profile.profile_report(df, cat, fk, t)
+        out.append(profile.profile_notes(prof))
+    return out[0].unionByName(out[1])
+
+
+@reg("catalog_samples", f"""SELECT 'customer' AS "table", name, string_agg(value, '|' ORDER BY position) AS sample_values FROM (
+  SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY k) AS position FROM (
+  {" UNION ALL ".join(f"SELECT '{c}' AS name, c_custkey AS k, CAST({c} AS VARCHAR) AS value FROM customer WHERE {c} IS NOT NULL" for c, _ in O.SCHEMAS["customer"])}
+  ) u) WHERE position <= 5 GROUP BY 2""")
+def q_catalog_samples(spark, sf):
+    """Q2: the catalog with its sample values."""
+    df, cat, _ = catalog_for(spark, sf, "customer")
+    return stats.with_samples(cat, df, "c_custkey", table="customer").select("table", "name", F.array_join("sample_values", "|").alias("sample_values"))
+
+
+#: Values that cuts, fixed decimals and narrow rounding would change; sums of them are exact in any order.
+EXTREME_SQL = """(SELECT o_orderkey, o_orderkey / CAST(1073741824 AS DOUBLE) / 1024 AS tiny, o_orderkey * CAST(1.2980742146337069e33 AS DOUBLE) AS huge,
+    1700000000000000000 + CAST(o_orderkey AS BIGINT) * 1024 AS epoch, CASE WHEN o_orderkey % 1000 = 7 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(o_orderkey AS DOUBLE) END AS endless,
+    repeat(o_orderpriority || ' ', 40) || o_orderstatus AS long_text FROM orders)"""
+
+
+def _extreme(spark, sf):
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        "o_orderkey", (k / F.lit(1073741824.0) / 1024).alias("tiny"), (k * F.lit(1.2980742146337069e33)).alias("huge"),
+        (F.lit(1700000000000000000) + k * 1024).alias("epoch"), F.when(k % 1000 == 7, F.lit(float("inf"))).otherwise(k.cast("double")).alias("endless"),
+        F.concat(F.repeat(F.concat("o_orderpriority", F.lit(" ")), F.lit(40)), F.col("o_orderstatus")).alias("long_text"))
+
+
+@reg("extreme_profile", "\nUNION ALL\n".join(f"""SELECT '{c}' AS name, COUNT({c}) AS count, {'CAST(NULL AS DOUBLE)' if c == 'endless' else f'SUM(CAST({c} AS DOUBLE)) / COUNT({c})'} AS mean,
+  CAST(MIN({c}) AS DOUBLE) AS min, CASE WHEN isinf(CAST(MAX({c}) AS DOUBLE)) THEN NULL ELSE CAST(MAX({c}) AS DOUBLE) END AS max, CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq FROM {EXTREME_SQL} e"""
+  for c in ("tiny", "huge", "endless")) + f"""\nUNION ALL SELECT 'long_text', (SELECT COUNT(*) FROM orders), NULL, NULL, NULL, t.top, t.freq FROM (
+  SELECT long_text AS top, COUNT(*) AS freq FROM {EXTREME_SQL} e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1) t""")
+def q_extreme_profile(spark, sf):
+    """R1 on tiny and huge numbers, infinity and long categories."""
+    df = _extreme(spark, sf)
+    cat, fk = stats.build_catalog(spark, df, "extreme")
+    prof, _ = profile.profile_report(df, cat, fk, "extreme")
+    return prof.where(F.col("name").isin("tiny", "huge", "endless", "long_text")).select("name", "count", "mean", "min", "max", "top", "freq")
+
+
+@reg("extreme_outliers", "\nUNION ALL\n".join(f"""SELECT '{c}' AS name, CAST(0 AS BIGINT) AS outlier_count, {PR('q1 - 1.5 * (q3 - q1)', 4)} AS low, {PR('q3 + 1.5 * (q3 - q1)', 4)} AS high
+  FROM ({O.np_quantiles_sql(f"SELECT CAST({c} AS DOUBLE) AS v FROM {EXTREME_SQL} e", {"q1": 0.25, "q3": 0.75})}) b""" for c in ("epoch", "huge")))
+def q_extreme_outliers(spark, sf):
+    """Q3 on epochs and huge numbers: fences keep their size."""
+    cat, fk = stats.build_catalog(spark, _extreme(spark, sf).select("epoch", "huge"), "extreme")
+    return quality.iqr_outliers(fk, cat, "pipeline").select("name", F.col("outlier_count").cast("long").alias("outlier_count"), "low", "high")
+
+
+@reg("csv_dialect", "\nUNION ALL\n".join(f"SELECT '{t}' AS \"table\", COUNT(*) AS rows, COUNT(*) AS same FROM {t}" for t in ("documents", "pages", "conversations")))
+def q_csv_dialect(spark, sf):
+    """Texts with quotes, commas, blanks and line ends come back byte for byte."""
+    from ..session import scratch_path
+    from ..sources.readers import read_csv
+    from ..sources.sinks import write_csv
+
+    out = None
+    for t, key, c in (("documents", ["doc_id"], "text"), ("pages", ["page_id"], "html"), ("conversations", ["conv_id", "turn"], "text")):
+        df = table(spark, sf, t).select(*[F.col(k).cast("string").alias(k) for k in key], F.col(c).alias("was"))
+        back = read_csv(spark, write_csv(df, scratch_path(spark, "csv"))).withColumnRenamed("was", "now")
+        one = df.join(back, key).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("was") == F.col("now")).alias("same"))
+        one = one.select(F.lit(t).alias("table"), "rows", "same")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---------------------------------------------------------------- R1 / R2 profiles
 def _profile_sql(variant: str) -> str:
     st = "semantic_type" if variant == "pipeline" else "semantic_type_builder"

@@ -194,9 +194,23 @@ def q_kpi_comparative(spark, sf):
   FROM lineitem GROUP BY l_returnflag""")
 def q_kpi_ratio(spark, sf):
     """K9: a calculated ratio field SUM(a)/SUM(b), evaluated per dimension value."""
-    li = table(spark, sf, "lineitem")
-    return li.groupBy("l_returnflag").agg(F.try_divide(charts.exact_sum(F.col("l_extendedprice")),
-                                                       charts.exact_sum(F.col("l_quantity"))).alias("price_per_unit"))
+    return kpi.calculated_field(table(spark, sf, "lineitem"), "price_per_unit", "SUM([l_extendedprice]) / SUM([l_quantity])",
+                                ["l_returnflag"])
+
+
+CUSTOM_KPIS = [("Least price", "l_extendedprice", "min"), ("Greatest price", "l_extendedprice", "max"), ("Median price", "l_extendedprice", "median"),
+               ("Median quantity", "l_quantity", "median"), ("Mean discount", "l_discount", "avg"), ("Lines", "l_returnflag", "count")]
+
+
+@reg("kpi_custom_values", "\nUNION ALL\n".join(
+    f"""SELECT 'lineitem' AS "table", {i} AS position, '{n}' AS metric_name, '{c}' AS "column", '{a}' AS aggregation, round(CAST({
+    dict(min=f'MIN({c})', max=f'MAX({c})', median=f'quantile_cont({c}, 0.5)', avg=f'AVG({c})', count=f'COUNT({c})')[a]} AS DOUBLE), 6) AS value FROM lineitem"""
+    for i, (n, c, a) in enumerate(CUSTOM_KPIS)))
+def q_kpi_custom_values(spark, sf):
+    """K5: the aggregations that the derived KPIs do not use: minimum, maximum, median, mean, count."""
+    flat = spark.createDataFrame([("lineitem", i, *k) for i, k in enumerate(CUSTOM_KPIS)],
+                                 "table string, position int, metric_name string, column string, aggregation string")
+    return kpi.kpi_values(flat, {"lineitem": table(spark, sf, "lineitem")}).withColumn("value", r6("value"))
 
 
 @reg("chart_hints", f"""WITH c AS (SELECT "table", SUM(CASE WHEN role = 'temporal' THEN 1 ELSE 0 END) AS t, SUM(CASE WHEN role = 'measure' THEN 1 ELSE 0 END) AS m,
@@ -222,7 +236,7 @@ def q_dataset_overview(spark, sf):
 
 
 # ---------------------------------------------------------------- V rules
-REC_TABLES = ["orders", "lineitem", "customer", "part", "events", "labels", "documents", "dirty_orders"]
+REC_TABLES = ["orders", "lineitem", "customer", "part", "events", "labels", "documents", "dirty_orders", "benchmark", "pages"]
 CAT_REC = O.catalog_sql(REC_TABLES)
 
 
@@ -303,44 +317,77 @@ def q_kpi_overlay(spark, sf):
     return ov.select("table", "position", "chart_type", "title", "x", "y", "aggregation", "confidence")
 
 
+def _undated(spark, sf):
+    """A table as uploaded from text: day-first dates, no native date column, and so no line in its spec."""
+    from ..operators.stats import catalog_of_tables
+
+    df = table(spark, sf, "dirty_orders").drop("o_orderdate")
+    cat = catalog_of_tables(spark, {"undated_orders": df})
+    fb = spec_checks.date_fallback(df, cat, "undated_orders", "o_orderkey")
+    fb = fb.withColumn("table", F.lit("undated_orders")).join(cat.select("name", "ordinal"), "name")
+    base = recommend.baseline_spec(cat)
+    return base, recommend.trend_injection(base, fb, cat)
+
+
 @reg("trend_injection", None)
 def q_trend_injection(spark, sf):
     """SUM-over-date lines injected when the spec has no line but a text date column exists."""
-    df = table(spark, sf, "dirty_orders")
-    cat = multi_catalog(spark, sf, ["dirty_orders"])
-    # the workbook path works on the frame as uploaded: native datetime columns are treated as text dates
-    fb = spec_checks.date_fallback(df, cat.withColumn("semantic_type", F.lit("n/a")), "dirty_orders", "o_orderkey")
-    fb = fb.withColumn("table", F.lit("dirty_orders")).join(cat.select("name", "ordinal"), "name")
-    spec = recommend.baseline_spec(cat).where(F.col("chart_type") != "line")
-    return recommend.trend_injection(spec, fb, cat)
+    return _undated(spark, sf)[1]
+
+
+GONE = ["o_totalprice", "l_quantity", "c_mktsegment"]
 
 
 @reg("spec_dangling_columns", None)
 def q_spec_dangling(spark, sf):
-    """Every column a recommended spec refers to must exist in its table (rows = problems)."""
+    """Charts made before a column went away (rows = problems)."""
     cat = _rec_cat(spark, sf)
     specs = recommend.recommend(recommend.rule_specs(cat))
-    refs = specs.select("table", "title", F.explode(F.concat(F.array_compact(F.array("x", "y")),
-                                                             F.coalesce("group_by", F.array().cast("array<string>")))).alias("column"))
-    return refs.join(cat.select("table", F.col("name").alias("column")), ["table", "column"], "left_anti")
+    return spec_checks.dangling_columns(specs, cat.where(~F.col("name").isin(GONE)))
 
 
 @reg("spec_merge", None)
 def q_spec_merge(spark, sf):
     """Injected trend charts join the spec when their title is new."""
-    cat = multi_catalog(spark, sf, ["dirty_orders"])
-    base = recommend.baseline_spec(cat).where(F.col("chart_type") != "line").select("table", "seq", "chart_type", "title", "x", "y", "aggregation")
-    inj = q_trend_injection(spark, sf)
-    new = inj.join(base.select("table", "title"), ["table", "title"], "left_anti")
-    return new.withColumn("seq", F.col("seq") - 10).unionByName(base)
+    base, inj = _undated(spark, sf)
+    return spec_checks.merge_specs(base.select("table", "seq", "chart_type", "title", "x", "y", "aggregation"), inj)
 
 
 @reg("spec_constraints", None)
 def q_spec_constraints(spark, sf):
-    """Specs violating the value constraints (confidence in [0,1], non-empty title); expected empty."""
+    """Charts as a careless editor might leave them: boosted confidences, cleared titles, a blank list item."""
     specs = recommend.recommend(recommend.rule_specs(_rec_cat(spark, sf)))
-    bad = (F.col("confidence") < 0) | (F.col("confidence") > 1) | (F.trim(F.coalesce("title", F.lit(""))) == "")
-    return specs.where(bad).select("table", "position", "title", "confidence")
+    edited = specs.select("table", F.when(F.col("chart_type") == "pie", F.lit("  ")).otherwise(F.col("title")).alias("title"),
+                          (F.col("confidence") * 1.25).alias("confidence"),
+                          F.when(F.col("chart_type") == "box", F.array(F.col("x"), F.lit(" "))).otherwise(F.col("group_by")).alias("group_by"))
+    return spec_checks.constraint_violations(edited)
+
+
+SETTINGS_SQL = "SELECT 'c' || n_nationkey AS \"table\", n_nationkey AS max_visualizations, n_nationkey * 5 - 10 AS threshold, 3 - n_nationkey AS score FROM nation"
+
+
+@reg("settings_constraints", f"""WITH s AS ({SETTINGS_SQL})
+  SELECT "table", 'max_visualizations not in 1..20' AS problem FROM s WHERE max_visualizations NOT BETWEEN 1 AND 20
+  UNION ALL SELECT "table", 'threshold not in 0..100' FROM s WHERE threshold NOT BETWEEN 0 AND 100
+  UNION ALL SELECT "table", 'score below 0' FROM s WHERE score < 0""")
+def q_settings_constraints(spark, sf):
+    """The ranges of the settings, over one set of settings per nation."""
+    n = F.col("n_nationkey")
+    return spec_checks.settings_violations(table(spark, sf, "nation").select(
+        F.concat(F.lit("c"), n.cast("string")).alias("table"), n.alias("max_visualizations"), (n * 5 - 10).alias("threshold"), (3 - n).alias("score")))
+
+
+@reg("distinct_lookup", f"""SELECT "table", name, distinct_count FROM {O.catalog_sql(["dirty_orders"])} c""")
+def q_distinct_lookup(spark, sf):
+    """V9: distinct counts from the profile first; the catalog here knows none of the columns that have a profile."""
+    from ..operators.profile import profile_report
+    from .common import catalog_for
+
+    df, cat, fk = catalog_for(spark, sf, "dirty_orders")
+    prof, _ = profile_report(df, cat, fk, "dirty_orders")
+    known = F.col("semantic_type").isin("categorical", "boolean")
+    bare = cat.withColumn("distinct_count", F.when(~known, F.col("distinct_count")))
+    return recommend.distinct_lookup(bare, prof).select("table", "name", "distinct_count")
 
 
 # ---------------------------------------------------------------- C1-C8 chart data
@@ -391,9 +438,9 @@ def q_chart_heatmap(spark, sf):
     return charts.heatmap(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", "sum")
 
 
-@reg("chart_table", """SELECT c_mktsegment, c_nationkey, COUNT(*) AS rows FROM customer GROUP BY 1, 2""")
+@reg("chart_table", f"""SELECT c_mktsegment, c_nationkey FROM customer ORDER BY 1, 2 LIMIT {charts.TABLE_ROWS}""")
 def q_chart_table(spark, sf):
-    """Summary table of the chosen columns."""
+    """The chosen columns, first rows in order (the number is the feature)."""
     return charts.table_chart(table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"])
 
 
@@ -450,13 +497,16 @@ Q["recommend_topk"] = (Q["recommend_topk"][0], f"""WITH s AS (SELECT *, row_numb
   SELECT "table", position, CAST(floor(position / 2) AS BIGINT) AS grid_row, CAST(position % 2 AS INTEGER) AS grid_col, chart_type, title, x, y,
     aggregation, group_by, confidence FROM k""")
 
-Q["spec_dangling_columns"] = (Q["spec_dangling_columns"][0], f"""WITH s AS (SELECT * FROM {RULES_SQL} s0),
+Q["spec_dangling_columns"] = (Q["spec_dangling_columns"][0], f"""WITH s AS (SELECT * FROM ({Q["recommend_topk"][1]}) s0),
   refs AS (SELECT "table", title, x AS "column" FROM s WHERE x IS NOT NULL UNION ALL SELECT "table", title, y FROM s WHERE y IS NOT NULL
            UNION ALL SELECT "table", title, unnest(string_split(group_by, ',')) FROM s WHERE group_by IS NOT NULL)
-  SELECT "table", "column", title FROM refs r WHERE NOT EXISTS (SELECT 1 FROM {CAT_REC} c WHERE c."table" = r."table" AND c.name = r."column")""")
+  SELECT "table", "column", title FROM refs r WHERE NOT EXISTS (SELECT 1 FROM {CAT_REC} c WHERE c."table" = r."table" AND c.name = r."column" AND c.name NOT IN ({O.lit_list(GONE)}))""")
 
-Q["spec_constraints"] = (Q["spec_constraints"][0], f"""SELECT "table", CAST(0 AS INTEGER) AS position, title, confidence FROM {RULES_SQL} s
-  WHERE confidence < 0 OR confidence > 1 OR trim(COALESCE(title, '')) = ''""")
+Q["spec_constraints"] = (Q["spec_constraints"][0], f"""WITH e AS (SELECT "table", chart_type, CASE WHEN chart_type = 'pie' THEN '  ' ELSE title END AS title,
+    confidence * CAST(1.25 AS DOUBLE) AS confidence FROM ({Q["recommend_topk"][1]}) s)
+  SELECT "table", title, 'confidence not in 0..1' AS problem FROM e WHERE confidence > 1 OR confidence < 0
+  UNION ALL SELECT "table", title, 'blank title' FROM e WHERE trim(title) = ''
+  UNION ALL SELECT "table", title, 'blank list item' FROM e WHERE chart_type = 'box'""")
 
 
 def _baseline_sql_for(cat_sql: str) -> str:
@@ -513,10 +563,10 @@ Q["kpi_comparative"] = (Q["kpi_comparative"][0], _comparative_sql())
 
 
 def _trend_injection_sql() -> str:
-    cat = O.catalog_sql(["dirty_orders"])
-    src = O.SOURCES["dirty_orders"]
+    cat = O.catalog_sql(["undated_orders"])
+    src = O.SOURCES["undated_orders"]
     from ..functions.constants import DATE_FALLBACK_KEYWORDS, TREND_EXCLUDE_KEYWORDS
-    cands = [(i, c) for i, (c, _) in enumerate(O.SCHEMAS["dirty_orders"])
+    cands = [(i, c) for i, (c, _) in enumerate(O.SCHEMAS["undated_orders"])
              if any(kw in c.lower().replace("_", " ") for kw in DATE_FALLBACK_KEYWORDS)]
     fb = "\nUNION ALL\n".join(
         f"SELECT {i} AS ordinal, '{c}' AS name, COUNT({O.dt_sql('v', True)}) / CAST(COUNT(*) AS DOUBLE) AS ratio FROM "
@@ -524,13 +574,13 @@ def _trend_injection_sql() -> str:
     return f"""WITH c AS {cat}, fb AS ({fb}),
       d0 AS (SELECT name FROM fb WHERE ratio >= 0.8 ORDER BY ordinal LIMIT 1),
       num AS (SELECT name, row_number() OVER (ORDER BY ordinal) AS k FROM c WHERE semantic_type = 'numeric' AND NOT {_has('lower(name)', TREND_EXCLUDE_KEYWORDS)})
-      SELECT 'dirty_orders' AS "table", CAST(3 - k AS INTEGER) AS seq, 'line' AS chart_type, num.name || ' over time' AS title, d0.name AS x,
+      SELECT 'undated_orders' AS "table", CAST(3 - k AS INTEGER) AS seq, 'line' AS chart_type, num.name || ' over time' AS title, d0.name AS x,
         num.name AS y, 'sum' AS aggregation FROM num, d0 WHERE k <= 2"""
 
 
 TRENDINJ_SQL = _trend_injection_sql()
 Q["trend_injection"] = (Q["trend_injection"][0], TRENDINJ_SQL)
-Q["spec_merge"] = (Q["spec_merge"][0], f"""WITH base AS (SELECT "table", seq, chart_type, title, x, y, aggregation FROM ({_baseline_sql_for(O.catalog_sql(["dirty_orders"]))}) b0 WHERE chart_type <> 'line'),
+Q["spec_merge"] = (Q["spec_merge"][0], f"""WITH base AS (SELECT "table", seq, chart_type, title, x, y, aggregation FROM ({_baseline_sql_for(O.catalog_sql(["undated_orders"]))}) b0),
   inj AS ({TRENDINJ_SQL})
   SELECT "table", CAST(seq - 10 AS INTEGER) AS seq, chart_type, title, x, y, aggregation FROM inj WHERE title NOT IN (SELECT title FROM base)
   UNION ALL SELECT "table", CAST(seq AS INTEGER), chart_type, title, x, y, aggregation FROM base""")

@@ -40,8 +40,11 @@ SCHEMAS["dirty_orders"] = SCHEMAS["orders"] + [
     ("price_null", N), ("price_text", S), ("date_text", S), ("flag_text", S), ("price_outlier", N),
     ("constant_col", S), ("empty_col", S)]
 
+SCHEMAS["undated_orders"] = [x for x in SCHEMAS["dirty_orders"] if x[0] != "o_orderdate"]
+
 SOURCES = {t: t for t in SCHEMAS}
 SOURCES["dirty_orders"] = DIRTY_ORDERS_SQL
+SOURCES["undated_orders"] = f"(SELECT * EXCLUDE (o_orderdate) FROM {DIRTY_ORDERS_SQL} u0)"
 
 ISO_FMTS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d"]
 MONTH_FIRST = ["%m/%d/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%m/%d/%Y"]

@@ -15,7 +15,8 @@ from .readers import CSV_DIALECT
 def write_csv(df: DataFrame, path: str) -> str:
     """Header + comma CSV, one folder of part files, in the dialect that ``read_csv`` reads.
 
-    Null and the empty text are told apart by quotes: the empty text is written as two quotes.
+    The empty text is written as two quotes, so that other readers can tell it from null; ``read_csv`` takes
+    both for null, as its null tokens say.
     """
     df.write.mode("overwrite").options(**CSV_DIALECT, emptyValue='""').csv(path)
     return path
