@@ -115,7 +115,9 @@ def minimax_cuts(keyed: DataFrame, shards: int) -> tuple[int, list[int], int]:
         starts.append(bisect_left(p, p[starts[-1]] - cap))
     cuts, at = [], 0
     for j in range(shards - 1):
-        lo_i, hi_i = max(at, starts[shards - 1 - j]), bisect_right(p, p[at] + cap) - 1
+        later = shards - 1 - j   # each shard takes a segment while there are enough
+        lo_i = max(min(at + 1, len(segs)), starts[later])
+        hi_i = max(lo_i, min(bisect_right(p, p[at] + cap) - 1, len(segs) - later))
         share = p[at] + (total - p[at]) / (shards - j)
         i = bisect_left(p, share)
         at = min((x for x in {min(max(y, lo_i), hi_i) for y in (i - 1, i)}), key=lambda x: abs(p[x] - share))
