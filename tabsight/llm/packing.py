@@ -9,6 +9,7 @@ each other, as buckets from which batches of one length are drawn.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from ..session import stage
 
 LONGEST = 2048
 END = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 BLOCK = 20_000
 
 
@@ -31,11 +32,17 @@ def pieces(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if n % longest >> b & 1]
 
 
+#: Runs of letters (a-z and those of Latin-1), and of other visible ASCII without the apostrophe (which may begin a contraction).
+_RUNS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-@\[-`{-~]+")
+
+
 class WordIds:
     """Token ids, as little-endian unsigned 32-bit bytes, of words between ASCII white space.
 
-    The tokenizer drops white space and never joins what it separates, so the ids of a text are
-    those of its words in order, and each word is encoded once while it is remembered.
+    The tokenizer drops white space and never joins what it separates, nor letters and other signs, and it
+    lower-cases.  So the ids of a text are those of its words, and the ids of a plain word are those of its runs
+    of letters and of signs; words and runs are encoded once while they are remembered.  Runs of letters are
+    encoded many at a time: each ends with the one token that is marked as a word's end.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -45,24 +52,58 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
+
+    def _encode(self, parts: list[bytes]) -> None:
+        for at in range(0, len(parts), 4096):
+            some = parts[at:at + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False), strict=True):
+                self.runs[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _encode_letters(self, parts: list[bytes]) -> None:
+        for at in range(0, len(parts), 1024):
+            some = parts[at:at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):   # a vocabulary without such marks
+                self._encode(some)
+                continue
+            data, begin = ids.tobytes(), 0
+            for p, end in zip(some, cuts, strict=True):
+                self.runs[p] = data[begin:end]
+                begin = end
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def of(self, text: str | None) -> bytes:
-        found = (text or "").encode("utf-8", "replace").split()
-        try:
-            return b"".join(map(self.known.__getitem__, found))
-        except KeyError:
-            self.learn(set(found))
-            return b"".join(map(self.known.__getitem__, found))
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words, new = {}, list(words)
+        low = [w.lower() for w in new]
+        split = [_RUNS.findall(w) for w in low]
+        odd = set()
+        for i, (w, parts) in enumerate(zip(low, split, strict=True)):
+            if b"".join(parts) != w:   # it holds more than those runs: encoded whole
+                split[i] = [w]
+                odd.add(w)
+        needed = {p for parts in split for p in parts}
+        missing = [p for p in needed if p not in self.runs]
+        if len(self.runs) + len(missing) > CACHED_WORDS:
+            self.runs, missing = {}, list(needed)
+        letters = [p for p in missing if (97 <= p[0] <= 122 or p[0] == 0xC3) and p not in odd]
+        self._encode([p for p in missing if not (97 <= p[0] <= 122 or p[0] == 0xC3) or p in odd])
+        self._encode_letters(letters)
+        get = self.runs.__getitem__
+        self.words.update(zip(new, [b"".join(map(get, parts)) for parts in split], strict=True))
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        found = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        self.learn({w for f in found for w in f})
+        get = self.words.__getitem__
+        return [b"".join(map(get, f)) for f in found]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -76,11 +117,11 @@ def _cut(tokenizer_file: str, longest: int, with_ids: bool, ids_type: pa.DataTyp
             _LOADED[tokenizer_file] = WordIds(tokenizer_file)
         encoder = _LOADED[tokenizer_file]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 row, start, length, crc, total, kept = [], [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    data, done = encoder.of(text) + end, 0
+                for i, data in enumerate(encoder.of(part.column(1).to_pylist())):
+                    data, done = data + end, 0
                     view = memoryview(data)
                     for n in pieces(len(data) // 4, longest):
                         row.append(i)
