@@ -265,8 +265,9 @@ def extract(page: str | None, weights: np.ndarray) -> str:
 
 def learn(df: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = TRAIN_PAGES) -> np.ndarray:
     """Classifier weights from the blocks of at most ``train_pages`` pages, the first by the hash of their id."""
+    ids = df.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(train_pages)
     picked = (df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("html is not null")
-              .orderBy(F.xxhash64("id"), "id").limit(train_pages))
+              .join(F.broadcast(ids), "id").limit(2 * train_pages))   # an id may repeat
 
     @F.pandas_udf("array<array<double>>")
     def rows(pages: pd.Series) -> pd.Series:
