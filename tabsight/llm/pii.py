@@ -58,7 +58,7 @@ def _titles() -> str:
 
 _NAME = r"[^\W\d_][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 #: In order: of two entities that overlap the earlier match wins, at one place the earlier type.
-PATTERNS = re.compile("|".join([
+_PARTS = [
     r"(?P<email>[\w%+-][\w.%+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})",
     r"(?P<iban>\b[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?\b)",
     r"(?P<secret>\b(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b"
@@ -68,7 +68,9 @@ PATTERNS = re.compile("|".join([
     r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
     r"(?P<number>(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w]|[-.]\d))",
     rf"(?P<name>(?<!\w)(?:{_titles()})\.? (?-i:(?=[^\W\d_a-zà-þа-яα-ω])){_NAME}(?: (?-i:(?=[^\W\d_a-zà-þа-яα-ω])){_NAME}){{0,2}})",
-]))
+]
+PATTERNS = re.compile("|".join(_PARTS))
+_NO_IBAN = re.compile("|".join(x for x in _PARTS if not x.startswith("(?P<iban>")))
 _TITLE = re.compile(rf"({_titles()})\.? ")
 
 
@@ -102,27 +104,65 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c: int(n) for n, known in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in known.split(",")}
+LEAST_IBAN = min(IBAN_LENGTHS.values())
+
+
+def _iban(found: str) -> tuple[int, str] | None:
+    """Length and normal form of the IBAN that ``found`` is or begins with: words behind it may look like its groups.
+
+    The country's length is tried first, then others from the longest on.
+    """
+    ends = [i for i in range(len(found), 0, -1) if found[i - 1] != " " and not found[i:i + 1].isalnum()]
+    tried = [(end, found[:end].replace(" ", "").upper()) for end in ends]
+    tried.sort(key=lambda x: len(x[1]) != IBAN_LENGTHS.get(x[1][:2]))
+    for end, value in tried:
+        if (len(value) >= LEAST_IBAN or end == len(found)) and value[4:].isascii() and _iban_check(value[:2], value[4:]) == value[2:4]:
+            return end, value
+    return None
+
+
 def script(word: str) -> str:
     name = unicodedata.name(word[0], "LATIN").split()[0]
     return name if name in SYLLABLES else "LATIN"
 
 
+def _matches(text: str) -> Iterator[tuple[re.Match, int, str]]:
+    """Matches that pass their checks, with their ends and normal forms; after one that fails the search goes on inside it."""
+    for at, end in _lines(text):
+        while m := PATTERNS.search(text, at, end):
+            stop, value = m.end(), m[0]
+            if m.lastgroup == "iban":
+                if iban := _iban(m[0]):
+                    stop, value = m.start() + iban[0], iban[1]
+                elif m := _NO_IBAN.match(text, at := m.start(), end):
+                    stop, value = m.end(), m[0]
+                else:
+                    at += 1
+                    continue
+            if m.lastgroup in ("phone", "ssn", "number"):
+                value = re.sub(r"\D", "", value)
+                if m.lastgroup == "phone" and not 7 <= len(value) <= 15:
+                    at = m.start() + 1
+                    continue
+            yield m, stop, value
+            at = stop
+
+
 def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
     """``start, end, type, value`` in order; a name gives a given and a family name, with the gender in the type."""
-    text = text or ""
-    for m in (m for start, end in _lines(text) for m in PATTERNS.finditer(text, start, end)):
+    for m, end, value in _matches(text or ""):
         kind, found = m.lastgroup, m[0]
         if kind == "email":
-            yield m.start(), m.end(), kind, found.lower()
-        elif kind == "iban":
-            value = found.replace(" ", "").upper()
-            if value[4:].isascii() and _iban_check(value[:2], value[4:]) == value[2:4]:
-                yield m.start(), m.end(), kind, value
-        elif kind in ("phone", "ssn", "number"):
-            digits = re.sub(r"\D", "", found)
-            if kind == "phone" and not 7 <= len(digits) <= 15:
-                continue
-            yield m.start(), m.end(), "card" if kind == "number" and luhn(digits) else kind, digits
+            yield m.start(), end, kind, found.lower()
+        elif kind in ("iban", "phone", "ssn"):
+            yield m.start(), end, kind, value
+        elif kind == "number":
+            yield m.start(), end, "card" if luhn(value) else kind, value
         elif kind == "name":
             title = _TITLE.match(found)
             gender = _GENDER[title[1]]
@@ -132,7 +172,7 @@ def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
                 last = i == len(parts) - 1
                 yield (at + p.start(), at + p.end(), "family" if last else f"given {gender}", p[0].lower())
         else:
-            yield m.start(), m.end(), kind, found.lower() if kind == "ip" or len(set(found) & set("ghijklmnopqrstuvwxyz")) == 0 else found
+            yield m.start(), end, kind, found.lower() if kind == "ip" or len(set(found) & set("ghijklmnopqrstuvwxyz")) == 0 else found
 
 
 class Surrogates:

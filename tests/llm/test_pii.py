@@ -93,3 +93,26 @@ def test_odd_rows(spark):
     assert len({t for i, t in got if i in (None, 3)}) == 1
     assert dict(got)[4] == rows[5][1] and dict(got)[5] == rows[6][1] and dict(got)[1] is None
     assert pseudonymise(df.limit(0), "key").count() == 0
+
+
+@pytest.mark.parametrize("spaced", [True, False])
+def test_ibans_of_every_length_before_words(spaced):
+    for n in range(15, 35):
+        country = next((c for c, length in pii.IBAN_LENGTHS.items() if length == n), "ZZ")
+        rest = "".join(str((7 * i + n) % 10) for i in range(n - 4))
+        iban = country + pii._iban_check(country, rest) + rest
+        shown = " ".join(iban[i:i + 4] for i in range(0, n, 4)) if spaced else iban
+        for word in ("abcdefghijkl"[:i] for i in range(1, 13)):
+            for tail in (f" {word}", f" {word} and {word} more", f", {word}", f" {word} {word} {word}"):
+                found = list(entities(f"to {shown}{tail}"))
+                if country != "ZZ":
+                    assert found == [(3, 3 + len(shown), "iban", iban)], (shown, tail)
+                assert [k for *_, k, _ in found] == ["iban"] and found[0][1] >= 3 + len(shown)
+
+
+def test_what_fails_as_an_iban_hides_nothing():
+    two = "BE68 5390 0754 7034 AT61 1904 3002 3457 3201"
+    assert [v for *_, v in entities(f"{two} thanks")] == ["BE68539007547034", "AT611904300234573201"]
+    assert [(k, v) for *_, k, v in entities("no12 4111 1111 1111 1111 ok")] == [("card", "4111111111111111")]
+    secret = "de12" + "0a1b2c3d" * 3 + "ffee"
+    assert [(k, v) for *_, k, v in entities(f"x {secret} y")] == [("secret", secret)]
