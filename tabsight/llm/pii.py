@@ -5,6 +5,10 @@ the same type: digits by a keyed permutation of the digit strings of that length
 numbers never meet), card numbers and IBANs with valid check digits, addresses with valid octets, names by names of the same
 gender and script.  The surrogate is laid into the format of each occurrence: separators, case, length.
 
+Names are found by title only: a name that no title precedes anywhere in a text stays.  Of a name that has
+one somewhere in a text, its other mentions there, with a capital letter, are replaced too, and a given name
+has one gender in a text: the first that a title tells.
+
 The same value has the same surrogate everywhere, whatever its format (coreference).  Distinctness is checked over
 the whole corpus: a surrogate that another value of its type has too, or that is itself a value of the
 corpus, is drawn again under the next attempt.  Only values that need such an attempt make up the table that
@@ -57,6 +61,7 @@ def _titles() -> str:
 
 
 _NAME = r"[^\W\d_][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_CAPITAL = r"(?-i:(?=[^\W\d_a-zà-þа-яα-ω]))"
 #: In order: of two entities that overlap the earlier match wins, at one place the earlier type.
 _PARTS = [
     r"(?P<email>[\w%+-][\w.%+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})",
@@ -67,11 +72,13 @@ _PARTS = [
     r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))",
     r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
     r"(?P<number>(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w]|[-.]\d))",
-    rf"(?P<name>(?<!\w)(?:{_titles()})\.? (?-i:(?=[^\W\d_a-zà-þа-яα-ω])){_NAME}(?: (?-i:(?=[^\W\d_a-zà-þа-яα-ω])){_NAME}){{0,2}})",
+    rf"(?P<name>(?<!\w)(?:(?:{_titles()})\.? )+{_CAPITAL}(?!(?:{_titles()})\b){_NAME}(?: {_CAPITAL}{_NAME}){{0,2}})",
 ]
 PATTERNS = re.compile("|".join(_PARTS))
 _NO_IBAN = re.compile("|".join(x for x in _PARTS if not x.startswith("(?P<iban>")))
 _TITLE = re.compile(rf"({_titles()})\.? ")
+_OWNED = re.compile(r"['’][sS]$")
+_MENTION = re.compile(rf"(?<![^\W_]){_CAPITAL}{_NAME}(?![^\W_])")
 
 
 _GENDER = {x: g for g, known in (("n", NEUTRAL), ("f", FEMALE), ("m", MALE)) for t in known.split() for x in (t, t.upper())}
@@ -153,26 +160,65 @@ def _matches(text: str) -> Iterator[tuple[re.Match, int, str]]:
             at = stop
 
 
+def _titled(m: re.Match) -> tuple[str, list[tuple[int, int, str]]]:
+    """The gender that the titles of a name tell, and ``start, end, value`` of its parts."""
+    found, at, gender = m[0], 0, "n"
+    while title := _TITLE.match(found, at):
+        at, gender = title.end(), _GENDER[title[1]] if gender == "n" else gender
+    parts = [(m.start() + p.start(), m.start() + p.start() + len(x), x.lower())
+             for p in re.finditer(r"\S+", found[at:]) for x in (_OWNED.sub("", p[0]),)]
+    return gender, [(at + start, at + end, x) for start, end, x in parts]
+
+
+def _mentions(text: str, taken: list[tuple[int, int]], given: dict[str, str], family: set[str]) -> Iterator[tuple[int, int, str, str]]:
+    """Words outside of the spans ``taken`` that are known names; what is both is a given name only before a family name."""
+    known, found, i = given.keys() | family, [], 0
+    for m in _MENTION.finditer(text):
+        whole, pieces = _OWNED.sub("", m[0]), [(m.start(), m[0])]
+        if whole.lower() in known:
+            pieces = [(m.start(), whole)]
+        elif len(whole) < len(m[0]) or re.search(r"['’-]", whole):
+            pieces = [(m.start() + p.start(), p[0]) for p in re.finditer(r"[^'’-]+", whole)]
+        for start, x in pieces:
+            while i < len(taken) and taken[i][1] <= start:
+                i += 1
+            if x.lower() in known and (i == len(taken) or start + len(x) <= taken[i][0]):
+                found.append((start, start + len(x), x.lower()))
+    for (start, end, x), (after, _, y) in zip(found, [*found[1:], (-1, -1, "")], strict=False):
+        first = x in given and (x not in family or after == end + 1 and text[end] == " " and y in family)
+        yield start, end, f"given {given[x]}" if first else "family", x
+
+
 def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
-    """``start, end, type, value`` in order; a name gives a given and a family name, with the gender in the type."""
-    for m, end, value in _matches(text or ""):
+    """``start, end, type, value`` in order; a name gives a given and a family name, with the gender in the type.
+
+    Names are found by title; later and earlier mentions of them in the same text need none.
+    """
+    text = text or ""
+    names, out = [], []
+    for m, end, value in _matches(text):
         kind, found = m.lastgroup, m[0]
         if kind == "email":
-            yield m.start(), end, kind, found.lower()
+            out.append((m.start(), end, kind, found.lower()))
         elif kind in ("iban", "phone", "ssn"):
-            yield m.start(), end, kind, value
+            out.append((m.start(), end, kind, value))
         elif kind == "number":
-            yield m.start(), end, "card" if luhn(value) else kind, value
+            out.append((m.start(), end, "card" if luhn(value) else kind, value))
         elif kind == "name":
-            title = _TITLE.match(found)
-            gender = _GENDER[title[1]]
-            parts = list(re.finditer(r"\S+", found[title.end():]))
-            for i, p in enumerate(parts):
-                at = m.start() + title.end()
-                last = i == len(parts) - 1
-                yield (at + p.start(), at + p.end(), "family" if last else f"given {gender}", p[0].lower())
+            names.append(_titled(m))
         else:
-            yield m.start(), end, kind, found.lower() if kind == "ip" or len(set(found) & set("ghijklmnopqrstuvwxyz")) == 0 else found
+            out.append((m.start(), end, kind, found.lower() if kind == "ip" or len(set(found) & set("ghijklmnopqrstuvwxyz")) == 0 else found))
+    if names:
+        given: dict[str, str] = {}
+        for gender, parts in names:
+            for *_, x in parts[:-1]:
+                given[x] = gender if given.get(x, "n") == "n" else given[x]
+        for _, parts in names:
+            out += [(start, end, f"given {given[x]}", x) for start, end, x in parts[:-1]] + [(*parts[-1][:2], "family", parts[-1][2])]
+        out.sort()
+        out += list(_mentions(text, [x[:2] for x in out], given, {parts[-1][2] for _, parts in names}))
+        out.sort()
+    yield from out
 
 
 class Surrogates:

@@ -116,3 +116,20 @@ def test_what_fails_as_an_iban_hides_nothing():
     assert [(k, v) for *_, k, v in entities("no12 4111 1111 1111 1111 ok")] == [("card", "4111111111111111")]
     secret = "de12" + "0a1b2c3d" * 3 + "ffee"
     assert [(k, v) for *_, k, v in entities(f"x {secret} y")] == [("secret", secret)]
+
+
+NAMED = ("Smith came.\nMr John Smith met Dr John Smith and Prof. Dr. Anna Müller; Frau Anna Müller left.\nJohn Smith, SMITH and John's friend saw "
+         "Mrs Smith's house, _Smith_ and Müller-Smith. Anna wrote to john.smith@example.com about blacksmith Johnson.\nГосподин Иван Петров. Петров ушёл.")
+
+
+def test_names_with_a_title_are_replaced_without_it_too(spark):
+    found = list(entities(NAMED))
+    assert {k for *_, k, v in found if v == "john"} == {"given m"} and {k for *_, k, v in found if v == "anna"} == {"given f"}
+    assert [v for *_, v in found].count("smith") == 8 and [v for *_, v in found].count("петров") == 2
+    texts = [NAMED, "John Smith alone, without a title.", "Dr John Doe spoke. Mr John Doe and Doe did."]
+    rows = [r["text"] for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    check(texts, rows)
+    assert not re.search(r"\b(john|smith|anna|müller|петров)\b", rows[0], re.I) and "blacksmith Johnson" in rows[0]
+    assert rows[1] == texts[1] and not re.search(r"\b(John|Doe)\b", rows[2])
+    first = re.match(r"Dr (\w+) (\w+) spoke. Mr (\w+) (\w+) and (\w+) did", rows[2])
+    assert first[1] == first[3] and first[2] == first[4] == first[5]
