@@ -83,10 +83,12 @@ _MENTION = re.compile(rf"(?<![^\W_]){_CAPITAL}{_NAME}(?![^\W_])")
 
 _GENDER = {x: g for g, known in (("n", NEUTRAL), ("f", FEMALE), ("m", MALE)) for t in known.split() for x in (t, t.upper())}
 _SEED = re.compile(r"[\d@]")
+#: What else an entity without a digit or an @ begins with, or stands behind.
+_WORDS = (*TITLES, "password=", "PASSWORD=", "AKIA", *(x + sign for x in ("ghp", "gho", "xoxb", "xoxp", "sk") for sign in "_-"))
 
 
 def _lines(text: str) -> list[tuple[int, int]]:
-    """The lines that may hold an entity: with a digit, an @, a title or a password.  No entity goes beyond a line."""
+    """The lines that may hold an entity: with a digit, an @, a title, a password or an issuer's prefix.  No entity goes beyond a line."""
     starts = set()
     at = 0
     while m := _SEED.search(text, at):
@@ -94,7 +96,7 @@ def _lines(text: str) -> list[tuple[int, int]]:
         at = text.find("\n", m.end())
         if at < 0:
             break
-    for word in (*TITLES, "password=", "PASSWORD="):
+    for word in _WORDS:
         at = text.find(word)
         while at >= 0:
             starts.add(text.rfind("\n", 0, at) + 1)
