@@ -27,9 +27,13 @@ from pyspark.sql import functions as F
 TRAIN_PAGES = 500
 
 # fixed values: element names of HTML
-SKIPPED = "script|style|template|noscript|iframe|object|svg|math|textarea|select|title|button|canvas|audio|video|datalist"
+RAW = "script|style|textarea|title"
+SKIPPED = "template|noscript|iframe|svg|select|button|canvas|audio|video|datalist"
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-                   "strike strong sub sup time tt u var wbr br input meta link".split())
+                   "strike strong sub sup time tt u var wbr br input meta link object param "
+                   # formulas
+                   "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup "
+                   "munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre td th figcaption caption summary address".split())
 
@@ -48,7 +52,8 @@ SURE, LIKELY = 1_000_000, 20_000      # capacities, in thousandths of a unit of
 HOLD, KIN, NEXT, APART = 6_000, 2_000, 1_000, 300
 CLIP = 4.0
 
-_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:[^>]*/>|[^>]*>.*?(?:</\1\s*>|\Z))|<head\b[^>]*>(?=.*?</head\s*>).*?</head\s*>|<[!?][^>]*>", re.S | re.I)
+_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>]*/>|[^>]*>.*?(?:</\1\s*>|\Z))|<head\b[^>]*>(?=.*?</head\s*>).*?</head\s*>|<[!?][^>]*>", re.S | re.I)
+_SKIP = re.compile(rf"<(/?)({SKIPPED})\b[^>]*>", re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)>""")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -82,9 +87,27 @@ def _says(tag: str, attrs: str, inside_article: bool) -> int:
     return 2 if tag in FOR_TAGS else 1 if found & FOR_WORDS else 0
 
 
+def _shown(page: str) -> str:
+    """The page without comments, raw text and skipped elements; of a skipped element that is not closed only the tag goes."""
+    text = _DROP.sub(" ", page)
+    opened: dict[str, list[int]] = {}
+    spans = []
+    for m in _SKIP.finditer(text):
+        same = opened.setdefault(m[2].lower(), [])
+        spans.append((same.pop() if m[1] and same else m.start(), m.end()))
+        if not m[1] and not m[0].endswith("/>"):
+            same.append(m.start())
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if end > at:
+            out += [text[at:start], " "]
+            at = end
+    return "".join([*out, text[at:]])
+
+
 def parse(page: str | None) -> tuple[list[Block], list[Container]]:
     """Blocks in page order and containers (the first is the page); nothing for a null or empty page."""
-    text = _DROP.sub(" ", page or "")
+    text = _shown(page or "")
     blocks: list[Block] = []
     containers = [Container(-1, 0)]
     stack: list[tuple[str, int, bool]] = [("", 0, False)]   # tag, container, inside an article

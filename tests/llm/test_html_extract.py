@@ -63,3 +63,16 @@ def test_null_empty_broken_long_and_extra_columns(spark):
     assert text[1] == text[2] == text[6] == text[7] == "" and text[None] == "Words here."
     assert text[5].count("\n") == 2999
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_skipped_elements_that_are_not_closed_lose_their_tag_only():
+    for tag in ("button", "video", "object", "math", "svg", "select", "noscript", "template", "iframe", "canvas", "audio", "datalist"):
+        for page in (f"<article><p>First words, here.</p><{tag} class=x><p>Second words, here.</p></article>",
+                     f"<{tag}><article><p>First words, here.</p><p>Second words, here.</p></article><{tag}>x</{tag}>"):
+            assert [x for x in extract(page, PRIOR).split("\n") if "words" in x] == ["First words, here.", "Second words, here."], page
+    assert extract("<article><p>Words here.</p><button>Buy <svg><svg>a</svg>b</svg></button><script>if (1) <p>No words.</p>", PRIOR) == "Words here."
+
+
+def test_formulas_and_fallbacks_are_text():
+    page = "<article><p>So <math><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup></math> holds, <object data=x><param name=y>as drawn</object> here.</p></article>"
+    assert extract(page, PRIOR) == "So a=b2 holds, as drawn here."
