@@ -298,7 +298,7 @@ def learn(df: DataFrame, id_col: str = "page_id", html_col: str = "html", train_
         for page in pages:
             x, told = features(*parse(page))
             kept = {tuple(r) for r in np.round(np.column_stack([told, x]), 3)}   # distinct blocks of a page
-            out.append([list(r) for r in sorted(kept)[:200]])
+            out.append([list(r) for r in sorted(kept)])
         return pd.Series(out)
 
     found = [r for p in picked.select(rows("html").alias("r")).collect() for r in p["r"]]

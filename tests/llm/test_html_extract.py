@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 
+from tabsight.llm import html_extract
 from tabsight.llm.html_extract import PRIOR, extract, extract_text, features, minimum_cut, parse, train
 from tabsight.llm.queries import op5_html_extraction
 
@@ -76,3 +77,15 @@ def test_skipped_elements_that_are_not_closed_lose_their_tag_only():
 def test_formulas_and_fallbacks_are_text():
     page = "<article><p>So <math><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup></math> holds, <object data=x><param name=y>as drawn</object> here.</p></article>"
     assert extract(page, PRIOR) == "So a=b2 holds, as drawn here."
+
+
+def test_training_keeps_all_distinct_blocks_of_a_long_page(spark, monkeypatch):
+    """Paragraphs of 300 lengths in an article, 300 in a navigation: none is left out."""
+    blocks = ["".join(f"<p>{'w ' * n}</p>" for n in range(1, 301)), "".join(f"<p>{'v ' * n}</p>" for n in range(1, 301))]
+    page = f"<nav>{blocks[0]}</nav><article>{blocks[1]}</article>"
+    seen = []
+    monkeypatch.setattr(html_extract, "train", lambda x, told: seen.append(told) or PRIOR)
+    html_extract.learn(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    x, told = features(*parse(page))
+    distinct = {(t, *r) for t, r in zip(told, np.round(x, 3).tolist(), strict=True)}
+    assert sorted(seen[0].tolist()) == sorted(t for t, *_ in distinct) and (seen[0] == 2).sum() > 200 and (seen[0] == -1).sum() > 200
