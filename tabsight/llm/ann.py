@@ -140,7 +140,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     # the k + 1 least ids of a class are all that any answer can hold
     placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("class", "vector").orderBy("id")))
     least = stage(placed.where(F.col("place") <= k + 1), "leastids")
-    classes = stage(least.where("place = 1").select("class", "vector"), "classes")
+    classes = stage(least.where("place = 1").select("class", "id", "vector"), "classes")
     asked = stage(rows.where(F.col("id") % every == 0).select("id", "class", "vector"), "asked")
     n = classes.count()
     picked = classes.orderBy(F.xxhash64("class"), "class").limit(sample).select("vector").collect()
@@ -158,7 +158,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
                 at = forest.value.leaves(_matrix(b["vector"]))
                 m = at.shape[1]
                 yield pd.DataFrame({"tree": np.tile(np.arange(m, dtype=np.int32), len(b)), "leaf": at.ravel(),
-                                    "class": np.repeat(b["class"].to_numpy(), m), "vector": b["vector"].repeat(m).to_numpy()})
+                                    "class": np.repeat(b["class"].to_numpy(), m), "least": b["id"].repeat(m).to_numpy(), "vector": b["vector"].repeat(m).to_numpy()})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -175,29 +175,35 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
     where = "tree int, leaf long, class long, vector array<double>"
     wide = F.col("vector").cast("array<double>").alias("vector")
-    indexed = classes.select("class", wide).mapInPandas(put, where)
+    least_id = classes.schema["id"].dataType.simpleString()
+    indexed = classes.select("class", "id", wide).mapInPandas(put, f"tree int, leaf long, class long, least {least_id}, vector array<double>")
     queries = asked.select("class", "vector").distinct().select("class", wide).mapInPandas(ask, f"{where}, floor double")
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({"query": [], "class": [], "score": []})
-        xs, ids, out = _matrix(x["vector"]), x["class"].to_numpy(), []
+            return pd.DataFrame({"query": [], "class": [], "least": [], "score": []})
+        xs, ids, least, out = _matrix(x["vector"]), x["class"].to_numpy(), x["least"].to_numpy(), []
+        place = np.empty(len(ids), np.int64)   # by least id
+        place[np.lexsort((ids, np.unique(least, return_inverse=True)[1]))] = np.arange(len(ids))
+        keep = min(len(xs), k + 1)
         for at in range(0, len(q), 512):
             part = q.iloc[at:at + 512]
-            qs = _matrix(part["vector"])
+            qs, floors, asks = _matrix(part["vector"]), part["floor"].to_numpy(), part["class"].to_numpy()
             rough = qs @ xs.T
-            keep = min(len(xs), k + 1)
-            top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep]
-            exact = (qs[:, None, :] * xs[top]).sum(axis=2).ravel()
-            seen = exact >= np.repeat(part["floor"].to_numpy(), keep)
-            out.append(pd.DataFrame({"query": np.repeat(part["class"].to_numpy(), keep)[seen], "class": ids[top].ravel()[seen], "score": exact[seen]}))
+            edge = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1]
+            row, col = np.nonzero(rough >= np.maximum(edge - 1e-9 * np.maximum(1, np.abs(edge)), floors - 1e-9)[:, None])   # all that tie at the edge
+            exact = np.concatenate([np.empty(0), *[(qs[row[i:i + 65536]] * xs[col[i:i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)]])
+            order = np.lexsort((place[col], -exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            seen = (np.arange(len(row)) - np.searchsorted(row, row) < keep) & (exact >= floors[row])
+            out.append(pd.DataFrame({"query": asks[row[seen]], "class": ids[col[seen]], "least": least[col[seen]], "score": exact[seen]}))
         return pd.concat(out)
 
     met = (queries.groupBy("tree", "leaf").cogroup(indexed.groupBy("tree", "leaf"))
-           .applyInPandas(meet, "query long, class long, score double"))
-    best = (met.groupBy("query", "class").agg(F.max("score").alias("score"))
-            .withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).where(F.col("r") <= k + 1))
-    # a class stands for its least ids; classes of equal score are ordered by id only now
+           .applyInPandas(meet, f"query long, class long, least {least_id}, score double"))
+    best = (met.groupBy("query", "class").agg(F.max("score").alias("score"), F.min("least").alias("least"))
+            .withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least", "class"))).where(F.col("r") <= k + 1))
+    # a class, so far placed by its least id, stands for its k + 1 least ones
     named = best.join(least.select("class", F.col("id").alias("found")), "class").select("query", "found", "score")
     per_class = named.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "found"))).where(F.col("r") <= k + 1)
     answers = asked.select(F.col("id").alias("query_id"), F.col("class").alias("query")).join(per_class, "query").where("found <> query_id")

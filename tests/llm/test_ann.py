@@ -68,3 +68,18 @@ def test_ties_equal_vectors_and_invalid_rows(spark):
     assert few.where("query_id = 20").count() == 2
     assert nearest(df.limit(0)).count() == 0 and nearest(df.where("vec_id = 20")).count() == 0
     assert few.select(F.max("rank")).first()[0] == 2
+
+
+def test_more_ties_than_answers_go_to_the_smaller_ids(spark):
+    """Vectors of signs: far more than k + 1 different ones tie in score, in one leaf and over several."""
+    rnd = np.random.default_rng(5)
+    x = np.unique(rnd.choice([-1.0, 1.0], (400, 10)), axis=0)
+    ids = rnd.permutation(len(x))
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    df = spark.createDataFrame([(*r, 1, 2, "z") for r in rows], SCHEMA)
+    want = {q: [i for i, _ in found] for q, found in brute(rows, 5).items()}
+    for leaf in (1024, 64):
+        got = {}
+        for r in nearest(df, k=5, leaf=leaf, recall=1.0).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert got == want
