@@ -41,17 +41,20 @@ class WordIds:
 
     The tokenizer drops white space and never joins what it separates, nor letters and other signs, and it
     lower-cases.  So the ids of a text are those of its words, and the ids of a plain word are those of its runs
-    of letters and of signs; words and runs are encoded once while they are remembered.  Runs of letters are
+    of letters and of signs; words and runs are encoded once while they are remembered.  With ``added``, text that
+    spells an added token is that token, as in a plain encode, and words that hold one are encoded whole.  Runs of letters are
     encoded many at a time: each ends with the one token that is marked as a word's end.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, added: bool = False):
         # one thread a worker: Spark has given each core a task, and the library's threads spin on short words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = re.compile("|".join(re.escape(x) for x in names).encode(), re.I) if names else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -85,9 +88,10 @@ class WordIds:
         split = [_RUNS.findall(w) for w in low]
         odd = set()
         for i, (w, parts) in enumerate(zip(low, split, strict=True)):
-            if b"".join(parts) != w:   # it holds more than those runs: encoded whole
-                split[i] = [w]
-                odd.add(w)
+            # it holds more than those runs, or may hold an added token, whose case counts: encoded whole
+            if b"".join(parts) != w or self.added and self.added.search(w):
+                split[i] = [new[i]]
+                odd.add(new[i])
         needed = {p for parts in split for p in parts}
         missing = [p for p in needed if p not in self.runs]
         if len(self.runs) + len(missing) > CACHED_WORDS:
@@ -114,7 +118,7 @@ def _cut(tokenizer_file: str, longest: int, with_ids: bool, ids_type: pa.DataTyp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_file not in _LOADED:
-            _LOADED[tokenizer_file] = WordIds(tokenizer_file)
+            _LOADED[tokenizer_file] = WordIds(tokenizer_file, added=True)
         encoder = _LOADED[tokenizer_file]
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -147,6 +151,7 @@ def pack(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: s
          with_ids: bool = True) -> DataFrame:
     """One row per piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, on request, ``ids``.
 
+    Ids are those of the tokenizer at its defaults, without added special tokens; text that spells one is that token.
     A null or blank text is the end token alone.  Repeated rows are packed as often as they occur; null ids
     are kept.  ``longest`` must be a power of two.  Sequence ids count from 0 through the buckets, shortest
     first, without gaps; ``offset`` is 0 throughout, as a piece is its sequence.  An empty table gives no

@@ -77,3 +77,11 @@ def test_nulls_empty_long_repeated_and_extra_columns(spark, tokenizer):
     assert pack(df.limit(0), FILE).count() == 0
     with pytest.raises(ValueError):
         pack(df, FILE, longest=1000)
+
+
+def test_literal_added_tokens_as_in_a_plain_encode(spark):
+    plain = Tokenizer.from_file(FILE)
+    rows = [(i, t) for i, t in enumerate(["a <|endoftext|> b", "x<|startoftext|>y,<|endoftext|>'s", "<|ENDOFTEXT|> é<|EndOfText|>中", "<|endoftext|>", "<|endoftext| >",
+                                          "中<|endoftext|>é <|startoftext|><|endoftext|>.", "endoftext startoftext <| |>"])]
+    check(rows, pack(spark.createDataFrame(rows, "doc_id long, text string"), FILE).collect(), plain)
+    assert 49407 in ids_of(plain, rows[0][1])
