@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import table
+from .divergence import DIVERGENCE_SQL, divergence
 from .html_extract import extract_text
 from .line_dedup import line_components
 from .mixing import mix
+from .negatives import NEGATIVES_SQL, hard_negatives, shifted_label
 from .packing import pack
 from .pii import pseudonymise
 from .quality_cnn import score_documents
 from .quality_rules import apply_rules
 from .sharding import shard
 from .simhash import hex16, simhash_components
+from .topk import TOP_K_SQL, top_k
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +71,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label=shifted_label(), every=100, scale=256)
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_sharding": op2_sharding,
@@ -79,6 +94,13 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_decision_list": op9_decision_list,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_divergence": op11_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_top_k": op13_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_divergence": DIVERGENCE_SQL,
+    "op12_hard_negatives": NEGATIVES_SQL,
+    "op13_top_k": TOP_K_SQL,
+}
