@@ -36,6 +36,24 @@ NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType
 DATETIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def quote(name: str) -> str:
+    """A column name as ``F.col`` takes it, whatever dots and backticks it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def under_each_other(df: DataFrame, cells: dict[str, Column], keep: list[Column] | None = None, value: str = "value") -> DataFrame:
+    """``*keep, name, value`` of the named cells, one row each; names may hold dots, backticks or clash with anything.
+
+    The unpivot (an Expand) works under names of its own; the real ones come from a literal list of the columns.
+    """
+    kept = [c.alias(f"_k{i}") for i, c in enumerate(keep or [])]
+    wide = df.select(*kept, *[c.alias(f"_c{i}") for i, c in enumerate(cells.values())])
+    long = wide.unpivot([f"_k{i}" for i in range(len(kept))], [f"_c{i}" for i in range(len(cells))], "_name", value)
+    names = F.array(*[F.lit(n) for n in cells])
+    real = F.element_at(names, F.substring("_name", 3, 9).cast("int") + 1)
+    return long.select(*[F.col(f"_k{i}") for i in range(len(kept))], real.alias("name"), value)
+
+
 def kind_of(dt: T.DataType) -> str:
     """Physical kind of a Spark type: numeric, boolean, datetime, string, other."""
     if isinstance(dt, T.BooleanType):
@@ -59,7 +77,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     exprs = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = F.col(f"`{f.name}`")
+            c = F.col(quote(f.name))
             exprs[f.name] = F.when(F.isnan(c), F.lit(None).cast(f.dataType)).otherwise(c)
     return df.withColumns(exprs) if exprs else df
 
@@ -70,7 +88,7 @@ def null_tokens(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     if not cols:
         return df
     return df.withColumns({
-        c: F.when(F.col(f"`{c}`").isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(f"`{c}`"))
+        c: F.when(F.col(quote(c)).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(quote(c)))
         for c in cols
     })
 

@@ -7,13 +7,15 @@ quantiles, so a hot group never has to fit one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.casts import datetime_value, iso_text, kind_of, nan_to_null, numeric_value
+from ..functions.casts import datetime_value, finite_or_null, iso_text, kind_of, nan_to_null, numeric_value, quote
 from ..functions.constants import HISTOGRAM_BINS, IQR_MULTIPLIER
 from ..session import stage
-from .quantiles import quantile_columns, weighted_quantiles
+from .quantiles import quantile_columns, refined_quantiles
 
 TABLE_ROWS = 500
 AGGREGATIONS = ["sum", "avg", "count", "min", "max", "median"]
@@ -24,11 +26,11 @@ def _kind(df: DataFrame, c: str) -> str:
 
 
 def num(df: DataFrame, c: str) -> Column:
-    return numeric_value(F.col(f"`{c}`"), _kind(df, c))
+    return numeric_value(F.col(quote(c)), _kind(df, c))
 
 
 def dt(df: DataFrame, c: str, dayfirst: bool = False) -> Column:
-    return datetime_value(F.col(f"`{c}`"), _kind(df, c), dayfirst)
+    return datetime_value(F.col(quote(c)), _kind(df, c), dayfirst)
 
 
 def exact_sum(x: Column, times: Column | None = None) -> Column:
@@ -61,15 +63,14 @@ def _agg(fn: str, x: Column) -> Column:
 
 def aggregate_by(df: DataFrame, keys: list[Column], names: list[str], y: Column | None, fn: str,
                  out: str = "value") -> DataFrame:
-    """Group the rows by ``keys`` and aggregate ``y``; ``median`` is exact and distributed."""
+    """Group the rows by ``keys`` and aggregate ``y``; ``median`` is exact and distributed.  A null key is a group."""
     kdf = df.select(*[k.alias(n) for k, n in zip(keys, names)], (y if y is not None else F.lit(1)).alias("_y"))
     if fn.lower() != "median":
         return kdf.groupBy(*names).agg(_agg(fn, F.col("_y")).alias(out))
-    freq = kdf.where(F.col("_y").isNotNull()).groupBy(*names, "_y").agg(F.count(F.lit(1)).alias("cnt"))
-    fx = stage(freq.withColumnRenamed("_y", "x"), "groupfreq")   # read by the range sampling, the ranking and the offsets
-    q = weighted_quantiles(fx, names, [0.5])
-    allk = kdf.select(*names).distinct()
-    return allk.join(q.select(*names, F.col("quantile").alias(out)), names, "left")
+    q = refined_quantiles(kdf, names, [0.5], "_y")
+    every = kdf.select(*names).distinct()
+    same = [F.col(f"k.{n}").eqNullSafe(F.col(f"q.{n}")) for n in names]
+    return every.alias("k").join(q.alias("q"), same, "left").select(*[F.col(f"k.{n}").alias(n) for n in names], F.col("q.quantile").alias(out))
 
 
 # ---------------------------------------------------------------- A14 / A15 / A21
@@ -86,7 +87,7 @@ def daily_counts(df: DataFrame, c: str, dayfirst: bool = False) -> DataFrame:
 
 
 def text_lengths(df: DataFrame, c: str) -> DataFrame:
-    ln = F.char_length(F.col(f"`{c}`").cast("string"))
+    ln = F.char_length(F.col(quote(c)).cast("string"))
     return df.agg(F.count(ln).alias("count"), F.avg(ln).alias("avg_length"),
                   F.min(ln).alias("min_length"), F.max(ln).alias("max_length"))
 
@@ -96,20 +97,24 @@ def histogram(df: DataFrame, c: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins over [min, max], last bin closed; edges as ``lo + i*(hi-lo)/bins``.
 
     The range is a one-row aggregate fetched first (two numbers) and used as
-    literals, so binning is a projection plus one grouped count -- no join.
+    literals, so binning is a projection plus one grouped count -- no join.  Infinite values have no
+    place on the axis and are not binned; a range wider than a double is halved before it is taken.
     """
-    x = num(df, c)
-    vals = nan_to_null(df.select(x.alias("x"))).where(F.col("x").isNotNull())
+    x = finite_or_null(num(df, c))
+    vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
     r = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     # no values: any range gives the same (empty) result
-    lo = F.lit(float(r["lo"]) if r["lo"] is not None else 0.0)
-    hi = F.lit(float(r["hi"]) if r["hi"] is not None else 0.0)
-    w = hi - lo
-    same = r["lo"] is None or float(r["lo"]) == float(r["hi"])
-    b = F.lit(0).cast("long") if same else F.least(F.floor((F.col("x") - lo) / w * bins).cast("long"), F.lit(bins - 1))
+    lo, hi = (float(r[e]) if r[e] is not None else 0.0 for e in ("lo", "hi"))
+    wide = math.isinf(hi - lo)
+    half = 0.5 if wide else 1.0
+    w = hi * half - lo * half
+    b = F.lit(0).cast("long") if lo == hi else F.least(F.floor((F.col("x") * half - lo * half) / w * bins).cast("long"), F.lit(bins - 1))
+
+    def edge(i: Column) -> Column:
+        return lo * (1 - i / bins) + hi * (i / bins) if wide else lo + F.lit(hi - lo) * i / bins
+
     return (vals.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-            .select("bin", (lo + (hi - lo) * F.col("bin") / bins).alias("bin_low"),
-                    (lo + (hi - lo) * (F.col("bin") + 1) / bins).alias("bin_high"), "count"))
+            .select("bin", edge(F.col("bin")).alias("bin_low"), edge(F.col("bin") + 1).alias("bin_high"), "count"))
 
 
 # ---------------------------------------------------------------- A20 / C7 correlation
@@ -142,47 +147,43 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 def box_stats(df: DataFrame, y: str, by: str | None = None, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
     """Five-number summary with 1.5 IQR whiskers and outlier counts, optionally per group.
 
-    Values are first counted per (group, value) -- map-side combined -- and the
-    quartiles come from the distributed exact quantiles.
+    Quartiles come from refined histograms over the raw rows.  A null group is a box of its own, whatever the
+    group column is called; values that are missing or not finite do not count.
     """
-    keys = [by] if by else []
-    base = nan_to_null(df.select(*[F.col(f"`{k}`").cast("string").alias(k) for k in keys], num(df, y).alias("x")))
-    freq = base.where(F.col("x").isNotNull()).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("cnt"))
-    gkeys = keys if keys else ["_all"]
-    if not keys:
-        freq = freq.withColumn("_all", F.lit("all"))
-    freq = stage(freq, "box-freq")
-    qs = quantile_columns(weighted_quantiles(freq, gkeys, [0.25, 0.5, 0.75]), gkeys,
-                          {0.25: "q1", 0.5: "median", 0.75: "q3"})
+    key = F.col(quote(by)).cast("string") if by else F.lit("all")
+    base = df.select(key.alias("_g"), finite_or_null(num(df, y)).alias("_x")).where(F.col("_x").isNotNull())
+    q = stage(refined_quantiles(base, ["_g"], [0.25, 0.5, 0.75], "_x"), "quartiles")
+    qs = quantile_columns(q, ["_g"], {0.25: "q1", 0.5: "median", 0.75: "q3"})
     iqr = F.col("q3") - F.col("q1")
-    fences = qs.select(*gkeys, "q1", "median", "q3", (F.col("q1") - multiplier * iqr).alias("low_fence"),
+    fences = qs.select("_g", "q1", "median", "q3", (F.col("q1") - multiplier * iqr).alias("low_fence"),
                        (F.col("q3") + multiplier * iqr).alias("high_fence"))
-    inside = (F.col("x") >= F.col("low_fence")) & (F.col("x") <= F.col("high_fence"))
-    agg = freq.join(fences, gkeys).groupBy(*gkeys).agg(
-        F.sum("cnt").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.min(F.when(inside, F.col("x"))).alias("whisker_low"), F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("cnt")).otherwise(0)).alias("n_outliers"))
-    out = fences.join(agg, gkeys)
-    cols = [*keys, "count", "min", "q1", "median", "q3", "max", "low_fence", "high_fence", "whisker_low", "whisker_high", "n_outliers"]
-    return out.select(*cols)
+    x = F.col("r._x")
+    inside = (x >= F.col("f.low_fence")) & (x <= F.col("f.high_fence"))
+    found = base.alias("r").join(fences.alias("f"), F.col("r._g").eqNullSafe(F.col("f._g"))).groupBy(
+        "f._g", "q1", "median", "q3", "low_fence", "high_fence").agg(
+        F.count(F.lit(1)).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.min(F.when(inside, x)).alias("whisker_low"), F.max(F.when(inside, x)).alias("whisker_high"),
+        F.sum(F.when(~inside, 1).otherwise(0)).alias("n_outliers"))
+    return found.select(*([F.col("_g").alias(by)] if by else []), "count", "min", "q1", "median", "q3", "max", "low_fence",
+                        "high_fence", "whisker_low", "whisker_high", "n_outliers")
 
 
 # ---------------------------------------------------------------- C1-C3, C6-C8
 def line_chart(df: DataFrame, x: str, y: str, agg: str = "sum", grain: str = "month",
                group_by: list[str] | None = None, dayfirst: bool = False) -> DataFrame:
-    """Measure over time at a grain (day/week/month/quarter/year), optional series column."""
+    """Measure over time at a grain (day/week/month/quarter/year), with optional columns ``series``, ``series_2`` ..."""
     t = F.date_trunc(grain, dt(df, x, dayfirst)).cast("timestamp_ntz")
     keys, names = [t], ["period"]
-    for g in group_by or []:
-        keys.append(F.col(f"`{g}`").cast("string"))
-        names.append("series")
+    for i, g in enumerate(group_by or [], 1):
+        keys.append(F.col(quote(g)).cast("string"))
+        names.append("series" if i == 1 else f"series_{i}")
     out = aggregate_by(df.where(dt(df, x, dayfirst).isNotNull()), keys, names, num(df, y), agg)
     return out.orderBy(*names)
 
 
 def bar_chart(df: DataFrame, x: str, y: str | None, agg: str = "sum") -> DataFrame:
     """Measure per category (NULL category kept as its own bar)."""
-    return aggregate_by(df, [F.col(f"`{x}`").cast("string")], ["category"], num(df, y) if y else None, agg)
+    return aggregate_by(df, [F.col(quote(x)).cast("string")], ["category"], num(df, y) if y else None, agg)
 
 
 def pie_chart(df: DataFrame, x: str, y: str | None, agg: str = "sum") -> DataFrame:
@@ -201,11 +202,11 @@ def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def heatmap(df: DataFrame, a: str, b: str, y: str | None, agg: str = "sum") -> DataFrame:
     """Dimension x dimension grid of an aggregated measure."""
-    return aggregate_by(df, [F.col(f"`{a}`").cast("string"), F.col(f"`{b}`").cast("string")], ["row", "column"],
+    return aggregate_by(df, [F.col(quote(a)).cast("string"), F.col(quote(b)).cast("string")], ["row", "column"],
                         num(df, y) if y else None, agg)
 
 
 def table_chart(df: DataFrame, cols: list[str], n: int = TABLE_ROWS) -> DataFrame:
     """The chosen columns of the table's first ``n`` rows in their own order (a page of a dashboard)."""
-    picked = [F.col(f"`{c}`") for c in cols]
+    picked = [F.col(quote(c)) for c in cols]
     return df.select(*picked).orderBy(*picked).limit(n)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.casts import kind_of, nan_to_null
+from ..functions.casts import kind_of, nan_to_null, quote, under_each_other
 
 
 def static_catalog(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
@@ -28,7 +28,7 @@ def static_catalog(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
 
 
 def _as_text(f: T.StructField):
-    c = F.col(f"`{f.name}`")
+    c = F.col(quote(f.name))
     dt = f.dataType
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         c = F.when(F.isnan(c), None).otherwise(c + F.lit(0.0))  # -0.0 and 0.0 are one value
@@ -44,8 +44,7 @@ def value_frequencies(df: DataFrame, table: str = "t", cols: list[str] | None =
     """
     cols = cols if cols is not None else df.columns
     fields = {f.name: f for f in df.schema.fields}
-    wide = df.select(*[_as_text(fields[c]).alias(c) for c in cols])
-    long = wide.unpivot([], cols, "name", "value")
+    long = under_each_other(df, {c: _as_text(fields[c]) for c in cols})
     return (long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("cnt"))
             .select(F.lit(table).alias("table"), "name", "value", F.char_length("value").alias("len"), "cnt"))
 

@@ -12,10 +12,10 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.casts import name_has_any
+from ..functions.casts import quote, name_has_any
 from ..functions.constants import FORMULA_AGG_ORDER_ALT, MAX_KPI_MEASURES, MONEY_KEYWORDS
 from .charts import exact_sum, line_chart, num
-from .quantiles import weighted_quantiles
+from .quantiles import column_quantiles
 from .roles import role_position
 
 KPI_SCHEMA = ("table string, bucket string, bucket_order int, seq int, kpi_name string, formula string, "
@@ -106,7 +106,7 @@ def calculated_field(df: DataFrame, name: str, formula: str, by: list[str]) -> D
             raise ValueError(f"not an aggregation of one column: {text!r}")
         x, fn = num(df, m[2]), m[1].lower()
         return {"sum": exact_sum(x), "avg": F.try_divide(exact_sum(x), F.count(x)), "min": F.min(x), "max": F.max(x),
-                "count": F.count(F.col(f"`{m[2]}`"))}[fn].cast("double")
+                "count": F.count(F.col(quote(m[2])))}[fn].cast("double")
 
     terms = [term(t) for t in formula.split("/")]
     if len(terms) > 2:
@@ -129,7 +129,7 @@ def kpi_values(flat: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
             a = r["aggregation"]
             if a == "median":
                 continue
-            e = {"sum": exact_sum(x), "avg": exact_sum(x) / F.count(x), "count": F.count(F.col(f"`{r['column']}`")),
+            e = {"sum": exact_sum(x), "avg": exact_sum(x) / F.count(x), "count": F.count(F.col(quote(r["column"]))),
                  "min": F.min(x), "max": F.max(x)}[a]
             aggs.append(e.cast("double").alias(f"k{i}"))
             entries.append(F.struct(F.lit(r["position"]).alias("position"), F.col(f"k{i}").alias("value")))
@@ -138,13 +138,9 @@ def kpi_values(flat: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
             part = df.agg(*aggs).select(F.inline(F.array(*entries))).select(F.lit(t).alias("table"), "position", "value")
         meds = [r for r in mine if r["aggregation"] == "median"]
         if meds:
-            # all medians of the table from one scan: unpivot to (position, x), count each value once
-            # (map-side), then one exact quantile pass keyed by the KPI position
-            cells = F.array(*[F.struct(F.lit(r["position"]).alias("position"), num(df, r["column"]).alias("x")) for r in meds])
-            f = (df.select(F.inline(cells)).where(F.col("x").isNotNull())
-                 .groupBy("position", "x").agg(F.count(F.lit(1)).alias("cnt")))
-            med = weighted_quantiles(f, ["position"], [0.5]).select(F.lit(t).alias("table"), "position",
-                                                                    F.col("quantile").alias("value"))
+            cells = {str(r["position"]): num(df, r["column"]) for r in meds}
+            med = column_quantiles(df, cells, [0.5]).select(
+                F.lit(t).alias("table"), F.col("name").cast("int").alias("position"), F.col("quantile").alias("value"))
             part = med if part is None else part.unionByName(med)
         if part is not None:
             out = part if out is None else out.unionByName(part)
@@ -176,7 +172,7 @@ def comparative_values(defs: DataFrame, tables: dict[str, DataFrame]) -> DataFra
         df = tables[t]
         main = pairs[0][1]
         dims = [d for d, _ in pairs]
-        base = df.select(num(df, main).alias("_y"), *[F.col(f"`{d}`").cast("string").alias(f"_d{i}") for i, d in enumerate(dims)])
+        base = df.select(num(df, main).alias("_y"), *[F.col(quote(d)).cast("string").alias(f"_d{i}") for i, d in enumerate(dims)])
         keys = [f"_d{i}" for i in range(len(dims))]
         g = base.groupingSets([[F.col(k)] for k in keys], *keys).agg(
             exact_sum(F.col("_y")).alias("value"), *[F.grouping(k).alias(f"_g{i}") for i, k in enumerate(keys)])

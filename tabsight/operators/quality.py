@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import py_round
 
-from ..functions.casts import nan_to_null, to_datetime, to_number
+from ..functions.casts import nan_to_null, quote, to_datetime, to_number, under_each_other
 from ..functions.constants import (
     DUPLICATE_RATIO_WARNING, IQR_MULTIPLIER, MISSING_RATIO_HIGH, MISSING_RATIO_WARNING,
     QUALITY_THRESHOLD_DEFAULT,
@@ -24,8 +24,8 @@ from .stats import _dt_of, _num_of, duplicate_rows
 def validate_min_requirements(df: DataFrame, max_columns: int = 500) -> DataFrame:
     """One row with row count, non-empty row count and the verdict."""
     df = nan_to_null(df)
-    non_empty = F.greatest(*[F.col(f"`{c}`").isNotNull().cast("int") for c in df.columns]) if len(df.columns) > 1 \
-        else F.col(f"`{df.columns[0]}`").isNotNull().cast("int")
+    non_empty = F.greatest(*[F.col(quote(c)).isNotNull().cast("int") for c in df.columns]) if len(df.columns) > 1 \
+        else F.col(quote(df.columns[0])).isNotNull().cast("int")
     agg = df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(non_empty), F.lit(0)).alias("non_empty_rows"))
     ncols = len(df.columns)
     return agg.select(
@@ -88,8 +88,7 @@ def outlier_rows(df: DataFrame, bounds: DataFrame, table: str, key: str) -> Data
     (one row per column: broadcast is size-bounded by the column count).
     """
     names = [r for r in df.columns if r != key]
-    long = df.select(F.col(key).alias("key"), *[F.col(f"`{c}`").cast("string").alias(c) for c in names]) \
-        .unpivot(["key"], names, "name", "raw")
+    long = under_each_other(df, {c: F.col(quote(c)).cast("string") for c in names}, [F.col(quote(key))], "raw").withColumnRenamed("_k0", "key")
     b = bounds.where(F.col("table") == table).select("name", "low", "high")
     j = long.join(F.broadcast(b), "name").select("key", "name", to_number(F.col("raw")).alias("value"), "low", "high")
     return j.where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
@@ -108,13 +107,13 @@ def type_issues(df: DataFrame, catalog: DataFrame, table: str, order_col: str, v
     cells = []
     for c in targets:
         k, st, _ = kinds[c]
-        col = F.col(f"`{c}`")
+        col = F.col(quote(c))
         parsed = to_number(col) if (st == "numeric" and k == "string") else (
             col.cast("double") if st == "numeric" else _dt_of(F.lit(k), col.cast("string"), dayfirst))
         cells.append(F.when(col.isNotNull() & parsed.isNull(), F.struct(F.lit(c).alias("name"), col.cast("string").alias("raw"))))
     # one pass over the rows; only cells that fail leave it
     failed = F.filter(F.array(*cells), lambda x: x.isNotNull())
-    long = stage(df.select(F.col(f"`{order_col}`").alias("_ord"), F.inline(failed)), "failedcells")
+    long = stage(df.select(F.col(quote(order_col)).alias("_ord"), F.inline(failed)), "failedcells")
     counts = long.groupBy("name").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("name").orderBy("_ord")
     ex = (long.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= n_examples)
@@ -180,7 +179,7 @@ def quick_quality(df: DataFrame, table: str = "t") -> DataFrame:
     df = nan_to_null(df)
     ncols = len(df.columns)
     missing = df.agg(F.count(F.lit(1)).alias("rows"),
-                     sum([F.sum(F.col(f"`{c}`").isNull().cast("long")) for c in df.columns]).alias("missing"))
+                     sum([F.sum(F.col(quote(c)).isNull().cast("long")) for c in df.columns]).alias("missing"))
     d = duplicate_rows(df, table)
     # two one-row aggregates combined by a union and a two-row aggregate (no join)
     none = F.lit(None).cast("long")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.casts import name_has_any
+from ..functions.casts import quote, name_has_any
 from ..functions.constants import (
     DATE_KEYWORDS, GEO_KEYWORDS, ID_KEYWORDS, IDENTIFIER_UNIQUENESS, NUMERIC_DIMENSION_MAX_DISTINCT,
 )
@@ -62,7 +62,7 @@ def time_coverage(roles: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         df = tables[r["table"]]
         f = df.schema[r["name"]]
         k = kind_of(f.dataType)
-        col = F.col(f"`{r['name']}`")
+        col = F.col(quote(r["name"]))
         ts = F.make_timestamp_ntz(col.cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) if k == "numeric" \
             else datetime_value(col, k)
         parts.append(df.agg(F.min(F.year(ts)).alias("y0"), F.max(F.year(ts)).alias("y1")).select(

@@ -4,7 +4,7 @@
   distinct count, length sums, parse successes and domain tests.
 * ``numeric_moments``: one wide aggregate over the raw table gives count, mean,
   std, min, max of every numeric column (partial aggregates, no value shuffle).
-* exact quartiles come from ``quantiles.weighted_quantiles`` over the numeric
+* exact quartiles come from refined histograms (``quantiles``), over the raw columns or the numeric
   instance of A0.
 """
 
@@ -14,14 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.casts import finite_or_null, kind_of, nan_to_null, to_datetime, to_number
+from ..functions.casts import (
+    finite_or_null, kind_of, nan_to_null, numeric_value, quote, to_datetime, to_number, under_each_other,
+)
 from ..functions.constants import (
     BOOL_FALSE, BOOL_TRUE, PIPELINE_BOOL_STRINGS, PIPELINE_BOOL_TEXT_EXTRA, SAMPLE_VALUES_COUNT,
 )
 from ..session import checkpoint_dir, stage
 from .charts import exact_sum
 from .freq import _as_text, numeric_frequencies, static_catalog, value_frequencies, with_kind
-from .quantiles import quantile_columns, weighted_quantiles
+from .quantiles import column_quantiles, quantile_columns, weighted_quantiles
 from .semantic import with_semantic_types
 
 
@@ -84,9 +86,15 @@ def build_catalog(spark, df: DataFrame, table: str = "t", dayfirst: bool = False
     # quartiles, top-k, outliers) reads it instead of re-running the shuffle
     freq_k = stage(with_kind(freq, static), "freq")
     stats = column_stats(freq_k, dayfirst=dayfirst, from_text=from_text)
-    cat = static.select("table", "ordinal", "name", "dtype_raw").join(
+    cat = static.select("table", "ordinal", "name", "dtype_raw", F.col("kind").alias("_kind")).join(
         stats, ["table", "ordinal", "name"], "left")
-    return stage(with_semantic_types(cat), "catalog"), freq_k
+    return stage(with_semantic_types(_of_empty(cat)), "catalog"), freq_k
+
+
+def _of_empty(cat: DataFrame) -> DataFrame:
+    """Columns of a table without rows: nothing is missing, nothing distinct, all of it empty."""
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_rows", "missing_count", "non_null", "distinct_count", "num_parsed", "dt_parsed")}
+    return cat.withColumns(zero | {"kind": F.coalesce("kind", "_kind"), "is_empty": F.coalesce("is_empty", F.lit(True))}).drop("_kind")
 
 
 def basic_stats(df: DataFrame, table: str = "t") -> DataFrame:
@@ -99,7 +107,7 @@ def basic_stats(df: DataFrame, table: str = "t") -> DataFrame:
     df = nan_to_null(df)
     aggs, entries = [F.count(F.lit(1)).alias("rows")], []
     for i, f in enumerate(df.schema.fields):
-        c, k = F.col(f"`{f.name}`"), kind_of(f.dataType)
+        c, k = F.col(quote(f.name)), kind_of(f.dataType)
         v = F.xxhash64(_as_text(f))
         aggs += [F.count(c).alias(f"n{i}"), F.min(F.when(c.isNotNull(), v)).alias(f"lo{i}"), F.max(F.when(c.isNotNull(), v)).alias(f"hi{i}")]
         builder = pipeline = F.lit(None).cast("boolean")
@@ -130,10 +138,10 @@ def catalog_of_tables(spark, tables: dict[str, DataFrame], dayfirst: bool = Fals
     for s_, f_ in zip(statics[1:], freqs[1:]):
         static, freq = static.unionByName(s_), freq.unionByName(f_)
     stats = column_stats(with_kind(freq, static), dayfirst=dayfirst)
-    cat = static.select("table", "ordinal", "name", "dtype_raw").join(stats, ["table", "ordinal", "name"], "left")
+    cat = static.select("table", "ordinal", "name", "dtype_raw", F.col("kind").alias("_kind")).join(stats, ["table", "ordinal", "name"], "left")
     checkpoint_dir(spark)
     # the catalog is one row per column; materialising it keeps every rule plan small
-    return stage(with_semantic_types(cat), "catalog")
+    return stage(with_semantic_types(_of_empty(cat)), "catalog")
 
 
 def numeric_moments(df: DataFrame, cols: list[str], table: str = "t", parse_text: bool = True,
@@ -146,7 +154,7 @@ def numeric_moments(df: DataFrame, cols: list[str], table: str = "t", parse_text
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
 
     def val(c):
-        col = F.col(f"`{c}`")
+        col = F.col(quote(c))
         return to_number(col) if (kinds[c] == "string" and parse_text) else col.cast("double")
 
     aggs = []
@@ -176,9 +184,18 @@ def quartiles(freq_k: DataFrame, names: list[str] | None = None, parse_text: boo
     return quantile_columns(q, ["table", "name"], {0.25: "p25", 0.5: "median", 0.75: "p75"})
 
 
+def column_quartiles(df: DataFrame, table: str, names: list[str]) -> DataFrame:
+    """Exact p25/median/p75 of the named columns from the raw rows; text is coerced with P3."""
+    if not names:
+        return df.sparkSession.createDataFrame([], "table string, name string, p25 double, median double, p75 double")
+    cells = {n: numeric_value(F.col(quote(n)), kind_of(df.schema[n].dataType)) for n in names}
+    q = column_quantiles(df, cells, [0.25, 0.5, 0.75]).select(F.lit(table).alias("table"), "name", "q", "quantile")
+    return quantile_columns(q, ["table", "name"], {0.25: "p25", 0.5: "median", 0.75: "p75"})
+
+
 def _flat(name: str, dt: T.DataType) -> Column:
     """A nested column as text that tells its nulls and ends apart; maps as sorted entries."""
-    c = F.col(f"`{name}`")
+    c = F.col(quote(name))
     if isinstance(dt, T.MapType):
         c = F.array_sort(F.map_entries(c))
     nested = isinstance(dt, (T.ArrayType, T.MapType, T.StructType))
@@ -237,9 +254,8 @@ def first_values(df: DataFrame, order_col: str, k: int, cols: list[str] | None =
     df = nan_to_null(df)
     cols = cols if cols is not None else df.columns
     fields = {f.name: f for f in df.schema.fields}
-    wide = df.select(F.col(f"`{order_col}`").alias("_ord"), *[_as_text(fields[c]).alias(c) for c in cols])
-    long = wide.unpivot(["_ord"], cols, "name", "value").where(F.col("value").isNotNull())
-    w = Window.partitionBy("name").orderBy("_ord")
+    long = under_each_other(df, {c: _as_text(fields[c]) for c in cols}, [F.col(quote(order_col))]).where(F.col("value").isNotNull())
+    w = Window.partitionBy("name").orderBy("_k0")
     return (long.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
             .select(F.lit(table).alias("table"), "name", "position", "value"))
 
@@ -267,7 +283,7 @@ def sketch_catalog(spark, df: DataFrame, table: str = "t", dayfirst: bool = Fals
     aggs, entries = [], []
     for i, f in enumerate(df.schema.fields):
         k = kind_of(f.dataType)
-        c = F.col(f"`{f.name}`")
+        c = F.col(quote(f.name))
         txt = c.cast("string") if k != "other" else F.to_json(c)
         num = c.cast("double") if k == "numeric" else (to_number(c) if k == "string" else F.lit(None).cast("double"))
         dtv = c.cast("timestamp_ntz") if k == "datetime" else (to_datetime(c, dayfirst) if k == "string" else F.lit(None).cast("timestamp_ntz"))

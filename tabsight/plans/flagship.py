@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.casts import columns_of_kind
+from ..functions.casts import quote, columns_of_kind
 from ..functions.constants import IQR_MULTIPLIER
 from ..functions.rounding import py_round
 from ..operators.freq import numeric_frequencies
@@ -22,7 +22,7 @@ from ..sources.tables import load
 
 def numeric_profile_with_outliers(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
     num_cols = columns_of_kind(df, "numeric")   # the others are not reported: they need not be read
-    cat, fk = build_catalog(spark, df.select(*[F.col(f"`{c}`") for c in num_cols]), table)
+    cat, fk = build_catalog(spark, df.select(*[F.col(quote(c)) for c in num_cols]), table)
     mom = moments_from_frequencies(fk, num_cols)
     vals = numeric_frequencies(fk)
     qs = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.5, 0.75]), ["table", "name"],

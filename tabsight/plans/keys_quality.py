@@ -282,7 +282,7 @@ def _report_sql(variant: str) -> str:
 def _report(spark, sf, variant):
     df, cat, fk = catalog_for(spark, sf, "dirty_orders")
     typed = [r["name"] for r in cat.where("semantic_type = 'numeric' or semantic_type_builder = 'numeric'").select("name").collect()]
-    quarters = stats.quartiles(fk, typed, parse_text=True)
+    quarters = stats.column_quartiles(df, "dirty_orders", typed)
     issues = {v: quality.type_issues(df, cat, "dirty_orders", "o_orderkey", v) for v in {"pipeline", variant}}
     ob = quality.iqr_outliers(fk, cat, "builder", quartiles=quarters)
     s = quality.quality_summary(cat, duplicate_rows(df, "dirty_orders"), issues["pipeline"], ob)
@@ -385,6 +385,26 @@ def q_csv_dialect(spark, sf):
     return out
 
 
+@reg("csv_split", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents UNION ALL SELECT conv_id || '/' || turn, text, role FROM conversations")
+def q_csv_split(spark, sf):
+    """One file with line ends inside quotes, cut into small splits, gives back its rows."""
+    from ..session import scratch_path, stage
+    from ..sources.csv_split import parsed, records
+    from ..sources.readers import CSV_DIALECT
+    from ..sources.sinks import write_csv
+
+    df = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang").unionByName(
+        table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text", F.col("role").alias("lang")))
+    path = write_csv(df.coalesce(1), scratch_path(spark, "csv"))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        text, _ = records(spark, path)
+        return stage(parsed(text, 3, CSV_DIALECT).select(F.col("c0").alias("doc_id"), F.col("c1").alias("text"), F.col("c2").alias("lang")), "rows")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 # ---------------------------------------------------------------- R1 / R2 profiles
 def _profile_sql(variant: str) -> str:
     st = "semantic_type" if variant == "pipeline" else "semantic_type_builder"

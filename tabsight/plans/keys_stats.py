@@ -8,7 +8,7 @@ from ..functions.rounding import py_round
 
 from ..functions import casts
 from ..functions.constants import EDA_SAMPLE_VALUES, HISTOGRAM_BINS, PREVIEW_ROWS, SAMPLE_VALUES_COUNT
-from ..operators import charts, semantic, stats
+from ..operators import charts, quantiles, semantic, stats
 from ..operators.freq import static_catalog, value_frequencies, with_kind
 from . import oracle as O
 from ..functions.rounding import py_round_sql as PR
@@ -203,16 +203,87 @@ def q_numeric_profile(spark, sf):
     out = None
     for t, cols in [("lineitem", NUM_COLS), ("customer", ["c_acctbal"])]:
         df = table(spark, sf, t)
-        cat, fk = stats.build_catalog(spark, df.select(*cols), t)
-        mom = stats.moments_from_frequencies(fk)
-        qs = stats.quartiles(fk)
-        one = mom.join(qs, ["table", "name"]).select(
+        # counts, moments and quartiles need no distinct values: no A0
+        mom = stats.numeric_moments(df, cols, t)
+        one = mom.join(stats.column_quartiles(df, t, cols), ["table", "name"], "left").select(
             "table", "name", "count", "mean", r6("std").alias("std"), "min",
             r6("p25").alias("p25"), r6("median").alias("median"), r6("p75").alias("p75"), "max")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+# ---------------------------------------------------------------- A11 by refinement, names and groups of any kind
+QUANTS = [0.01, 0.25, 0.5, 0.9]
+
+
+def _quantile_sql(t, name, c, by="NULL"):
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, {by} AS grp, CAST({q} AS DOUBLE) AS q, round(quantile_cont(CAST({c} AS DOUBLE), {q}), 6) AS quantile FROM {t} GROUP BY 2"
+                              for q in QUANTS)
+
+
+@reg("quantiles_refined", "\nUNION ALL\n".join(
+    [_quantile_sql("lineitem", c, c, "CAST(NULL AS VARCHAR)") for c in NUM_COLS]
+    + [_quantile_sql("lineitem", "price by flag", "l_extendedprice", "CAST(nullif(l_returnflag, 'A') AS VARCHAR)"),
+       _quantile_sql("lineitem", "quantity by part", "l_quantity", "CAST(l_partkey AS VARCHAR)")]))
+def q_quantiles_refined(spark, sf):
+    """Quantiles of columns, of three groups of which one is null, and of many groups, without a shuffle of values."""
+    li = table(spark, sf, "lineitem")
+    out = quantiles.column_quantiles(li, {c: F.col(c) for c in NUM_COLS}, QUANTS).select(
+        "name", F.lit(None).cast("string").alias("grp"), "q", "quantile")
+    flag = F.when(F.col("l_returnflag") != "A", F.col("l_returnflag"))
+    for name, by, x in [("price by flag", flag, "l_extendedprice"), ("quantity by part", F.col("l_partkey").cast("string"), "l_quantity")]:
+        one = quantiles.refined_quantiles(li.select(by.alias("grp"), x), ["grp"], QUANTS, x)
+        out = out.unionByName(one.select(F.lit(name).alias("name"), "grp", "q", "quantile"))
+    return out.select("name", "grp", "q", r6("quantile").alias("quantile"))
+
+
+#: Column names with dots, backticks and blanks, and names that the operators use themselves.
+ODD = [("o_orderkey", "x"), ("o_totalprice", "Sales.Amount"), ("o_orderstatus", "a`b"), ("o_orderpriority", "count"),
+       ("o_orderdate", "q"), ("o_custkey", "value")]
+ODD_SQL = ", ".join(f'{c} AS "{n}"' for c, n in ODD)
+
+
+def odd_orders(spark, sf):
+    return table(spark, sf, "orders").select(*[F.col(c).alias(n) for c, n in ODD])
+
+
+@reg("odd_names_catalog", " UNION ALL ".join(
+    f"""SELECT '{n.replace("'", "''")}' AS name, COUNT(*) AS n_rows, COUNT(*) - COUNT(c) AS missing_count, COUNT(DISTINCT c) AS distinct_count
+    FROM (SELECT "{n}" AS c FROM (SELECT {ODD_SQL} FROM orders) o) t""" for _, n in ODD))
+def q_odd_names_catalog(spark, sf):
+    """A0/Q2 over names that have to be quoted."""
+    cat, _ = stats.build_catalog(spark, odd_orders(spark, sf), "odd")
+    return cat.select("name", "n_rows", "missing_count", "distinct_count")
+
+
+@reg("odd_names_charts", f"""WITH o AS (SELECT {ODD_SQL} FROM orders), f AS (SELECT *, nullif(count, '5-LOW') AS g FROM o)
+  SELECT 'box' AS chart, g AS a, CAST(NULL AS VARCHAR) AS b, CAST(COUNT(*) AS DOUBLE) AS n, round(quantile_cont(CAST("Sales.Amount" AS DOUBLE), 0.5), 6) AS v FROM f GROUP BY g
+  UNION ALL SELECT 'median', g, NULL, 1, round(quantile_cont(CAST("Sales.Amount" AS DOUBLE), 0.5), 6) FROM f GROUP BY g
+  UNION ALL SELECT 'line', g, "a`b", CAST(year(q) AS DOUBLE), CAST(COUNT("Sales.Amount") AS DOUBLE) FROM f GROUP BY g, "a`b", year(q)
+  UNION ALL SELECT 'infinite', NULL, NULL, CAST(bin AS DOUBLE), CAST(COUNT(*) AS DOUBLE) FROM (
+    SELECT CAST(least(floor((v - lo) / (hi - lo) * 30), 29) AS BIGINT) AS bin FROM (SELECT CAST("Sales.Amount" AS DOUBLE) AS v FROM o WHERE x % 5 <> 0),
+      (SELECT CAST(min("Sales.Amount") AS DOUBLE) AS lo, CAST(max("Sales.Amount") AS DOUBLE) AS hi FROM o WHERE x % 5 <> 0)) GROUP BY bin""")
+def q_odd_names_charts(spark, sf):
+    """A null group, two series, infinite values, and names that the operators use themselves."""
+    o = odd_orders(spark, sf).withColumn("count", F.when(F.col("count") != "5-LOW", F.col("count")))
+    nothing = F.lit(None).cast("string").alias("b")
+    box = charts.box_stats(o, "Sales.Amount", "count")   # whose output then has two columns called count
+    box = box.toDF(*["g", *[f"c{i}" for i in range(1, len(box.columns))]])
+    parts = [box.select(F.lit("box").alias("chart"), F.col("g").alias("a"), nothing, F.col("c1").cast("double").alias("n"), r6("c4").alias("v")),
+             charts.bar_chart(o, "count", "Sales.Amount", "median").select(
+                 F.lit("median").alias("chart"), F.col("category").alias("a"), nothing, F.lit(1.0).alias("n"), r6("value").alias("v")),
+             charts.line_chart(o, "q", "Sales.Amount", "count", "year", ["count", "a`b"]).select(
+                 F.lit("line").alias("chart"), F.col("series").alias("a"), F.col("series_2").alias("b"),
+                 F.year("period").cast("double").alias("n"), F.col("value").cast("double").alias("v"))]
+    far = o.withColumn("Sales.Amount", F.when(F.col("x") % 5 == 0, F.lit(float("inf"))).otherwise(F.col("`Sales.Amount`")))
+    parts.append(charts.histogram(far, "Sales.Amount").select(F.lit("infinite").alias("chart"), F.lit(None).cast("string").alias("a"), nothing,
+                                                              F.col("bin").cast("double").alias("n"), F.col("count").cast("double").alias("v")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import charts, kpi, profile, quality, recommend, roles
-from ..operators.stats import build_catalog, duplicate_rows, quartiles
+from ..operators.stats import build_catalog, column_quartiles, duplicate_rows
 from ..sources.readers import read_table, validate
 
 
@@ -26,7 +26,7 @@ def run_pipeline(spark: SparkSession, path_or_df, name: str = "uploaded_dataset"
     dups = duplicate_rows(df, name)
     issues = quality.type_issues(df, cat, name, order_col, "pipeline", dayfirst)
     typed = [r["name"] for r in cat.where("semantic_type = 'numeric' or semantic_type_builder = 'numeric'").select("name").collect()]
-    quarters = quartiles(fk, typed, parse_text=True)   # ranked once for both fences and the profile
+    quarters = column_quartiles(df, name, typed)   # once for both fences and the profile
     outl = quality.iqr_outliers(fk, cat, "pipeline", quartiles=quarters)
     outl_b = quality.iqr_outliers(fk, cat, "builder", quartiles=quarters)
     summary = quality.quality_summary(cat, dups, issues, outl_b)

@@ -1,20 +1,21 @@
 """CSV/Parquet scans with the guards and normalisations of the reference loader.
 
 CSV is read with an all-string schema (typing is the job of the semantic-type
-operators), header names are trimmed, null tokens become NULL, and a second
-encoding is used when the first one produced replacement characters.
+operators), header names are trimmed, null tokens become NULL, and a file whose
+bytes are not UTF-8 is read in a second encoding.
 """
 
 from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.casts import columns_of_kind, datetime_value, kind_of, nan_to_null, null_tokens, trim_header
+from ..functions.casts import columns_of_kind, datetime_value, kind_of, nan_to_null, null_tokens, quote
 from ..functions.constants import MAX_COLUMNS
+from .csv_split import header_of, parsed, records
 
 SUPPORTED_SUFFIXES = [".csv", ".parquet"]
 UPLOAD_LIMIT_BYTES = 200 * 1024 * 1024
@@ -45,49 +46,48 @@ def check_source(spark: SparkSession, path: str, limit_bytes: int | None = UPLOA
 CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def _read_csv(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
-    return (spark.read.options(**CSV_DIALECT, encoding=encoding, inferSchema="false", multiLine=str(multiline).lower(),
-                               mode="PERMISSIVE").csv(path))
+def header_names(raw: list[str]) -> list[str]:
+    """Names without blanks around them; a name that is taken gets ``.1``, ``.2`` ..., an empty one its place."""
+    def told_apart(names: list[str]) -> list[str]:
+        out: list[str] = []
+        for n in names:
+            free, i = n, 0
+            while free in out or (i and free in names):
+                i += 1
+                free = f"{n}.{i}"
+            out.append(free)
+        return out
 
-
-def _check_width(spark: SparkSession, path: str, df: DataFrame, encoding: str, multiline: bool) -> None:
-    """Raise if a row has more fields than the header: Spark would silently leave them out."""
-    schema = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(len(df.columns))],
-                           T.StructField("_broken", T.StringType())])
-    rows = (spark.read.options(**CSV_DIALECT, encoding=encoding, multiLine=str(multiline).lower(), mode="PERMISSIVE",
-                               enforceSchema="true", columnNameOfCorruptRecord="_broken").schema(schema).csv(path))
-    # a row with too few fields is filled with nulls, as it always was; only its last field can be missing
-    last = F.col(f"c{len(df.columns) - 1}")
-    broken = rows.select(*rows.columns).where(F.col("_broken").isNotNull() & last.isNotNull()).select("_broken").limit(1).collect()
-    if broken:
-        raise DataLoadError(f"a row has more than {len(df.columns)} fields: {broken[0][0][:200]!r}")
+    return told_apart([n.strip() or f"_c{i}" for i, n in enumerate(told_apart(raw))])
 
 
-def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1"), multiline: bool = True) -> DataFrame:
-    """All-string CSV; retry with the next encoding on decode damage.
+def read_csv(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") -> DataFrame:
+    """All-string CSV; quoted fields may hold commas, doubled quotes and line ends.
 
-    Quoted fields may hold commas, doubled quotes and line ends.  For line ends a file has to be read by one
-    task; ``multiline=False`` lets Spark split large files that have none.  A row with more fields than the
-    header raises.
+    Files are split among tasks wherever they may be cut (``csv_split``).  A file is UTF-8 if all its bytes are, else it is
+    read as ``fallback``, each file of a folder for itself; a replacement character in the text is text.  Names come from
+    the header of the first file, and every file's first record is a header.  A row with more fields than the header, a
+    quoted field that is never closed, a missing file and a table without rows raise; a row with fewer fields is filled with
+    nulls, a blank line is no row.
     """
-    df = None
-    for enc in encodings:
-        try:
-            df = _read_csv(spark, path, enc, multiline)
-        except Exception as e:  # noqa: BLE001
-            raise DataLoadError(str(e)) from e
-        strings = df.columns
-        if not strings:
-            break
-        bad = df.select(F.max(F.greatest(*[F.coalesce(F.col(f"`{c}`").contains("�"), F.lit(False)).cast("int")
-                                           for c in strings] + [F.lit(0)])).alias("bad")).first()["bad"]
-        if not bad:
-            break
-    _check_width(spark, path, df, enc, multiline)
-    df = trim_header(df)
-    if df.isEmpty():
+    try:
+        text, blocks = records(spark, path, fallback)
+        raw, broken = header_of(blocks, fallback)
+    except AnalysisException as e:
+        raise DataLoadError(str(e)) from e
+    if broken:
+        raise DataLoadError(f"a quoted field is never closed in {broken}")
+    if not raw:
+        raise DataLoadError("there is no header")
+    rows = parsed(text, len(raw), CSV_DIALECT)
+    # a row with too few fields is filled with nulls, as it always was; only its last field can be missing
+    last = F.col(f"c{len(raw) - 1}")
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(last.isNotNull(), F.substring("_broken", 1, 200))).alias("wide")).first()
+    if seen["wide"] is not None:
+        raise DataLoadError(f"a row has more than {len(raw)} fields: {seen['wide']!r}")
+    if not seen["n"]:
         raise DataLoadError("the file has a header but no rows")
-    return null_tokens(df)
+    return null_tokens(rows.drop("_broken").toDF(*header_names(raw)))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +121,7 @@ def autoparse_dates(df: DataFrame, keywords: list[str], dayfirst: bool = True) -
     out = {}
     for f in df.schema.fields:
         if any(kw in f.name.lower() for kw in keywords) and kind_of(f.dataType) in ("string", "datetime"):
-            out[f.name] = datetime_value(F.col(f"`{f.name}`"), kind_of(f.dataType), dayfirst)
+            out[f.name] = datetime_value(F.col(quote(f.name)), kind_of(f.dataType), dayfirst)
     return df.withColumns(out) if out else df
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.casts import quote
 from .readers import CSV_DIALECT
 
 
@@ -33,6 +34,6 @@ def write_extract(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 def write_report_json(report: DataFrame, path: str) -> str:
     """One JSON document per report row."""
-    report.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in report.columns])).alias("value")).write.mode(
+    report.select(F.to_json(F.struct(*[F.col(quote(c)) for c in report.columns])).alias("value")).write.mode(
         "overwrite").text(path)
     return path
