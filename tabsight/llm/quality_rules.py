@@ -259,6 +259,9 @@ def filter_documents(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     ids = F.broadcast(labelled_sample(labels, max_labelled))
     sample = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id")
-    rules = learn(sample.select("doc_id", "quality", *text_counts(F.col("text"))), **limits)
+    # staged before anything filters by them: the counts would go below the join, to every document, with the filter
+    counts = stage(sample.select("doc_id", "quality", *text_counts(F.col("text"))), "samplecounts")
+    rules = learn(counts, **limits)
+    drop_staged(counts)
     packed = df.select(F.struct("*").alias("row"))
     return packed.select("row", *text_counts(F.col("row")[text_col])).where(verdict(rules) == 0).select("row.*")
