@@ -54,7 +54,9 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = not added
         names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        # if all of them hold a "<", only words that do are searched
         self.added = re.compile("|".join(re.escape(x) for x in names).encode(), re.I) if names else None
+        self.marked = all("<" in x for x in names)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -84,23 +86,29 @@ class WordIds:
         new = [w for w in words if w not in self.words]
         if len(self.words) + len(new) > CACHED_WORDS:
             self.words, new = {}, list(words)
-        low = [w.lower() for w in new]
-        split = [_RUNS.findall(w) for w in low]
-        odd = set()
-        for i, (w, parts) in enumerate(zip(low, split, strict=True)):
+        # a word of ASCII letters is one run and holds no added token
+        plain = [w for w in new if w.isalpha()]
+        mixed = [w for w in new if not w.isalpha()]
+        runs, split, whole = [w.lower() for w in plain], [], set()
+        for w in mixed:
+            low = w.lower()
+            parts = _RUNS.findall(low)
             # it holds more than those runs, or may hold an added token, whose case counts: encoded whole
-            if b"".join(parts) != w or self.added and self.added.search(w):
-                split[i] = [new[i]]
-                odd.add(new[i])
+            if b"".join(parts) != low or self.added and (b"<" in w or not self.marked) and self.added.search(w):
+                parts = [w]
+                whole.add(w)
+            split.append(parts)
         needed = {p for parts in split for p in parts}
+        needed.update(runs)
         missing = [p for p in needed if p not in self.runs]
         if len(self.runs) + len(missing) > CACHED_WORDS:
             self.runs, missing = {}, list(needed)
-        letters = [p for p in missing if (97 <= p[0] <= 122 or p[0] == 0xC3) and p not in odd]
-        self._encode([p for p in missing if not (97 <= p[0] <= 122 or p[0] == 0xC3) or p in odd])
+        letters = [p for p in missing if (97 <= p[0] <= 122 or p[0] == 0xC3) and p not in whole]
+        self._encode([p for p in missing if not (97 <= p[0] <= 122 or p[0] == 0xC3) or p in whole])
         self._encode_letters(letters)
         get = self.runs.__getitem__
-        self.words.update(zip(new, [b"".join(map(get, parts)) for parts in split], strict=True))
+        self.words.update(zip(plain, map(get, runs), strict=True))
+        self.words.update(zip(mixed, [get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in split], strict=True))
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
