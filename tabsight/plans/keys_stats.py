@@ -8,7 +8,7 @@ from ..functions.rounding import py_round
 
 from ..functions import casts
 from ..functions.constants import EDA_SAMPLE_VALUES, HISTOGRAM_BINS, PREVIEW_ROWS, SAMPLE_VALUES_COUNT
-from ..operators import charts, quantiles, semantic, stats
+from ..operators import charts, heavy, quantiles, semantic, stats
 from ..operators.freq import static_catalog, value_frequencies, with_kind
 from . import oracle as O
 from ..functions.rounding import py_round_sql as PR
@@ -212,6 +212,19 @@ def q_numeric_profile(spark, sf):
     return out
 
 
+# ---------------------------------------------------------------- A12 without the shuffle of A0
+HEAVY_COLS = ["l_shipdate", "l_suppkey", "l_partkey", "l_quantity", "l_returnflag", "l_orderkey"]
+
+
+@reg("heavy_hitters", f"""SELECT name, CAST(rank AS INTEGER) AS rank, value, count FROM (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY count DESC, value) AS rank FROM (
+  {" UNION ALL ".join(f"SELECT '{c}' AS name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS count FROM lineitem WHERE {c} IS NOT NULL GROUP BY 2" for c in HEAVY_COLS)})) WHERE rank <= 10""")
+def q_heavy_hitters(spark, sf):
+    """The top 10 of columns with many values from a bounded summary and one recount."""
+    top, _ = heavy.heavy_hitters(table(spark, sf, "lineitem"), HEAVY_COLS, 10, "lineitem")
+    return top.select("name", "rank", "value", "count")
+
+
 # ---------------------------------------------------------------- A11 by refinement, names and groups of any kind
 QUANTS = [0.01, 0.25, 0.5, 0.9]
 
