@@ -15,8 +15,7 @@ from ..functions.casts import quote, columns_of_kind
 from ..functions.constants import IQR_MULTIPLIER
 from ..functions.rounding import py_round
 from ..operators.freq import numeric_frequencies
-from ..operators.quantiles import quantile_columns, weighted_quantiles
-from ..operators.stats import build_catalog, moments_from_frequencies
+from ..operators.stats import build_catalog, column_quartiles, moments_from_frequencies
 from ..sources.tables import load
 
 
@@ -25,8 +24,7 @@ def numeric_profile_with_outliers(spark: SparkSession, df: DataFrame, table: str
     cat, fk = build_catalog(spark, df.select(*[F.col(quote(c)) for c in num_cols]), table)
     mom = moments_from_frequencies(fk, num_cols)
     vals = numeric_frequencies(fk)
-    qs = quantile_columns(weighted_quantiles(vals, ["table", "name"], [0.25, 0.5, 0.75]), ["table", "name"],
-                          {0.25: "p25", 0.5: "median", 0.75: "p75"})
+    qs = column_quartiles(df, table, num_cols)
     iqr = F.col("p75") - F.col("p25")
     fences = qs.select("table", "name", "p25", "median", "p75", (F.col("p25") - IQR_MULTIPLIER * iqr).alias("low"),
                        (F.col("p75") + IQR_MULTIPLIER * iqr).alias("high"))
