@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 TRAIN_PAGES = 500
 
 # fixed values: element names of HTML
-RAW = "script|style|textarea|title"
-SKIPPED = "template|noscript|iframe|svg|select|button|canvas|audio|video|datalist"
+RAW = frozenset("script style textarea title".split())
+SKIPPED = frozenset("template noscript iframe svg select button canvas audio video datalist".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
                    "strike strong sub sup time tt u var wbr br input meta link object param "
                    # formulas
@@ -48,20 +48,28 @@ AGAINST_WORDS = frozenset(
 FOR_TAGS = frozenset(("article", "main"))
 FOR_WORDS = frozenset("article main content post entry story articlebody maincontent".split())
 
-SURE, LIKELY = 1_000_000, 20_000      # capacities, in thousandths of a unit of log-odds
+#: Words that name any part of a page: beside a word against it they say nothing for it (``widget-content``).
+ANY_PART = frozenset("main content post entry".split())
+#: A class with one of these tells of something else (``has-sidebar``, ``ad-free``).
+NOT_ITSELF = frozenset("has with no without free".split())
+
+SURE, WORD = 1_000_000, 2_500         # capacities, in thousandths of a unit of log-odds
 HOLD, KIN, NEXT, APART = 6_000, 2_000, 1_000, 300
 CLIP = 4.0
+#: What is looked at in vain for the ends of quotes, in lengths of the page; beyond it tags end at the next ``>``.
+VAIN = 64
 
-_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>]*/>|[^>]*>.*?(?:</\1\s*>|\Z))|<head\b[^>]*>(?=.*?</head\s*>).*?</head\s*>|<[!?][^>]*>", re.S | re.I)
-_SKIP = re.compile(rf"<(/?)({SKIPPED})\b[^>]*>", re.I)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"""(?:[^>"']+|"[^"]*"|'[^']*')*+>""")
+_CLOSE = {x: re.compile(rf"</{x}\s*>", re.I) for x in (*RAW, "head")}
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Container(NamedTuple):
     parent: int
-    says: int        # 2 surely content, 1 likely, 0 nothing, -1 boilerplate
+    says: int        # 2 surely content, 1 likely, 0 nothing, -1 likely boilerplate, -2 surely
+    words: int       # words of class, id and role for content less those against it
 
 
 class Block(NamedTuple):
@@ -71,46 +79,112 @@ class Block(NamedTuple):
     linked: int      # characters in links
 
 
-def _says(tag: str, attrs: str, inside_article: bool) -> int:
-    if tag in AGAINST_TAGS or tag == "header" and not inside_article:
-        return -1
-    found: set[str] = set()
-    if attrs:
-        for name, *values in _ATTR.findall(attrs):
-            value, name = "".join(values), name.lower()
-            if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return -1
-            if name in ("class", "id", "role"):
-                found |= {w.lower() for w in _WORD.findall(value)} | {value.lower()}
-    if tag not in ("body", "html", *FOR_TAGS) and found & AGAINST_WORDS and not (tag == "header" and inside_article):
-        return -1
-    return 2 if tag in FOR_TAGS else 1 if found & FOR_WORDS else 0
-
-
-def _shown(page: str) -> str:
-    """The page without comments, raw text and skipped elements; of a skipped element that is not closed only the tag goes."""
-    text = _DROP.sub(" ", page)
+def _hidden(attrs: str) -> bool:
+    return any(name.lower() == "hidden" or name.lower() == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", "".join(v), re.I)
+               for name, *v in _ATTR.findall(attrs))
+
+
+def _word_evidence(attrs: str) -> int:
+    """Names in class, id and role that are for content, less those against it."""
+    names = {x for name, *v in _ATTR.findall(attrs) if name.lower() in ("class", "id", "role") for x in "".join(v).split()}
+    words = [{w.lower() for w in _WORD.findall(name)} | {name.lower()} for name in names]
+    words = [w for w in words if not w & NOT_ITSELF]
+    against = sum(bool(w & AGAINST_WORDS) for w in words)
+    return sum(bool(w & FOR_WORDS - (ANY_PART if against else set())) for w in words) - against
+
+
+def _says(tag: str, attrs: str, inside_article: bool) -> tuple[int, int]:
+    """What a container's tag and attributes say, and the evidence of its words: only tags and hiding are sure."""
+    if tag in AGAINST_TAGS or tag == "header" and not inside_article or attrs and _hidden(attrs):
+        return -2, 0
+    words = _word_evidence(attrs) if attrs else 0
+    if tag in FOR_TAGS:
+        return 2, 0
+    if words < 0 and (tag in ("body", "html") or tag == "header"):
+        words = 0
+    return (words > 0) - (words < 0), words
+
+
+class Tag(NamedTuple):
+    start: int
+    end: int
+    close: bool
+    name: str        # empty: a part of the page that is not shown
+    attrs: str
+
+
+def tags(page: str) -> list[Tag]:
+    """Tags in page order, in time linear in the page whatever is left open in it.
+
+    Comments, raw text, declarations and a closed head are single unnamed parts.  A tag ends at the first ``>``
+    outside of quotes, or at the first one if its quotes do not close.
+    """
+    out: list[Tag] = []
+    last, vain, headless = page.rfind(">"), VAIN * len(page), False
+    at = page.find("<")
+    while at >= 0:
+        end = -1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            out.append(Tag(at, end, False, "", ""))
+        elif at > last:
+            at = page.find("<!--", at)     # nothing but an open comment can begin here
+            continue
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1
+            out.append(Tag(at, end, False, "", ""))
+        elif m := _NAME.match(page, at):
+            rest = _REST.match(page, m.end()) if vain > 0 else None
+            if not rest:
+                vain -= len(page) - at
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            name, attrs = m[2].lower(), page[m.end():end - 1]
+            raw = not m[1] and name in RAW and not attrs.endswith("/")
+            if raw or not m[1] and name == "head" and not headless:
+                closed = _CLOSE[name].search(page, end)
+                headless = not raw and closed is None
+                if closed or raw:
+                    end, name = closed.end() if closed else len(page), ""
+            out.append(Tag(at, end, bool(m[1]), name, attrs))
+        at = page.find("<", max(end, at + 1))
+    return out
+
+
+def _shown(page: str) -> list[Tag]:
+    """The tags of a page, with skipped elements as single unnamed parts; of one that is not closed only the tag is skipped."""
+    found = tags(page)
     opened: dict[str, list[int]] = {}
     spans = []
-    for m in _SKIP.finditer(text):
-        same = opened.setdefault(m[2].lower(), [])
-        spans.append((same.pop() if m[1] and same else m.start(), m.end()))
-        if not m[1] and not m[0].endswith("/>"):
-            same.append(m.start())
-    out, at = [], 0
+    for t in found:
+        if t.name in SKIPPED:
+            same = opened.setdefault(t.name, [])
+            spans.append((same.pop() if t.close and same else t.start, t.end))
+            if not t.close and not t.attrs.endswith("/"):
+                same.append(t.start)
+    if not spans:
+        return found
+    parts: list[Tag] = []
     for start, end in sorted(spans):
-        if end > at:
-            out += [text[at:start], " "]
-            at = end
-    return "".join([*out, text[at:]])
+        if not parts or end > parts[-1].end:
+            parts.append(Tag(max(start, parts[-1].end) if parts else start, end, False, "", ""))
+    out, i = [], 0
+    for t in found:
+        while i < len(parts) and parts[i].start <= t.start:
+            out.append(parts[i])
+            i += 1
+        if not out or t.start >= out[-1].end:
+            out.append(t)
+    return out
 
 
 def parse(page: str | None) -> tuple[list[Block], list[Container]]:
     """Blocks in page order and containers (the first is the page); nothing for a null or empty page."""
-    text = _shown(page or "")
+    text = page or ""
     blocks: list[Block] = []
-    containers = [Container(-1, 0)]
+    containers = [Container(-1, 0, 0)]
     stack: list[tuple[str, int, bool]] = [("", 0, False)]   # tag, container, inside an article
+    opened: dict[str, int] = {}                             # tags on the stack
     run: list[str] = []
     links = linked = 0
 
@@ -123,28 +197,33 @@ def parse(page: str | None) -> tuple[list[Block], list[Container]]:
                 blocks.append(Block(joined, stack[-1][1], stack[-1][0], min(linked, len(joined))))
         linked = 0
 
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     at = 0
-    for m in _TAG.finditer(text):
-        if m.start() > at:
-            piece = text[at:m.start()]
+    for t in _shown(text):
+        if t.start > at:
+            piece = text[at:t.start]
             run.append(piece)
             if links:
                 linked += len(piece.strip())
-        at = m.end()
-        tag = m[2].lower()
-        if m[1]:
+        at, tag = t.end, t.name
+        if not tag:
+            run.append(" ")
+            continue
+        if t.close:
             if tag == "a":
                 links = max(0, links - 1)
-            if any(s[0] == tag for s in stack):
+            if opened.get(tag):
                 flush()
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+                while pop() != tag:
+                    pass
             elif tag not in INLINE:
                 flush()
             continue
-        said = _says(tag, m[3], stack[-1][2]) if m[3] or tag not in INLINE else 0
-        if tag in INLINE and (said >= 0 or tag in VOID):
+        if tag in INLINE and (tag in VOID or not t.attrs or not _hidden(t.attrs)):   # no class takes a word out of its sentence
             links += tag == "a"
             if tag in ("br", "img", "wbr"):
                 run.append(" " if tag != "wbr" else "")
@@ -152,15 +231,17 @@ def parse(page: str | None) -> tuple[list[Block], list[Container]]:
         flush()
         if tag in VOID:
             continue
+        said, words = _says(tag, t.attrs, stack[-1][2])
         links = links if tag == "a" else 0
         while stack[-1][0] == "p" and tag not in INLINE or tag == stack[-1][0] and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-            stack.pop()
+            pop()
         if tag in LEAF and not said:
             container = stack[-1][1]
         else:
-            containers.append(Container(stack[-1][1], said))
+            containers.append(Container(stack[-1][1], said, words))
             container = len(containers) - 1
         stack.append((tag, container, stack[-1][2] or tag == "article"))
+        opened[tag] = opened.get(tag, 0) + 1
     run.append(text[at:])
     flush()
     return blocks, containers
@@ -189,7 +270,7 @@ PRIOR = np.array([-1.5, 0.6, -4.0, 0.5, 0.5, -0.5, 0.2, 0.5, 2.0, -3.0, -3.0])
 
 def train(x: np.ndarray, told: np.ndarray, pull: float = 1.0, steps: int = 300) -> np.ndarray:
     """Weights by gradient descent from ``PRIOR``, to which ``pull`` holds them; no telling block leaves them there."""
-    sure = (told == 2) | (told == -1)
+    sure = (told == 2) | (told < 0)
     if not sure.any():
         return PRIOR.copy()
     blind, plain = x[sure].copy(), x[sure].copy()
@@ -277,8 +358,8 @@ def extract(page: str | None, weights: np.ndarray) -> str:
     x, _ = features(blocks, containers)
     odds = (1000 * np.clip(x @ weights, -CLIP, CLIP)).astype(int).tolist()
     n = len(blocks)
-    source = [max(0, o) for o in odds] + [SURE if c.says == 2 else LIKELY if c.says == 1 else 0 for c in containers]
-    sink = [max(0, -o) for o in odds] + [SURE if c.says < 0 else 0 for c in containers]
+    source = [max(0, o) for o in odds] + [SURE if c.says == 2 else WORD * max(0, c.words) for c in containers]
+    sink = [max(0, -o) for o in odds] + [SURE if c.says == -2 else WORD * max(0, -c.words) for c in containers]
     edges = [(i, n + b.container, HOLD) for i, b in enumerate(blocks)]
     edges += [(n + i, n + c.parent, KIN) for i, c in enumerate(containers) if c.parent >= 0]
     edges += [(i, i + 1, NEXT if blocks[i].container == blocks[i + 1].container else APART) for i in range(n - 1)]
@@ -287,10 +368,10 @@ def extract(page: str | None, weights: np.ndarray) -> str:
 
 
 def learn(df: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = TRAIN_PAGES) -> np.ndarray:
-    """Classifier weights from the blocks of at most ``train_pages`` pages, the first by the hash of their id."""
+    """Classifier weights from the blocks of at most ``train_pages`` pages: the first ids by their hash, of an id the least page."""
     ids = df.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(train_pages)
     picked = (df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("html is not null")
-              .join(F.broadcast(ids), "id").limit(2 * train_pages))   # an id may repeat
+              .join(F.broadcast(ids), "id").groupBy("id").agg(F.min("html").alias("html")))   # an id may repeat: one page each
 
     @F.pandas_udf("array<array<double>>")
     def rows(pages: pd.Series) -> pd.Series:

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 
@@ -88,4 +89,40 @@ def test_training_keeps_all_distinct_blocks_of_a_long_page(spark, monkeypatch):
     html_extract.learn(spark.createDataFrame([(1, page)], "page_id long, html string"))
     x, told = features(*parse(page))
     distinct = {(t, *r) for t, r in zip(told, np.round(x, 3).tolist(), strict=True)}
-    assert sorted(seen[0].tolist()) == sorted(t for t, *_ in distinct) and (seen[0] == 2).sum() > 200 and (seen[0] == -1).sum() > 200
+    assert sorted(seen[0].tolist()) == sorted(t for t, *_ in distinct) and (seen[0] == 2).sum() > 200 and (seen[0] < 0).sum() > 200
+
+
+LONG = ("The first long paragraph of this page tells, in many words, what the article is about, and it goes on.",
+        "The second paragraph tells the rest, with commas, and closes the matter after quite a few more words.")
+
+
+def test_class_words_are_evidence_that_text_can_outweigh():
+    body = "".join(f"<p>{x}</p>" for x in LONG)
+    for attrs in ('class="main has-sidebar"', 'id="content" class="content with-sidebar"', 'class="legal-article"', 'class="ad-free"', ""):
+        assert extract(f"<nav><a href=x>Home</a></nav><div {attrs}>{body}</div><footer>End.</footer>", PRIOR) == "\n".join(LONG), attrs
+    for attrs in ('class="post-comments"', 'class="sidebar widget-content"', 'id=comments class=entry', 'class="articleFooter footer"'):
+        assert extract(f"<article><p>{LONG[0]}</p><div {attrs}><p>Nice words, all of you.</p></div></article>", PRIOR) == LONG[0], attrs
+
+
+def test_inline_elements_stay_in_their_sentence():
+    for word in ("<span class='search-hit'>bridge</span>", "<a class='share' href=x>bridge</a>", "<b id=ad>bridge</b>"):
+        assert extract(f"<article><p>The word {word} appears here.</p></article>", PRIOR) == "The word bridge appears here."
+    assert "secret" not in extract("<article><p>The word <span hidden>secret</span> appears here.</p></article>", PRIOR)
+
+
+def test_tags_end_outside_of_quotes_and_open_ends_take_linear_time():
+    assert extract("<article><p title=\"a > b\">Words, here.</p><p title='x>More words, here.</p></article>", PRIOR) == "Words, here.\nMore words, here."
+    assert extract("<head><title>T</title></head><article><p>Words, here.</p></article><!-- open <p>no", PRIOR) == "Words, here."
+    for piece in ("<head>x", "<a '", "<a \"'>", "<script ", "<button ", "<!", "<div>x", "<button>x", "</p>", "<div><b class=ad>a</b>"):
+        page = piece * (500_000 // len(piece))
+        start = time.process_time()
+        extract(page, PRIOR)
+        assert time.process_time() - start < 20, piece
+
+
+def test_an_id_that_repeats_trains_one_page(spark, monkeypatch):
+    pages = [(1, f"<article><p>{'w ' * n}</p></article>") for n in range(1, 8)] + [(2, f"<nav><p>{'v ' * 3}</p></nav>"), (2, None)]
+    seen = []
+    monkeypatch.setattr(html_extract, "train", lambda x, told: seen.append(told) or PRIOR)
+    html_extract.learn(spark.createDataFrame(pages, "page_id long, html string"), train_pages=2)
+    assert sorted(seen[0].tolist()) == [-2, 2]
