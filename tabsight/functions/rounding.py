@@ -35,18 +35,19 @@ def py_round(x: Column, d: int) -> Column:
 
 
 def py_round_sql(x: str, d: int) -> str:
-    """The same computation as SQL text (for the DuckDB oracle)."""
+    """The same computation as SQL text (for the DuckDB oracle); ``x`` stands in it once, the parameter ``v`` elsewhere."""
     m = f"{float(10 ** d)!r}"
     mc = SPLIT * float(10 ** d)
     mh = mc - (mc - float(10 ** d))
     ml = float(10 ** d) - mh
-    p = f"(({x}) * {m})"
-    c = f"({SPLIT!r} * ({x}))"
-    xh = f"({c} - ({c} - ({x})))"
-    xl = f"(({x}) - {xh})"
+    p = f"(v * {m})"
+    c = f"({SPLIT!r} * v)"
+    xh = f"({c} - ({c} - v))"
+    xl = f"(v - {xh})"
     e = f"((({xh} * {mh!r} - {p}) + {xh} * {ml!r} + {xl} * {mh!r}) + {xl} * {ml!r})"
     big = f"(abs({p}) >= {WHOLE!r} OR isnan({p}))"
     r = f"CAST(floor(CASE WHEN {big} THEN 0 ELSE {p} END) AS DOUBLE)"
     g = f"((({p} - {r}) - 0.5) + {e})"
     odd = f"(({r} - 2.0 * floor({r} / 2)) = 1)"
-    return f"(CASE WHEN {big} THEN ({x}) ELSE ({r} + CASE WHEN {g} > 0 OR ({g} = 0 AND {odd}) THEN 1.0 ELSE 0.0 END) / {m} END)"
+    rounded = f"(CASE WHEN {big} THEN v ELSE ({r} + CASE WHEN {g} > 0 OR ({g} = 0 AND {odd}) THEN 1.0 ELSE 0.0 END) / {m} END)"
+    return f"list_transform([CAST({x} AS DOUBLE)], lambda v: {rounded})[1]"

@@ -536,3 +536,13 @@ def q_report_json(spark, sf):
     path = write_report_json(s, scratch_path(spark, "report"))
     back = spark.read.schema("table string, row_count long, quality_score double").json(path)
     return back
+
+
+#: Subqueries that oracles share, from the outer to the inner ones.
+SHARED = {
+    "summary_": f"({SUMMARY_SQL})",
+    **{f"issues_{v}{'_dayfirst' * d}": f"({_type_issue_sql(v, d)})" for v in ("pipeline", "builder") for d in (False, True)},
+    **{f"outliers_{v}": f"({_outlier_sql(v)})" for v in ("pipeline", "builder")},
+    "catalog_dayfirst": O.catalog_sql(["dirty_orders"], True), "catalog_": CAT, "dirty_": DIRTY,
+}
+Q = {k: (fn, sql and O.named(sql, SHARED)) for k, (fn, sql) in Q.items()}

@@ -584,3 +584,8 @@ Q["spec_merge"] = (Q["spec_merge"][0], f"""WITH base AS (SELECT "table", seq, ch
   inj AS ({TRENDINJ_SQL})
   SELECT "table", CAST(seq - 10 AS INTEGER) AS seq, chart_type, title, x, y, aggregation FROM inj WHERE title NOT IN (SELECT title FROM base)
   UNION ALL SELECT "table", CAST(seq AS INTEGER), chart_type, title, x, y, aggregation FROM base""")
+
+#: Subqueries that oracles share, from the outer to the inner ones.
+SHARED = {"flat_": FLAT_SQL, "kpi_definitions_": KDEFS_SQL, "role_positions_": RP_SQL, "roles_": ROLES_SQL,
+          "catalog_roles_": CAT_ROLES, "catalog_rules_": CAT_REC}
+Q = {k: (fn, sql and O.named(sql, SHARED)) for k, (fn, sql) in Q.items()}

@@ -179,3 +179,20 @@ def np_quantiles_sql(values_sql: str, qs: dict[str, float]) -> str:
         cols.append(f"CASE WHEN {t} >= 0.5 THEN {b} - ({b} - {a}) * (1 - {t}) ELSE {a} + ({b} - {a}) * {t} END AS {name}")
     return (f"SELECT {', '.join(cols)}, MAX(n) AS n FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rn, "
             f"COUNT(*) OVER () AS n FROM ({values_sql}) s0 WHERE v IS NOT NULL) s1")
+
+
+def named(sql: str, parts: dict[str, str]) -> str:
+    """``sql`` with every subquery of ``parts`` that it repeats written once, as a common table expression.
+
+    ``parts`` go from the outer to the inner ones: the text of each may hold those behind it.
+    """
+    used: dict[str, str] = {}
+    for name, text in parts.items():
+        ref = f"(SELECT * FROM {name})"
+        if sql.count(text) + sum(t.count(text) for t in used.values()) > 1:
+            sql = sql.replace(text, ref)
+            used = {k: t.replace(text, ref) for k, t in used.items()} | {name: text}
+    if not used:
+        return sql
+    defined = ",\n".join(f"{k} AS MATERIALIZED {t}" for k, t in reversed(used.items()))
+    return f"WITH {defined}{', ' + sql[5:] if sql.startswith('WITH ') else chr(10) + sql}"
