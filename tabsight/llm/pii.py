@@ -5,6 +5,10 @@ the same type: digits by a keyed permutation of the digit strings of that length
 numbers never meet), card numbers and IBANs with valid check digits, addresses with valid octets, names by names of the same
 gender and script.  The surrogate is laid into the format of each occurrence: separators, case, length.
 
+Found are mail, IPv4 and IPv6 addresses, IBANs, card and long numbers, phone numbers (international, North American, and
+national ones with a leading zero and separators), SSNs, keys and tokens (hexadecimal, of known issuers, JSON web tokens, PEM private
+keys), and passwords behind ``password=`` or ``password:`` (the latter only if not just letters).
+
 Names are found by title only: a name that no title precedes anywhere in a text stays.  Of a name that has
 one somewhere in a text, its other mentions there, with a capital letter, are replaced too, and a given name
 has one gender in a text: the first that a title tells.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import json
 import re
 import unicodedata
@@ -32,6 +37,7 @@ from ..session import drop_staged, stage
 
 BROADCAST_ATTEMPTS = 200_000
 ROUNDS = 8
+MAX_ATTEMPTS = 200
 
 # fixed values: titles that tell a gender, and names to choose from
 MALE = "Mr Herr Monsieur Señor Sr Sir Signor Господин г-н Κύριος"
@@ -56,6 +62,9 @@ ENDINGS = {"LATIN": "en er in ow", "CYRILLIC": "ов ин ко ич", "GREEK": "
 TITLES = {x for t in f"{MALE} {FEMALE} {NEUTRAL}".split() for x in (t, t.upper())}
 
 
+LONGEST_TITLE = max(map(len, TITLES)) + 1
+
+
 def _titles() -> str:
     return "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 
@@ -64,19 +73,25 @@ _NAME = r"[^\W\d_][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _CAPITAL = r"(?-i:(?=[^\W\d_a-zà-þа-яα-ω]))"
 #: In order: of two entities that overlap the earlier match wins, at one place the earlier type.
 _PARTS = [
-    r"(?P<email>[\w%+-][\w.%+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})",
+    r"(?P<email>[\w%+-][\w.%+-]{0,63}@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,})",
     r"(?P<iban>\b[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?\b)",
     r"(?P<secret>\b(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b"
-    r"|\bAKIA[0-9A-Z]{16}\b|(?<=password=)[^\s\"'<>&;,]{6,}|(?<=PASSWORD=)[^\s\"'<>&;,]{6,}|\b(?:ghp|gho|xoxb|xoxp|sk)[_-][0-9A-Za-z-]{16,})",
+    r"|\bAKIA[0-9A-Z]{16}\b|(?<=(?i:password)=)[^\s\"'<>&;,]{6,}|(?<=(?i:password)=[\"'])[^\s\"'<>&;,]{6,}"
+    r"|(?:(?<=(?i:password):)|(?<=(?i:password): ))(?=[^\W\d_]*[^\s\w\"'<>&;,]|[^\W\d_]*[\d_])[^\s\"'<>&;,]{6,}"
+    r"|\beyJ[\w-]{5,}\.[\w-]{5,}\.[\w-]*|\b(?:ghp|gho|xoxb|xoxp|sk)[_-][0-9A-Za-z-]{16,})",
     r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d))",
-    r"(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))",
-    r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
-    r"(?P<number>(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w]|[-.]\d))",
-    rf"(?P<name>(?<!\w)(?:(?:{_titles()})\.? )+{_CAPITAL}(?!(?:{_titles()})\b){_NAME}(?: {_CAPITAL}{_NAME}){{0,2}})",
+    r"(?P<ip6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4})(?![\w:]))",
+    r"(?P<phone>(?<![\w+.,-])(?:0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}|0\d(?:[ .-]\d{2}){4}|\(0\) ?\d{2,5}[ -]\d{3,4}[ -]\d{3,4})(?![\w]|[-.,]\d)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))",
+    r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<![\w.,-])(?<!\d )(?!000|666|9)\d{3} (?!00)\d{2} (?!0000)\d{4}(?![\w-]|[ .,]\d))",
+    r"(?P<number>(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|3[47]\d{2}[ -]\d{6}[ -]\d{5})(?![\w]|[-.]\d))",
+    rf"(?P<name>(?<!\w)(?:{_titles()})\.? {_CAPITAL}(?!(?:{_titles()})\b){_NAME}(?: {_CAPITAL}(?!(?:{_titles()})\b){_NAME}){{0,2}})",
 ]
 PATTERNS = re.compile("|".join(_PARTS))
 _NO_IBAN = re.compile("|".join(x for x in _PARTS if not x.startswith("(?P<iban>")))
 _TITLE = re.compile(rf"({_titles()})\.? ")
+_BEFORE = re.compile(rf"(?:.*\W)?({_titles()})\.?", re.S)
+_PEM = re.compile(r"-----BEGIN (?:[A-Z]{1,12} ){0,2}PRIVATE KEY-----\s*")
+_PEM_END = re.compile(r"\s*-----END ")
 _OWNED = re.compile(r"['’][sS]$")
 _MENTION = re.compile(rf"(?<![^\W_]){_CAPITAL}{_NAME}(?![^\W_])")
 
@@ -84,7 +99,7 @@ _MENTION = re.compile(rf"(?<![^\W_]){_CAPITAL}{_NAME}(?![^\W_])")
 _GENDER = {x: g for g, known in (("n", NEUTRAL), ("f", FEMALE), ("m", MALE)) for t in known.split() for x in (t, t.upper())}
 _SEED = re.compile(r"[\d@]")
 #: What else an entity without a digit or an @ begins with, or stands behind.
-_WORDS = (*TITLES, "password=", "PASSWORD=", "AKIA", *(x + sign for x in ("ghp", "gho", "xoxb", "xoxp", "sk") for sign in "_-"))
+_WORDS = (*TITLES, "assword", "ASSWORD", "AKIA", "eyJ", "::", *(x + sign for x in ("ghp", "gho", "xoxb", "xoxp", "sk") for sign in "_-"))
 
 
 def _lines(text: str) -> list[tuple[int, int]]:
@@ -140,10 +155,39 @@ def script(word: str) -> str:
     return name if name in SYLLABLES else "LATIN"
 
 
-def _matches(text: str) -> Iterator[tuple[re.Match, int, str]]:
-    """Matches that pass their checks, with their ends and normal forms; after one that fails the search goes on inside it."""
+def _keys(text: str) -> Iterator[tuple[int, int]]:
+    """The bodies of private keys in PEM form, to the end line or the end of the text; the only entities beyond a line."""
+    at = text.find("-----BEGIN ")
+    while at >= 0:
+        m = _PEM.match(text, at)
+        if m:
+            close = _PEM_END.search(text, m.end())
+            end = close.start() if close else len(text.rstrip())
+            if end > m.end():
+                yield m.end(), end
+            at = max(end, m.end())
+        at = text.find("-----BEGIN ", at + 1)
+
+
+def _ip6(found: str) -> str | None:
+    """Eight groups without leading zeros; none for what is no address or has fewer than two groups that are not zero."""
+    try:
+        groups = [f"{int(x, 16):x}" for x in ipaddress.IPv6Address(found).exploded.split(":")]
+    except ValueError:
+        return None
+    return ":".join(groups) if sum(x != "0" for x in groups) > 1 else None
+
+
+def _matches(text: str, hidden: list[tuple[int, int]]) -> Iterator[tuple[re.Match, int, str]]:
+    """Matches outside of ``hidden`` that pass their checks, with their ends and normal forms; after one that fails the search goes on inside it."""
+    i = 0
     for at, end in _lines(text):
         while m := PATTERNS.search(text, at, end):
+            while i < len(hidden) and hidden[i][1] <= m.start():
+                i += 1
+            if i < len(hidden) and hidden[i][0] < m.end():
+                at = min(end, hidden[i][1])
+                continue
             stop, value = m.end(), m[0]
             if m.lastgroup == "iban":
                 if iban := _iban(m[0]):
@@ -153,6 +197,11 @@ def _matches(text: str) -> Iterator[tuple[re.Match, int, str]]:
                 else:
                     at += 1
                     continue
+            if m.lastgroup == "ip6":
+                value = _ip6(m[0])
+                if value is None:
+                    at = m.end()
+                    continue
             if m.lastgroup in ("phone", "ssn", "number"):
                 value = re.sub(r"\D", "", value)
                 if m.lastgroup == "phone" and not 7 <= len(value) <= 15:
@@ -163,13 +212,21 @@ def _matches(text: str) -> Iterator[tuple[re.Match, int, str]]:
 
 
 def _titled(m: re.Match) -> tuple[str, list[tuple[int, int, str]]]:
-    """The gender that the titles of a name tell, and ``start, end, value`` of its parts."""
-    found, at, gender = m[0], 0, "n"
-    while title := _TITLE.match(found, at):
-        at, gender = title.end(), _GENDER[title[1]] if gender == "n" else gender
+    """The gender that the titles before a name tell, the first one first, and ``start, end, value`` of its parts."""
+    at = _TITLE.match(m[0]).end()
+    genders, start = [_GENDER[_TITLE.match(m[0])[1]]], m.start()
+    while start and m.string[start - 1] == " ":
+        before = m.string[max(0, start - 2 - LONGEST_TITLE):start - 1].rpartition(" ")[2].rpartition("\n")[2]
+        title = _BEFORE.fullmatch(before)
+        if not title:
+            break
+        genders.append(_GENDER[title[1]])
+        if title.start(1):
+            break
+        start -= len(before) + 1
     parts = [(m.start() + p.start(), m.start() + p.start() + len(x), x.lower())
-             for p in re.finditer(r"\S+", found[at:]) for x in (_OWNED.sub("", p[0]),)]
-    return gender, [(at + start, at + end, x) for start, end, x in parts]
+             for p in re.finditer(r"\S+", m[0][at:]) for x in (_OWNED.sub("", p[0]),)]
+    return next((g for g in reversed(genders) if g != "n"), "n"), [(at + start, at + end, x) for start, end, x in parts]
 
 
 def _mentions(text: str, taken: list[tuple[int, int]], given: dict[str, str], family: set[str]) -> Iterator[tuple[int, int, str, str]]:
@@ -197,12 +254,13 @@ def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
     Names are found by title; later and earlier mentions of them in the same text need none.
     """
     text = text or ""
-    names, out = [], []
-    for m, end, value in _matches(text):
+    hidden = list(_keys(text))
+    names, out = [], [(start, end, "secret", text[start:end]) for start, end in hidden]
+    for m, end, value in _matches(text, hidden):
         kind, found = m.lastgroup, m[0]
         if kind == "email":
             out.append((m.start(), end, kind, found.lower()))
-        elif kind in ("iban", "phone", "ssn"):
+        elif kind in ("iban", "phone", "ssn", "ip6"):
             out.append((m.start(), end, kind, value))
         elif kind == "number":
             out.append((m.start(), end, "card" if luhn(value) else kind, value))
@@ -219,8 +277,7 @@ def entities(text: str | None) -> Iterator[tuple[int, int, str, str]]:
             out += [(start, end, f"given {given[x]}", x) for start, end, x in parts[:-1]] + [(*parts[-1][:2], "family", parts[-1][2])]
         out.sort()
         out += list(_mentions(text, [x[:2] for x in out], given, {parts[-1][2] for _, parts in names}))
-        out.sort()
-    yield from out
+    yield from sorted(out)
 
 
 class Surrogates:
@@ -255,7 +312,7 @@ class Surrogates:
 
     def of(self, kind: str, value: str, attempt: int = 0) -> str:
         if kind in ("phone", "ssn", "number", "card"):
-            keep = 1 if kind == "phone" and len(value) > 10 else 0          # the country code's first digit
+            keep = 1 if kind == "phone" and (len(value) > 10 or value[0] == "0") else 0   # the country code's first digit, or the trunk's
             head, tail = value[:keep], value[keep:]
             if kind != "card":
                 out = head + self.digits(kind, attempt, tail)
@@ -274,8 +331,12 @@ class Surrogates:
                     b = list(int(word).to_bytes(4, "big"))
                     if private(b) == private(a):
                         return ".".join(map(str, b))
+        if kind == "ip6":   # the first group and the groups of zeros stay; with few addresses of that form left, the zeros go
+            first, *rest = value.split(":")
+            x = self._number(kind, attempt, value)
+            return ":".join([first, *("0" if g == "0" and attempt < 4 else f"{1 + (x >> 16 * i) % 0xffff:x}" for i, g in enumerate(rest))])
         if kind == "secret":   # a prefix that names the issuer stays
-            keep = re.match(r"akia|AKIA|(?:ghp|gho|xoxb|xoxp|sk)[_-]|", value).end()
+            keep = re.match(r"akia|AKIA|eyJ|(?:ghp|gho|xoxb|xoxp|sk)[_-]|", value).end()
             hexadecimal = all(c in "0123456789abcdef" for c in value)
             new = self._letters(kind, attempt, value, "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz")
             return value[:keep] + new[keep:]
@@ -310,6 +371,9 @@ class Surrogates:
             it = iter(surrogate)
             laid = "".join(next(it) if c.isalnum() else c for c in found)
             return laid.lower() if kind == "iban" and found == found.lower() else laid
+        if kind == "ip6":
+            parts = [f"{int(x, 16):04x}" for x in surrogate.split(":")] if all(len(x) == 4 for x in found.split(":")) else surrogate.split(":")
+            surrogate = str(ipaddress.IPv6Address(surrogate)) if "::" in found else ":".join(parts)
         if len(found) > 1 and found == found.upper() and found != found.lower():
             return surrogate.upper()
         return surrogate.title() if kind == "family" or kind.startswith("given") else surrogate
@@ -325,7 +389,10 @@ class Surrogates:
 
 
 def _resolve(found: DataFrame, surrogate: Callable) -> DataFrame:
-    """``kind, value, attempt`` of the values whose first surrogate is taken: by another value, or as a value itself."""
+    """``kind, value, attempt`` of the values whose first surrogate is taken: by another value, or as a value itself.
+
+    A type with no free surrogate left after ``MAX_ATTEMPTS`` draws of one value is an error.
+    """
     current = stage(found.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate("kind", "value", "attempt")), "surrogates")
     while True:
         # of the values that share a surrogate the one of fewest attempts keeps it; a surrogate that is a value is nobody's
@@ -339,6 +406,8 @@ def _resolve(found: DataFrame, surrogate: Callable) -> DataFrame:
         raised = judged.select("kind", "value", "surrogate", again.alias("again"), (F.col("attempt") + again.cast("int")).alias("attempt"))
         if not taken.limit(1).count() or not raised.where("again").limit(1).count():
             return current.where("attempt > 0").select("kind", "value", "attempt")
+        if full := [r["kind"] for r in raised.where(F.col("attempt") > MAX_ATTEMPTS).select("kind").distinct().collect()]:   # one row a type
+            raise ValueError(f"no free surrogates of type {', '.join(sorted(full))}")
         redrawn = raised.where("again").withColumn("surrogate", surrogate("kind", "value", "attempt"))
         last, current = current, stage(raised.where("not again").unionByName(redrawn).select("kind", "value", "attempt", "surrogate"), "surrogates")
         drop_staged(last)
