@@ -200,6 +200,30 @@ def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
     return nan_to_null(df.select(num(df, x).alias("x"), num(df, y).alias("y"))).dropna()
 
 
+def scatter_binned(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
+    """C6 for tables of any size: counts of all finite (x, y) pairs on a grid of ``bins`` x ``bins`` cells over their ranges.
+
+    One row per cell that holds a pair, with its lower edges and the extent of its pairs; a range of one value is
+    the cell 0.  Halves keep ranges beyond the largest double finite.
+    """
+    points = scatter_points(df, x, y).select(finite_or_null(F.col("x")).alias("x"), finite_or_null(F.col("y")).alias("y")).dropna()
+    lo_x, hi_x, lo_y, hi_y = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()   # one row
+
+    def cell(c: str, lo: float | None, hi: float | None) -> Column:
+        if lo is None or lo == hi:
+            return F.lit(0)
+        share = (F.col(c) / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
+        return F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
+
+    def edge(c: str, lo: float | None, hi: float | None) -> Column:
+        return F.lit(lo) if lo is None or lo == hi else F.lit(lo) + F.col(c) * F.lit((hi / 2 - lo / 2) / bins) * 2
+
+    cells = points.groupBy(cell("x", lo_x, hi_x).alias("x_bin"), cell("y", lo_y, hi_y).alias("y_bin")).agg(
+        F.count(F.lit(1)).alias("count"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    return cells.select("x_bin", "y_bin", edge("x_bin", lo_x, hi_x).cast("double").alias("x_edge"), edge("y_bin", lo_y, hi_y).cast("double").alias("y_edge"),
+                        "count", "x_min", "x_max", "y_min", "y_max")
+
+
 def heatmap(df: DataFrame, a: str, b: str, y: str | None, agg: str = "sum") -> DataFrame:
     """Dimension x dimension grid of an aggregated measure."""
     return aggregate_by(df, [F.col(quote(a)).cast("string"), F.col(quote(b)).cast("string")], ["row", "column"],

@@ -432,6 +432,20 @@ def q_chart_scatter(spark, sf):
     return charts.scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
 
 
+def _cell_sql(c: str, bins: int) -> str:
+    return (f"CASE WHEN hi_{c} = lo_{c} THEN 0 ELSE CAST(LEAST(floor(({c} / 2 - lo_{c} / 2) / (hi_{c} / 2 - lo_{c} / 2) * {bins}), {bins - 1}) AS INTEGER) END")
+
+
+@reg("chart_scatter_binned", f"""WITH p AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+  b AS (SELECT MIN(x) AS lo_x, MAX(x) AS hi_x, MIN(y) AS lo_y, MAX(y) AS hi_y FROM p),
+  c AS (SELECT *, {_cell_sql("x", 50)} AS x_bin, {_cell_sql("y", 50)} AS y_bin FROM p, b)
+  SELECT x_bin, y_bin, lo_x + x_bin * ((hi_x / 2 - lo_x / 2) / 50) * 2 AS x_edge, lo_y + y_bin * ((hi_y / 2 - lo_y / 2) / 50) * 2 AS y_edge, COUNT(*) AS count,
+    MIN(x) AS x_min, MAX(x) AS x_max, MIN(y) AS y_min, MAX(y) AS y_max FROM c GROUP BY x_bin, y_bin, lo_x, hi_x, lo_y, hi_y""")
+def q_chart_scatter_binned(spark, sf):
+    """All (l_quantity, l_extendedprice) points, counted on a grid."""
+    return charts.scatter_binned(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+
+
 @reg("chart_heatmap", """SELECT l_returnflag AS "row", l_linestatus AS "column", CAST(SUM(CAST(l_quantity AS DECIMAL(38,6))) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2""")
 def q_chart_heatmap(spark, sf):
     """SUM(l_quantity) on the return-flag x line-status grid."""

@@ -8,7 +8,7 @@ from ..functions.rounding import py_round
 
 from ..functions import casts
 from ..functions.constants import EDA_SAMPLE_VALUES, HISTOGRAM_BINS, PREVIEW_ROWS, SAMPLE_VALUES_COUNT
-from ..operators import charts, heavy, quantiles, semantic, stats
+from ..operators import charts, dates, heavy, quantiles, semantic, stats
 from ..operators.freq import static_catalog, value_frequencies, with_kind
 from . import oracle as O
 from ..functions.rounding import py_round_sql as PR
@@ -457,3 +457,34 @@ def q_eda_types(spark, sf):
         one = semantic.eda_column_types(table(spark, sf, t), key, t)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---------------------------------------------------------------- P4 one format per column
+#: ISO, day-first and month-name columns whose other rows use another format, hold no date or are blank.
+_MIXED = {"iso_day": ("%Y-%m-%d", "yyyy-MM-dd", "%d/%m/%Y", "dd/MM/yyyy"), "day_iso": ("%d/%m/%Y", "dd/MM/yyyy", "%Y-%m-%d", "yyyy-MM-dd"),
+          "slash_time": ("%Y/%m/%d %H:%M", "yyyy/MM/dd HH:mm", "%d %b %Y", "dd MMM yyyy")}
+_LABELS = dict(zip(O.ISO_FMTS + O.DAY_FIRST + O.MONTH_FIRST + O.YEAR_SLASH + O.MONTH_NAME,
+                   casts.ISO_FORMATS + casts.DAY_FIRST_FORMATS + casts.MONTH_FIRST_FORMATS + casts.YEAR_SLASH_FORMATS + casts.MONTH_NAME_FORMATS, strict=True))
+
+
+def _inferred_sql(ordinal: int, name: str, main: str, other: str) -> str:
+    cell = (f"CASE WHEN o_orderkey % 11 = 3 THEN NULL WHEN o_orderkey % 13 = 5 THEN '  ' WHEN o_orderkey % 17 = 6 THEN 'soon' "
+            f"WHEN o_orderkey % 7 = 4 THEN strftime(o_orderdate, '{other}') ELSE strftime(o_orderdate, '{main}') END")
+    chosen = " ".join(f"WHEN try_strptime(f.raw, '{k}') IS NOT NULL THEN {O.lit_list([v])}" for k, v in _LABELS.items())
+    parsed = " ".join(f"WHEN {O.lit_list([v])} THEN try_strptime(d.raw, '{k}')" for k, v in _LABELS.items())
+    return f"""(WITH d AS (SELECT o_orderkey AS k, nullif(trim({cell}), '') AS raw FROM orders),
+      f AS (SELECT raw FROM d WHERE raw IS NOT NULL ORDER BY k, raw LIMIT 1), g AS (SELECT CASE {chosen} END AS format FROM f),
+      p AS (SELECT d.*, g.format, CASE g.format {parsed} END AS value FROM d, g WHERE d.raw IS NOT NULL)
+      SELECT {ordinal} AS ordinal, '{name}' AS name, MAX(format) AS format, COUNT(*) AS n_values, COUNT(value) AS n_parsed,
+        COUNT(value) / CAST(COUNT(*) AS DOUBLE) AS parse_ratio, MIN(value) AS first, MAX(value) AS last,
+        (SELECT COALESCE(string_agg(raw, '|' ORDER BY k, raw), '') FROM (SELECT * FROM p WHERE value IS NULL ORDER BY k, raw LIMIT 5) e) AS examples FROM p)"""
+
+
+@reg("datetime_inferred", "\nUNION ALL\n".join(_inferred_sql(i, c, main, other) for i, (c, (main, _, other, _)) in enumerate(_MIXED.items())))
+def q_datetime_inferred(spark, sf):
+    """Three mixed columns, each held to the format of its first value; what uses another is reported."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    cells = {c: F.when(k % 11 == 3, None).when(k % 13 == 5, "  ").when(k % 17 == 6, "soon")
+             .when(k % 7 == 4, F.date_format(day, other)).otherwise(F.date_format(day, main)) for c, (_, main, _, other) in _MIXED.items()}
+    df = table(spark, sf, "orders").select("o_orderkey", *[v.alias(c) for c, v in cells.items()])
+    return dates.format_report(df, list(cells), ["o_orderkey"], dayfirst=True)
