@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabsight.llm import quality_cnn
 from tabsight.llm.queries import op7_quality_cnn, op9_decision_list
 from tabsight.llm.quality_cnn import CHUNK, STEP, chunks, score, score_documents, train
 from tabsight.llm.quality_rules import apply_rules, filter_documents
@@ -105,3 +106,30 @@ def test_classifier_on_odd_rows(spark):
     none = train(np.empty((0, CHUNK), np.uint16), np.empty(0))
     assert score(none, "anything") == pytest.approx(0.5)
     assert df.select(F.lit(1)).count() == len(rows)
+
+
+def test_forward_pass_against_plain_loops():
+    """Every position of every chunk, one byte and one filter at a time."""
+    rnd = np.random.default_rng(3)
+    q = quality_cnn
+    net = q.Network(*[rnd.normal(0, 0.3, shape) for shape in (
+        (q.PAD + 1, q.EMBED), (q.STRIDE * q.EMBED, q.FILTERS), (q.STRIDE * q.EMBED, q.FILTERS), q.FILTERS, q.FILTERS, 1)])
+    text = "Ein Satz, größer als ein Stück. " * 30
+    raw = text.encode()
+    odds = []
+    for start in range(0, max(1, len(raw) - q.CHUNK + q.STEP), q.STEP):
+        x = [raw[i] if i < len(raw) else q.PAD for i in range(start, start + q.CHUNK)]
+        total = net.shift[0]
+        for f in range(q.FILTERS):
+            best = -np.inf
+            for at in range(0, q.CHUNK - q.WIDTH + 1, q.STRIDE):
+                response = 0.0
+                for i in range(q.WIDTH):
+                    weights, row = (net.first, i) if i < q.STRIDE else (net.second, i - q.STRIDE)
+                    response += float(net.embed[x[at + i]] @ weights[row * q.EMBED:(row + 1) * q.EMBED, f])
+                best = max(best, response)
+            total += max(best + net.bias[f], 0) * net.out[f]
+        odds.append(total)
+    assert len(odds) == len(q.chunks(text)) == 3
+    assert np.allclose(q.log_odds(net, q.chunks(text)), odds)
+    assert abs(q.score(net, text) - 1 / (1 + np.exp(-np.mean(odds)))) < 1e-9
