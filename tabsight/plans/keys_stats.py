@@ -8,7 +8,7 @@ from ..functions.rounding import py_round
 
 from ..functions import casts
 from ..functions.constants import EDA_SAMPLE_VALUES, HISTOGRAM_BINS, PREVIEW_ROWS, SAMPLE_VALUES_COUNT
-from ..operators import charts, dates, heavy, quantiles, semantic, stats
+from ..operators import charts, dates, heavy, incremental, quantiles, semantic, stats
 from ..operators.freq import static_catalog, value_frequencies, with_kind
 from . import oracle as O
 from ..functions.rounding import py_round_sql as PR
@@ -57,6 +57,22 @@ def q_column_catalog(spark, sf):
                       (F.col("distinct_count") <= 1).alias("is_constant"), "is_empty", "semantic_type")
 
 
+@reg("catalog_incremental", f"""SELECT "table", ordinal, name, kind, n_rows, missing_count, min_len, max_len, num_parsed, dt_parsed, num_min, num_max,
+  CASE WHEN distinct_count <= 50 THEN distinct_count END AS few_distinct, is_empty, semantic_type, semantic_type_builder FROM {CAT_DIRTY}""")
+def q_catalog_incremental(spark, sf):
+    """Q2/A5: states of the orders before 1998, of 1998 to 1999, and of the rest, merged; each row is scanned once."""
+    from ..session import scratch_path
+
+    df, path, day = table(spark, sf, "dirty_orders"), scratch_path(spark, "states"), F.col("o_orderdate")
+    old = F.coalesce(day < "1998-01-01", F.lit(False))
+    for part, rows in {"base": old, "1998": ~old & (day < "2000-01-01"), "rest": ~old & F.coalesce(day >= "2000-01-01", F.lit(True))}.items():
+        incremental.add_part(df.where(rows), path, "dirty_orders", part)
+    cat = incremental.merged_catalog(spark, path, "dirty_orders")
+    few = F.when(F.col("distinct_count") <= 50, F.col("distinct_count"))
+    return cat.select("table", "ordinal", "name", "kind", "n_rows", "missing_count", F.col("min_len").cast("long").alias("min_len"),
+                      F.col("max_len").cast("long").alias("max_len"), "num_parsed", "dt_parsed", "num_min", "num_max", few.alias("few_distinct"), "is_empty", "semantic_type", "semantic_type_builder")
+
+
 @reg("missing_by_column", f"""SELECT name, missing_count, {PR("missing_ratio", 4)} AS missing_ratio,
   round(100.0 * missing_count / n_rows, 2) AS missing_pct FROM {CAT_DIRTY}""")
 def q_missing_by_column(spark, sf):
