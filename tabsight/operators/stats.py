@@ -104,10 +104,17 @@ def basic_stats(df: DataFrame, table: str = "t") -> DataFrame:
     A column has a single value if the least and the greatest 64-bit hash of its values are equal; the
     booleans say whether all texts of a column lie in the domain (and, for the pipeline, are at most two).
     """
-    df = nan_to_null(df)
+    aggs, entries = basic_aggregates(df)
+    return df.agg(*aggs).select(F.lit(table).alias("table"), F.inline(F.array(*entries)))
+
+
+def basic_aggregates(df: DataFrame) -> tuple[list[Column], list[Column]]:
+    """The aggregates of ``basic_stats``, and the struct of each column over their results."""
     aggs, entries = [F.count(F.lit(1)).alias("rows")], []
     for i, f in enumerate(df.schema.fields):
         c, k = F.col(quote(f.name)), kind_of(f.dataType)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = F.when(~F.isnan(c), c)
         v = F.xxhash64(_as_text(f))
         aggs += [F.count(c).alias(f"n{i}"), F.min(F.when(c.isNotNull(), v)).alias(f"lo{i}"), F.max(F.when(c.isNotNull(), v)).alias(f"hi{i}")]
         builder = pipeline = F.lit(None).cast("boolean")
@@ -124,7 +131,7 @@ def basic_stats(df: DataFrame, table: str = "t") -> DataFrame:
             F.try_divide(F.col("rows") - F.col(f"n{i}"), F.col("rows")).alias("missing_ratio"), (F.col(f"n{i}") == 0).alias("is_empty"),
             F.coalesce(F.col(f"lo{i}") == F.col(f"hi{i}"), F.lit(False)).alias("single_valued"),
             builder.alias("builder_bool"), pipeline.alias("pipeline_bool")))
-    return df.agg(*aggs).select(F.lit(table).alias("table"), F.inline(F.array(*entries)))
+    return aggs, entries
 
 
 def catalog_of_tables(spark, tables: dict[str, DataFrame], dayfirst: bool = False) -> DataFrame:

@@ -526,6 +526,20 @@ def q_extract_parquet(spark, sf):
                                            "o_orderpriority")
 
 
+@reg("extract_observed", f"""SELECT name, kind, n_rows, missing_count, {PR("missing_ratio", 4)} AS missing_ratio, is_empty,
+  distinct_count = 1 AND NOT is_empty AS single_valued, n_rows AS rows_in_extract FROM {O.catalog_sql(["dirty_orders"])}""")
+def q_extract_observed(spark, sf):
+    """S10 + Q1/Q11: the counts of the extract come from the job that writes it; its rows are counted again here."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_extract_observed
+
+    path = scratch_path(spark, "extract")
+    seen = write_extract_observed(table(spark, sf, "dirty_orders"), path, ["o_orderstatus"])
+    rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_in_extract"))   # one row
+    return seen.crossJoin(F.broadcast(rows)).select("name", "kind", "n_rows", "missing_count", py_round(F.col("missing_ratio"), 4).alias("missing_ratio"),
+                                                   "is_empty", "single_valued", "rows_in_extract")
+
+
 @reg("report_json", f"""SELECT "table", row_count, quality_score FROM ({SUMMARY_SQL}) q""")
 def q_report_json(spark, sf):
     """The quality report written as JSON and read back."""

@@ -6,10 +6,12 @@ never a machine-local temporary folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.casts import quote
+from ..operators.stats import basic_aggregates
 from .readers import CSV_DIALECT
 
 
@@ -32,6 +34,20 @@ def write_extract(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return path
 
 
+def write_extract_observed(df: DataFrame, path: str, partition_by: list[str] | None = None, table: str = "t") -> DataFrame:
+    """S10 with Q1/Q11's counts: writes the extract and returns ``stats.basic_stats`` of the rows written.
+
+    The counts are observed by the job that writes, so there is no second scan.  They are taken in its last stage,
+    whose tasks count once however often they are retried.  NaN counts as missing and is written as it is.
+    """
+    seen = Observation()
+    aggs, entries = basic_aggregates(df)
+    write_extract(df.observe(seen, *aggs), path, partition_by)
+    got = seen.get
+    schema = T.StructType([T.StructField(k, T.BooleanType() if k[0] in "bp" else T.LongType()) for k in got])
+    return df.sparkSession.createDataFrame([tuple(got.values())], schema).select(F.lit(table).alias("table"), F.inline(F.array(*entries)))
+
+
 def write_report_json(report: DataFrame, path: str) -> str:
     """One JSON document per report row."""
     report.select(F.to_json(F.struct(*[F.col(quote(c)) for c in report.columns])).alias("value")).write.mode(
