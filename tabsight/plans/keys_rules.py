@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.constants import DATE_KEYWORDS, GEO_KEYWORDS, ID_KEYWORDS, AVG_HINTS, SUM_HINTS
-from ..operators import charts, kpi, recommend, roles, spec_checks
+from ..operators import charts, formula, kpi, recommend, roles, spec_checks
 from . import oracle as O
 from .common import multi_catalog, r6, table
 
@@ -198,6 +198,42 @@ def q_kpi_ratio(spark, sf):
                                 ["l_returnflag"])
 
 
+#: calculated fields of lineitem by l_returnflag, and what they are in SQL
+FORMULAS = {
+    "price": ("SUM([l_extendedprice] * (1 - [l_discount])) / COUNTD([l_orderkey])", "SUM(l_extendedprice * (1 - l_discount)) / COUNT(DISTINCT l_orderkey)"),
+    "discounted": ("SUM(IF [l_discount] > 0.05 THEN [l_extendedprice] ELSEIF [l_discount] > 0.03 THEN [l_extendedprice] / 2 ELSE 0 END) / SUM([l_extendedprice]) * 100",
+                   "SUM(CASE WHEN l_discount > 0.05 THEN l_extendedprice WHEN l_discount > 0.03 THEN l_extendedprice / 2 ELSE 0 END) / SUM(l_extendedprice) * 100"),
+    "span": ("(MAX([l_tax]) - MIN([l_tax])) * 2 + COUNT(IF LOWER([l_linestatus]) = 'o' THEN 1 END)",
+             "(MAX(l_tax) - MIN(l_tax)) * 2 + COUNT(CASE WHEN lower(l_linestatus) = 'o' THEN 1 END)"),
+    "nothing": ("SUM([l_quantity]) / (COUNT([l_tax]) - COUNT([l_orderkey]))", "SUM(l_quantity) / NULLIF(COUNT(l_tax) - COUNT(l_orderkey), 0)"),
+    "chosen": ("IF AVG([l_quantity]) > 25.5 AND [l_returnflag] <> 'N' THEN MAX([l_linenumber]) ELSE -AVG([l_discount]) END",
+               "CASE WHEN AVG(l_quantity) > 25.5 AND l_returnflag <> 'N' THEN MAX(l_linenumber) ELSE -AVG(l_discount) END"),
+}
+
+
+@reg("calculated_fields", "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS field, 'real' AS type, 'measure' AS role, l_returnflag, round(CAST({sql} AS DOUBLE), 6) AS value FROM lineitem GROUP BY l_returnflag"
+    for n, (_, sql) in FORMULAS.items()))
+def q_calculated_fields(spark, sf):
+    """K9: nested formulas of several aggregations, with the type and role of each."""
+    out = None
+    for n, (text, _) in FORMULAS.items():
+        one = formula.calculated(table(spark, sf, "lineitem"), "value", text, ["l_returnflag"])
+        kind, role = formula.type_and_role(one, "value")
+        one = one.select(F.lit(n).alias("field"), F.lit(kind).alias("type"), F.lit(role).alias("role"), "l_returnflag", r6(F.col("value").cast("double")).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@reg("calculated_rows", """SELECT p_partkey, CASE WHEN contains(upper(p_type), 'BRASS') THEN round(p_retailprice / NULLIF(p_size - 1, 0), 6)
+  WHEN length(p_name) % 2 = 0 THEN p_retailprice ELSE -1 END AS value FROM part""")
+def q_calculated_rows(spark, sf):
+    """K9: a calculated field of each row."""
+    text = ("IF CONTAINS(UPPER([p_type]), 'BRASS') THEN ROUND([p_retailprice] / ([p_size] - 1), 6) "
+            "ELSEIF LEN([p_name]) % 2 = 0 THEN [p_retailprice] ELSE -1 END")
+    return formula.calculated(table(spark, sf, "part"), "value", text).select("p_partkey", "value")
+
+
 CUSTOM_KPIS = [("Least price", "l_extendedprice", "min"), ("Greatest price", "l_extendedprice", "max"), ("Median price", "l_extendedprice", "median"),
                ("Median quantity", "l_quantity", "median"), ("Mean discount", "l_discount", "avg"), ("Lines", "l_returnflag", "count")]
 
