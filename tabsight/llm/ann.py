@@ -177,7 +177,9 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     wide = F.col("vector").cast("array<double>").alias("vector")
     least_id = classes.schema["id"].dataType.simpleString()
     indexed = classes.select("class", "id", wide).mapInPandas(put, f"tree int, leaf long, class long, least {least_id}, vector array<double>")
-    queries = asked.select("class", "vector").distinct().select("class", wide).mapInPandas(ask, f"{where}, floor double")
+    # a number of tasks of its own: the rows are few and short, the search of each is not
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    queries = asked.select("class", "vector").repartition(tasks, "class").distinct().select("class", wide).mapInPandas(ask, f"{where}, floor double")
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
