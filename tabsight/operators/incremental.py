@@ -102,7 +102,8 @@ def merged_catalog(spark: SparkSession, path: str, table: str) -> DataFrame:
     held = _states(spark, path, table)
     if held is None:
         raise ValueError(f"no part of {table} under {path}")
-    rows = held.groupBy("_part").agg(F.max("part_rows").alias("n")).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_parts"))
+    rows = held.groupBy("_part").agg(F.max("part_rows").alias("n")).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("parts")).first()
+    n_rows = F.lit(rows["rows"]).cast("long")
     n = F.col("n_finite")
     # means relative to the least of them: equal means differ by exactly zero, so that a constant column has no spread
     shifts = held.groupBy("name").agg(F.min("mean").alias("shift"))
@@ -120,11 +121,11 @@ def merged_catalog(spark: SparkSession, path: str, table: str) -> DataFrame:
     some = count > 0
     spread = F.greatest(F.col("m2") + F.col("ndd") - F.try_divide(F.col("nd") * F.col("nd"), count), F.lit(0.0))
     string = (F.col("kind") == "string") & (non_null > 0)
-    cat = merged.crossJoin(F.broadcast(rows)).select(   # one row
-        F.lit(table).alias("table"), "ordinal", "name", "dtype_raw", "kind", "n_rows", "n_parts",
-        (F.col("n_rows") - F.col("non_null")).alias("missing_count"), "non_null", "distinct_count", "len_sum", "min_len", "max_len",
+    cat = merged.select(
+        F.lit(table).alias("table"), "ordinal", "name", "dtype_raw", "kind", n_rows.alias("n_rows"), F.lit(rows["parts"]).cast("long").alias("n_parts"),
+        (n_rows - F.col("non_null")).alias("missing_count"), "non_null", "distinct_count", "len_sum", "min_len", "max_len",
         "num_parsed", "dt_parsed", "num_min", "num_max", "dt_min", "dt_max", "str_bool", "zero_one", "builder_bool",
-        F.try_divide(F.col("n_rows") - F.col("non_null"), F.col("n_rows")).alias("missing_ratio"),
+        F.try_divide(n_rows - F.col("non_null"), n_rows).alias("missing_ratio"),
         F.when(string, F.col("len_sum") / non_null).alias("avg_len"),
         F.try_divide("num_parsed", non_null).alias("num_ratio"), F.try_divide("dt_parsed", non_null).alias("dt_ratio"),
         (F.col("non_null") == 0).alias("is_empty"), "num_count",

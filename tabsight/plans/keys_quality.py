@@ -535,9 +535,8 @@ def q_extract_observed(spark, sf):
 
     path = scratch_path(spark, "extract")
     seen = write_extract_observed(table(spark, sf, "dirty_orders"), path, ["o_orderstatus"])
-    rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_in_extract"))   # one row
-    return seen.crossJoin(F.broadcast(rows)).select("name", "kind", "n_rows", "missing_count", py_round(F.col("missing_ratio"), 4).alias("missing_ratio"),
-                                                   "is_empty", "single_valued", "rows_in_extract")
+    return seen.select("name", "kind", "n_rows", "missing_count", py_round(F.col("missing_ratio"), 4).alias("missing_ratio"),
+                       "is_empty", "single_valued", F.lit(spark.read.parquet(path).count()).cast("long").alias("rows_in_extract"))
 
 
 @reg("report_json", f"""SELECT "table", row_count, quality_score FROM ({SUMMARY_SQL}) q""")
