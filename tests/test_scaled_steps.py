@@ -30,3 +30,46 @@ def test_csv_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert len(parts) > 6
     want = [(str(i), t or None, g) for i, t, g in rows] + [(f"{c}/{n}", t, r) for c, n, t, r in talk]
     assert sorted((a, b or "", c) for a, b, c in got) == sorted((a, b or "", c) for a, b, c in want)
+
+
+def _tried_all(s, dayfirst):
+    """``to_datetime`` as it was: every format in turn."""
+    first = lambda fs: F.coalesce(*[F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz") for f in fs])
+    zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"), s.try_cast("timestamp").cast("timestamp_ntz"))
+    return (F.when(s.rlike(r"^\d{1,4}[-/]\d"), F.coalesce(
+        first(casts.ISO_FORMATS + (casts.DAY_FIRST_FORMATS if dayfirst else casts.MONTH_FIRST_FORMATS)),
+        F.when(s.rlike(casts.FRACTION_PATTERN), s.try_cast("timestamp_ntz")), F.when(s.rlike(casts.ZONE_PATTERN), zoned),
+        F.when(s.rlike(casts.YEAR_SLASH_PATTERN), first(casts.YEAR_SLASH_FORMATS))))
+        .when(s.rlike(casts.MONTH_NAME_PATTERN), first(casts.MONTH_NAME_FORMATS)))
+
+
+@pytest.mark.parametrize("dayfirst", [True, False])
+def test_dates_by_pattern_equal_all_formats_in_turn(spark, dayfirst):
+    days = ["2024-01-05", "2024-1-5", "24-01-05", "2024-13-01", "5/1/2024", "05/01/2024", "0012/5/2020", "1/2/+12020", "1/2/12020", "1/-2/2020", "01/002/2024",
+            "2024/1/5", "2024/01/05", "2024/5", "31/12/2023", "12/31/2023", "1/2/24", "2024-01/05", "1/2-2024", "5-Jan-2024", "5 Jan 2024", "05 January 2024",
+            "Jan 5, 2024", "January 5, 2024", "Jan 5 2024", "may 5, 2024", "Foo 5, 2024", "5 Mai 2024", "30/02/2024", "", "12:00", "9999-12-31"]
+    times = ["", " 10:00", " 10:00:00", "T10:00:00", "t10:00:00", " 9:05", " 9:05:07", " 24:00:00", " 10:00:00.123", "T10:00:00Z", " 10:00+02:00", " 1:2:3:4",
+             " ", "\n", " 010:00", "T10:00", " 10", "x"]
+    df = spark.createDataFrame([(d + t,) for d, t in itertools.product(days, times)], "t string")
+    got = df.select("t", casts.to_datetime(F.col("t"), dayfirst).alias("now"), _tried_all(F.trim("t"), dayfirst).alias("was"))
+    assert got.where("not now <=> was").collect() == []
+    assert got.where("now is not null").count() > 60
+
+
+def _formats_tried(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp(")
+
+
+def test_type_issues_of_both_variants_share_one_pass(spark):
+    df = spark.createDataFrame([(i, "x" if i % 40 == 0 else str(i), "no date" if i % 20 == 0 else f"{i % 28 + 1:02d}/03/2024") for i in range(80)],
+                               "id int, amount string, order_date string")
+    cat, _ = build_catalog(spark, df, "t", dayfirst=True)
+    failed = quality.failed_cells(df, cat, "t", "id", dayfirst=True)
+    assert sorted((r["name"], r["count"]) for r in failed.groupBy("name").count().collect()) == [("amount", 2), ("order_date", 4)]
+    seen = {}
+    for v in ("pipeline", "builder"):
+        out = quality.type_issues(df, cat, "t", "id", v, dayfirst=True, failed=failed)
+        assert _formats_tried(out) == 0   # the rows are not parsed again
+        assert sorted(out.collect()) == sorted(quality.type_issues(df, cat, "t", "id", v, dayfirst=True).collect())
+        seen |= {r["name"]: r["examples"] for r in out.collect()}
+    assert seen["amount"] == "x|x" and seen["order_date"].startswith("no date|no date")
