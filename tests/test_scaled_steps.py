@@ -73,3 +73,15 @@ def test_type_issues_of_both_variants_share_one_pass(spark):
         assert sorted(out.collect()) == sorted(quality.type_issues(df, cat, "t", "id", v, dayfirst=True).collect())
         seen |= {r["name"]: r["examples"] for r in out.collect()}
     assert seen["amount"] == "x|x" and seen["order_date"].startswith("no date|no date")
+
+
+def test_quartiles_read_numbers_once_for_both_variants(spark):
+    df = spark.createDataFrame([(float(i), str(i * 7 % 50), i % 2, "k") for i in range(60)] + [(9000.0, "n/a", 1, None)], "a double, b string, c int, d string")
+    cat, fk = build_catalog(spark, df, "t")
+    values = quality.numeric_values(fk, cat)
+    assert dict(values.dtypes)["x"] == "double" and hasattr(values, "staged_path")
+    quarters = quality.value_quartiles(values)
+    for v in ("pipeline", "builder"):
+        shared = quality.iqr_outliers(fk, cat, v, quartiles=quarters, values=values)
+        assert "value" not in {a.split("#")[0] for a in shared._jdf.queryExecution().optimizedPlan().toString().replace("[", " ").replace(",", " ").split()}
+        assert sorted(shared.collect()) == sorted(quality.iqr_outliers(fk, cat, v).collect())
