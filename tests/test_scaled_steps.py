@@ -85,3 +85,18 @@ def test_quartiles_read_numbers_once_for_both_variants(spark):
         shared = quality.iqr_outliers(fk, cat, v, quartiles=quarters, values=values)
         assert "value" not in {a.split("#")[0] for a in shared._jdf.queryExecution().optimizedPlan().toString().replace("[", " ").replace(",", " ").split()}
         assert sorted(shared.collect()) == sorted(quality.iqr_outliers(fk, cat, v).collect())
+
+
+def test_numbers_are_counted_as_numbers(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1L, 1.5D, float(0.1), timestamp'2024-01-05 10:00:00', 'x', date'2024-01-05', 1.10BD),
+      (1L, -0.0D, float('NaN'), null, null, null, 1.10BD), (9007199254740993L, 0.0D, float(0.1), timestamp'2024-01-05 10:00:00.5', 'x', null, null),
+      (null, double('NaN'), null, null, '', null, 2.00BD) t(l, d, f, ts, s, day, m)""")
+    freq = value_frequencies(df)
+    got = sorted((r["name"], r["value"] or "", r["value"] is None, r["len"], r["cnt"]) for r in freq.collect())
+    cells = {"l": "cast(l as string)", "d": "cast(if(isnan(d), null, d + 0.0D) as string)", "f": "cast(if(isnan(f), null, f + 0.0D) as string)",
+             "ts": "cast(ts as string)", "s": "s", "day": "cast(day as string)", "m": "cast(m as string)"}
+    want = [(n, r[0] or "", r[0] is None, None if r[0] is None else len(r[0]), r[1])
+            for n, e in cells.items() for r in df.selectExpr(f"{e} as v").groupBy("v").count().collect()]
+    assert got == sorted(want)
+    plan = freq._jdf.queryExecution().optimizedPlan().toString()
+    assert "value#" in plan and any("Aggregate" in line and "cast(value#" in line for line in plan.splitlines())   # text is made behind the count
