@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ def pieces(n: int, longest: int = LONGEST) -> list[int]:
 #: Runs of letters (a-z and those of Latin-1), and of other visible ASCII without the apostrophe (which may begin a contraction).
 _RUNS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-@\[-`{-~]+")
 
+#: What may stand behind letters as a run of its own: one visible ASCII sign, but no apostrophe and no "<".
+_SIGNS = frozenset(bytes([b]) for b in range(33, 127) if not bytes([b]).isalpha() and b not in b"'<")
+
 
 class WordIds:
     """Token ids, as little-endian unsigned 32-bit bytes, of words between ASCII white space.
@@ -83,14 +87,18 @@ class WordIds:
                 begin = end
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.words]
+        new = words.difference(self.words)
         if len(self.words) + len(new) > CACHED_WORDS:
-            self.words, new = {}, list(words)
+            self.words, new = {}, words
         # a word of ASCII letters is one run and holds no added token
-        plain = [w for w in new if w.isalpha()]
-        mixed = [w for w in new if not w.isalpha()]
-        runs, split, whole = [w.lower() for w in plain], [], set()
+        plain, mixed = list(filter(bytes.isalpha, new)), list(filterfalse(bytes.isalpha, new))
+        runs, split, whole = list(map(bytes.lower, plain)), [], set()
+        easy = self.added is None or self.marked
         for w in mixed:
+            body, last = w[:-1], w[-1:]
+            if easy and last in _SIGNS and body.isalpha():   # as most words that are not plain: letters and one sign
+                split.append((body.lower(), last))
+                continue
             low = w.lower()
             parts = _RUNS.findall(low)
             # it holds more than those runs, or may hold an added token, whose case counts: encoded whole
@@ -98,11 +106,11 @@ class WordIds:
                 parts = [w]
                 whole.add(w)
             split.append(parts)
-        needed = {p for parts in split for p in parts}
+        needed = set(chain.from_iterable(split))
         needed.update(runs)
-        missing = [p for p in needed if p not in self.runs]
+        missing = needed.difference(self.runs)
         if len(self.runs) + len(missing) > CACHED_WORDS:
-            self.runs, missing = {}, list(needed)
+            self.runs, missing = {}, needed
         letters = [p for p in missing if (97 <= p[0] <= 122 or p[0] == 0xC3) and p not in whole]
         self._encode([p for p in missing if not (97 <= p[0] <= 122 or p[0] == 0xC3) or p in whole])
         self._encode_letters(letters)
@@ -113,7 +121,7 @@ class WordIds:
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
         found = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.learn({w for f in found for w in f})
+        self.learn(set().union(*found))
         get = self.words.__getitem__
         return [b"".join(map(get, f)) for f in found]
 

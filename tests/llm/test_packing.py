@@ -85,3 +85,22 @@ def test_literal_added_tokens_as_in_a_plain_encode(spark):
                                           "中<|endoftext|>é <|startoftext|><|endoftext|>.", "endoftext startoftext <| |>"])]
     check(rows, pack(spark.createDataFrame(rows, "doc_id long, text string"), FILE).collect(), plain)
     assert 49407 in ids_of(plain, rows[0][1])
+
+
+def test_letters_and_one_sign_need_no_split(monkeypatch):
+    from tabsight.llm import packing
+
+    class Never:
+        def findall(self, _):
+            raise AssertionError("split")
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    words = WordIds(path, added=True)
+    odd = ["don't", "x'", "a<", "é,", "a,b", "12", ",", "<|endoftext|>", "Straße.", "3d", "a\x01", "a\x7f"]
+    easy = [w + s for w in ("word", "Word", "WORD", "a") for s in map(chr, range(33, 127)) if s not in "'<"]
+    want = {t: np.array([*plain.encode(t, add_special_tokens=False).ids], "<u4").tobytes() for t in [*odd, *easy, " ".join(odd)]}
+    for t in [*odd, " ".join(odd)]:
+        assert words.of([t]) == [want[t]], t
+    monkeypatch.setattr(packing, "_RUNS", Never())
+    assert words.of(easy) == [want[t] for t in easy]
