@@ -26,6 +26,7 @@ LONGEST = 2048
 END = 1
 CACHED_WORDS = 600_000
 BLOCK = 20_000
+SLICE, SLICE_BYTES = 512, 1 << 20
 
 
 def pieces(n: int, longest: int = LONGEST) -> list[int]:
@@ -39,6 +40,12 @@ _RUNS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[!-&(-@\[-`{-
 #: What may stand behind letters as a run of its own: one visible ASCII sign, but no apostrophe and no "<".
 _SIGNS = frozenset(bytes([b]) for b in range(33, 127) if not bytes([b]).isalpha() and b not in b"'<")
 
+#: A full stop or comma that does not stand behind a letter (of ASCII or Latin-1).
+_STRAY = re.compile(rb"[.,](?<![A-Za-z][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])")
+
+#: Characters beyond Latin-1.
+_BEYOND = re.compile(rb"[\xc4-\xff]")
+
 
 class WordIds:
     """Token ids, as little-endian unsigned 32-bit bytes, of words between ASCII white space.
@@ -118,9 +125,21 @@ class WordIds:
         self.words.update(zip(plain, map(get, runs), strict=True))
         self.words.update(zip(mixed, [get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in split], strict=True))
 
+    def _split(self, text: str) -> list[bytes]:
+        """Words of a text; full stops and commas begin words of their own where all stand behind a letter.
+
+        Letters end at such a sign in any case, so the ids stay the same, and far fewer words differ.
+        """
+        data = text.encode("utf-8", "replace")
+        if self.added is not None and (not self.marked or b"<" in data) or _STRAY.search(data):
+            return data.split()
+        if text.isascii() or not _BEYOND.search(data):   # the tokenizer lower-cases; beyond Latin-1 it composes characters first
+            data = data.lower()
+        return data.replace(b".", b" .").replace(b",", b" ,").split()
+
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        found = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        found = [self._split(t or "") for t in texts]
         self.learn(set().union(*found))
         get = self.words.__getitem__
         return [b"".join(map(get, f)) for f in found]
@@ -137,8 +156,10 @@ def _cut(tokenizer_file: str, longest: int, with_ids: bool, ids_type: pa.DataTyp
             _LOADED[tokenizer_file] = WordIds(tokenizer_file, added=True)
         encoder = _LOADED[tokenizer_file]
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            # short texts many at a time: their new words are encoded together
+            step = max(64, min(SLICE, batch.num_rows * SLICE_BYTES // max(batch.column(1).nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 row, start, length, crc, total, kept = [], [], [], [], [], []
                 for i, data in enumerate(encoder.of(part.column(1).to_pylist())):
                     data, done = data + end, 0

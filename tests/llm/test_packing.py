@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -104,3 +105,19 @@ def test_letters_and_one_sign_need_no_split(monkeypatch):
         assert words.of([t]) == [want[t]], t
     monkeypatch.setattr(packing, "_RUNS", Never())
     assert words.of(easy) == [want[t] for t in easy]
+
+
+def test_full_stops_and_commas_make_no_new_words():
+    """A word is remembered once, however it is capitalised and whatever of the two stands behind it."""
+    words = WordIds(FILE, added=True)
+    words.of(["Alpha beta. gamma, Beta, alpha. GAMMA", "été. Été, Beta."])
+    assert set(words.words) == {b"alpha", b"beta", b"gamma", "été".encode(), "Été".encode(), b".", b","}
+
+
+def test_odd_signs_equal_an_unmodified_tokenizer():
+    plain, words, rnd = Tokenizer.from_file(FILE), WordIds(FILE, added=True), random.Random(5)
+    bits = ["a", "It's", "J", "̌", "É", "é", "ß", "×", "İ", "Σ", "—", "ъ", "1", ".", ",", "...", ",.", " .", ". ", ", ", "'", "'s", "<", "<|endoftext|>",
+            "<|EndOfText|>", "\xa0", "\x1c", "\n", "\t", " ", "&", "ª", "​", "²", "T", "̈"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 14))) for _ in range(20_000)]
+    for t, got in zip(texts, words.of(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
